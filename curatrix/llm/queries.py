@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from curatrix.llm import mixing, sharding
+from curatrix.llm import bpe, mixing, sharding, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_token_files": tokens.op2_token_files,
+        "op3_simhash": simhash.op3_simhash,
         "op5_sharding": sharding.op5_sharding,
+        "op7_bpe": bpe.op7_bpe,
     }
 
 
