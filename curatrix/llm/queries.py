@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import bpe, mixing, sharding, simhash, tokens
+from curatrix.llm import bpe, mixing, quality_model, sharding, simhash, tokens, toxicity, vectors
 
 
 def queries() -> dict:
@@ -10,8 +10,11 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op2_token_files": tokens.op2_token_files,
         "op3_simhash": simhash.op3_simhash,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_sharding": sharding.op5_sharding,
+        "op6_quality": quality_model.op6_quality,
         "op7_bpe": bpe.op7_bpe,
+        "op9_vectors": vectors.op9_vectors,
     }
 
 

@@ -33,9 +33,10 @@ class _Chunk:
             hit = near(data[:b], data[a:b])  # lower homes only: each pair once
             hit[:, a:] &= np.tri(b - a, k=-1, dtype=bool)
             self._fold(ids[a:b], hit, range(a, b))
-            if count:
-                self.links[a:b] += hit @ weight[:b]
-                self.links[:b] += weight[a:b] @ hit
+            rows = np.flatnonzero(hit.any(1))
+            if count and len(rows):
+                self.links[a + rows] += hit[rows] @ weight[:b]
+                self.links[:b] += weight[a + rows] @ hit[rows]
 
     def _fold(self, ids: list, hit: np.ndarray, own: range | None) -> None:
         for k in np.flatnonzero(hit.any(1)):
@@ -51,10 +52,10 @@ class _Chunk:
     def visit(self, ids: list, data: np.ndarray, weight: np.ndarray) -> None:
         hit = self.near(self.data, data)
         self._fold(ids, hit, None)
-        if self.count:
-            n = hit @ self.weight
-            self.links += weight @ hit
-            self.out += [(ids[k], None, int(n[k])) for k in np.flatnonzero(n)]
+        rows = np.flatnonzero(hit.any(1))
+        if self.count and len(rows):
+            self.links += weight[rows] @ hit[rows]
+            self.out += [(ids[k], None, int(n)) for k, n in zip(rows, hit[rows] @ self.weight, strict=True)]
 
     def close(self) -> list[tuple]:
         return self.out + [(self.ids[k], None, int(self.links[k])) for k in np.flatnonzero(self.links)]
@@ -86,7 +87,7 @@ def link(placed: DataFrame, parse: Callable[[pd.Series], np.ndarray], near: Call
 
         def frames(out: list[tuple]) -> Iterator[pd.DataFrame]:
             if out:
-                yield pd.DataFrame(out, columns=["a", "b", "n"])
+                yield pd.DataFrame({"a": [x[0] for x in out], "b": pd.Series([x[1] for x in out], dtype=object), "n": [x[2] for x in out]})
 
         for batch in batches:
             turn = (batch["cell"].diff().fillna(1) != 0) | (batch["chunk"].diff().fillna(1) != 0) | (batch["visitor"].astype(int).diff().fillna(1) != 0)
