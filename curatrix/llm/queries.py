@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import bpe, mixing, quality_model, sharding, simhash, tokens, toxicity, vectors
+from curatrix.llm import bpe, mixing, quality_model, rules, sharding, simhash, tokens, toxicity, vectors
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_sharding": sharding.op5_sharding,
         "op6_quality": quality_model.op6_quality,
         "op7_bpe": bpe.op7_bpe,
+        "op8_rules": rules.op8_rules,
         "op9_vectors": vectors.op9_vectors,
     }
 
