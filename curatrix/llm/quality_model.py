@@ -86,14 +86,14 @@ class Judge:
         return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
 
 
-def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD, learn_from: DataFrame | None = None) -> DataFrame:
     """docs plus score and predicted.
 
-    Fitted on at most per_class documents of each class of labels (doc_id, quality), none of them held out; labels, lang, source and
+    Fitted on at most per_class documents (of learn_from, else docs) of each class of labels (doc_id, quality), none of them held out; labels, lang, source and
     doc_id are no inputs of a score. Null texts count as empty; they and texts without words get the score of the bias, and without
     labels of both classes so does every text. Columns of the same names are kept: new ones get trailing underscores.
     """
-    sample = labelled_sample(docs, labels, "quality", per_class).toPandas().sort_values("doc_id")
+    sample = labelled_sample(docs if learn_from is None else learn_from, labels, "quality", per_class).toPandas().sort_values("doc_id")
     numbers, again, bias = train(list(sample["text"]), sample["y"].to_numpy(np.int64))
     model = docs.sparkSession.sparkContext.broadcast((numbers.astype(np.float32), again, bias))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import bpe, mixing, quality_model, rules, sharding, simhash, tokens, toxicity, vectors
+from curatrix.llm import bpe, mixing, quality_model, rules, sharding, simhash, tokens, toxicity, urls, vectors
 
 
 def queries() -> dict:
@@ -16,8 +16,9 @@ def queries() -> dict:
         "op7_bpe": bpe.op7_bpe,
         "op8_rules": rules.op8_rules,
         "op9_vectors": vectors.op9_vectors,
+        "op10_urls": urls.op10_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op10_urls": urls.OP10_SQL}

@@ -31,8 +31,10 @@ LEAST_POSTERIOR = 0.5
 
 
 def measured(df: DataFrame, text: str) -> DataFrame:
-    """df plus the features of column `text` (null: no words): word counts in long. Sizes beyond a document's own are never met: windows
-    are hashed, and only documents in which a hash repeats sort theirs."""
+    """df plus the FEATURES of column `text` (null: no words) as long. Windows are hashed, and only documents in which a hash repeats
+    sort theirs. The features come out of a generator of one row, so that filters on them aren't moved into, and don't repeat, their
+    expressions."""
+    own = [F.col(f"`{c}`") for c in df.columns]
     t, spaces = F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)
     bare = F.btrim(t, spaces)
     long = lambda c: c.cast("long")
@@ -44,20 +46,19 @@ def measured(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     df = df.withColumn("_again", F.expr("filter(_sorted, (x, k) -> x.h = get(_sorted, k - 1).h or x.h = get(_sorted, k + 1).h).i"))
     covered = F.expr("size(array_distinct(concat(_again, transform(_again, x -> x + 1), transform(_again, x -> x + 2))))")
-    return df.withColumns(
-        {
-            "n_words": long(F.size("_words")),
-            "word_chars": long(F.length(F.translate(t, SPACES, ""))),
-            "n_symbols": long(F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))),
-            "n_lines": long(F.size("_lines")),
-            "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-            "n_repeat_words": long(F.when(F.col("_again").isNull(), F.lit(0)).otherwise(covered)),
-            "n_shouted": long(F.regexp_count(t, F.lit(r"\p{Lu}{2,}"))),
-            "n_ends": long(F.length(t) - F.length(F.translate(t, ".!?", ""))),
-            "n_letters": long(F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))),
-            "n_marks": long(F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]{2,}|(?<=\s)[^\p{L}\p{N}\s](?=\s)"))),
-        }
-    ).drop("_words", "_lines", "_windows", "_sorted", "_again")
+    features = {
+        "n_words": long(F.size("_words")),
+        "word_chars": long(F.length(F.translate(t, SPACES, ""))),
+        "n_symbols": long(F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))),
+        "n_lines": long(F.size("_lines")),
+        "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
+        "n_repeat_words": long(F.when(F.col("_again").isNull(), F.lit(0)).otherwise(covered)),
+        "n_shouted": long(F.regexp_count(t, F.lit(r"\p{Lu}{2,}"))),
+        "n_ends": long(F.length(t) - F.length(F.translate(t, ".!?", ""))),
+        "n_letters": long(F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))),
+        "n_marks": long(F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]{2,}|(?<=\s)[^\p{L}\p{N}\s](?=\s)"))),
+    }
+    return df.select(*own, F.inline(F.array(F.struct(*[features[k].alias(k) for k in FEATURES]))))
 
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouted", "n_ends", "n_letters", "n_marks"]
