@@ -124,35 +124,43 @@ def spanning_forest(edges: DataFrame, group: str, rounds: int = 40) -> DataFrame
 def condensed_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int) -> np.ndarray:
     """Labels of a single-linkage tree by excess of mass (Campello, Moulavi, Sander 2013): -1 is noise. Edges of a spanning forest over
     points 0 .. n - 1; a cluster has at least `least` points; the whole set is no cluster."""
-    order = np.argsort(w, kind="stable")
-    parent, size, kids, height = list(range(2 * n)), [1] * n + [0] * n, {}, {}
-    top = list(range(n))
-    find = lambda x: x if top[x] == x else find(top[x])
-    node_of, nxt = list(range(n)), n
-    for k in order:
-        x, y = int(a[k]), int(b[k])
+    kids, height, size = {}, {}, [1] * n
+    top, node_of = list(range(n)), list(range(n))
+
+    def head(x: int) -> int:
         while top[x] != x:
             top[x] = top[top[x]]
             x = top[x]
-        while top[y] != y:
-            top[y] = top[top[y]]
-            y = top[y]
-        if x == y:
-            continue
-        kids[nxt], height[nxt] = (node_of[x], node_of[y]), max(float(w[k]), 1e-12)
-        size[nxt] = size[node_of[x]] + size[node_of[y]]
-        top[x] = y
-        node_of[y] = nxt
-        nxt += 1
-    del parent, find
+        return x
+
+    def merge(x: int, y: int, d: float) -> None:
+        kids[len(size)], height[len(size)] = (node_of[x], node_of[y]), max(d, 1e-12)
+        top[x], node_of[y] = y, len(size)
+        size.append(size[kids[len(size)][0]] + size[kids[len(size)][1]])
+
+    for k in np.argsort(w, kind="stable"):
+        x, y = head(int(a[k])), head(int(b[k]))
+        if x != y:
+            merge(x, y, float(w[k]))
+    apart = [i for i in range(n) if top[i] == i]
+    for x, y in zip(apart, apart[1:], strict=False):  # trees that no edge joins stand infinitely far apart
+        merge(head(x), head(y), 1e12)
+
+    def points(v: int) -> list[int]:
+        out, todo = [], [v]
+        while todo:
+            v = todo.pop()
+            if v < n:
+                out.append(v)
+            else:
+                todo += kids[v]
+        return out
+
     labels = np.full(n, -1)
-    roots = set(node_of[i] for i in range(n) if top[i] == i)
-    for root in roots:
-        if root < n or size[root] < 2 * least:
-            continue
+    root = len(size) - 1
+    if root >= n and size[root] >= 2 * least:
         # walk down, collecting clusters with births, deaths and the points that leave them
         clusters, stack, members = [], [(root, -1, 0.0)], {}
-        points = lambda v: [v] if v < n else [p for c in kids[v] for p in points(c)]
         while stack:
             v, up, birth = stack.pop()
             me = len(clusters)
@@ -187,7 +195,7 @@ def condensed_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, least:
             above = owner.get(clusters[me]["up"])
             owner[me] = above if above is not None else me if chosen[me] else None
             if owner[me] is not None:
-                labels[members[me]] = root * (2 * n) + owner[me]
+                labels[members[me]] = owner[me]
     _, dense = np.unique(labels[labels >= 0], return_inverse=True)
     labels[labels >= 0] = dense
     return labels

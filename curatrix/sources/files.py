@@ -63,8 +63,8 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 def load_string_map(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of a JSON object whose values are all strings; anything else raises."""
-    v = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    rows = v.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("key", F.schema_of_variant("value").alias("kind"), F.col("value").alias("x")) if hasattr(v, "lateralJoin") else v
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.explode(F.from_json("value", "map<string,variant>", {"mode": "FAILFAST"})).alias("key", "x")).withColumn("kind", F.schema_of_variant("x"))
     bad = rows.filter("kind <> 'STRING' or key is null").head()
     if bad:
         raise ValueError(f"value of {bad['key']} is {bad['kind']}, not a string")
@@ -82,7 +82,7 @@ def load_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
     """A rule file as a long table (section, key, value) with cleaned keys: entries of maps and, with null value, members of lists."""
     j = spark.read.text(path, wholetext=True).select(F.col("value").alias("j"))
-    top = j.select("j", F.explode(F.json_object_keys("j")).alias("section")).withColumn("x", F.get_json_object("j", F.concat(F.lit("$['"), "section", F.lit("']"))))
+    top = j.select("j", F.explode(F.json_object_keys("j")).alias("section")).withColumn("x", F.call_function("get_json_object", F.col("j"), F.concat(F.lit("$['"), "section", F.lit("']"))))
     maps = top.filter("x like '{%'").select("section", F.explode(F.from_json("x", "map<string,string>")).alias("key", "value"))
     lists = top.filter("x like '[%'").select("section", F.explode(F.from_json("x", "array<string>")).alias("key"), F.lit(None).cast("string").alias("value"))
     return maps.unionByName(lists).withColumn("key", clean_key(F.col("key")))
