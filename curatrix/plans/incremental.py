@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from curatrix.operators import render as R
 from curatrix.operators.parse import extraction_stats
+from curatrix.plans import curation
 from curatrix.plans.bindings import ATTRIBUTES_SQL, attributes, samples
 from curatrix.plans.normalization import CHAIN
+from curatrix.sources import files
 from curatrix.streaming import incremental as I
 
 QUERIES, SQL = {}, {}
@@ -59,9 +62,39 @@ def atomic_replace(s, d):
     return s.read.parquet(f"{at}/t")
 
 
-QUERIES = {"extract_incremental": extract_incremental, "running_stats": running_stats, "normalize_stream": normalize_stream, "atomic_replace": atomic_replace}
+def read_jsonl(s, d):
+    """What write_jsonl writes, read_jsonl reads: null values stay."""
+    at = _folder(s)
+    rows = attributes(s, d).select("record_id", "slot", "raw_value")
+    files.write_jsonl(rows, f"{at}/rows")
+    return files.read_jsonl(s, f"{at}/rows", "record_id string, slot string, raw_value string")[0]
+
+
+def write_pairing_artifacts(s, d):
+    """The artifacts' row counts, from what was written."""
+    at = _folder(s)
+    files.write_pairing(curation._pair(s, d), at)
+    count = lambda n: s.read.text(f"{at}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("artifact"), "n")
+    return count("train_manifest").unionByName(count("unmatched_images")).unionByName(count("unmatched_render_records"))
+
+
+def render_incremental(s, d):
+    """Two drops of records, rendered as they come; rows rendered before aren't rendered again."""
+    at = _folder(s)
+    rows = curation._records(s, d).withColumn("sample_id", F.col("record_id"))
+    done = R.render(rows.filter("p_partkey % 2 = 0"))
+    done.write.parquet(f"{at}/batch=0")
+    rest = R.render_resume(rows, s.read.parquet(f"{at}/batch=0"))
+    R.render(rest).write.parquet(f"{at}/batch=1")
+    return I.latest(s.read.option("basePath", at).parquet(at), "record_id").select("record_id", "render_status", "canonical_caption")
+
+
+QUERIES = {"read_jsonl": read_jsonl, "write_pairing_artifacts": write_pairing_artifacts, "render_incremental": render_incremental, "extract_incremental": extract_incremental, "running_stats": running_stats, "normalize_stream": normalize_stream, "atomic_replace": atomic_replace}
 _S = "with " + ATTRIBUTES_SQL
 SQL = {
+    "read_jsonl": f"{_S} select record_id, slot, raw_value from attributes",
+    "write_pairing_artifacts": f"{curation._CAPS} select 'train_manifest' artifact, count(*) n from pairs union all select 'unmatched_images', count(*) from m where line_no is null union all select 'unmatched_render_records', count(*) from lost",
+    "render_incremental": f"{curation._RENDER} select record_id, case when canonical_caption is null then 'failed' else 'success' end render_status, canonical_caption from rendered",
     "extract_incremental": f"{_S} select record_id, 'success' extraction_status, cast(p_partkey % 5 = 0 as int) attempt from samples",
     "running_stats": f"{_S} select count(*) total, count(*) success, cast(0 as bigint) failed, count(distinct class_name_raw) classes, array_to_string(list_sort(list(distinct archetype)), ',') archetypes from samples",
     "normalize_stream": f"{CHAIN} select record_id, slot, value, status from fields",
