@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import table, unused
-from curatrix.llm.encoding import UNIT, Units
+from curatrix.llm.encoding import Units
 
 #: Characters of a leaf; of the first window on each side of a join; tokens at a window's ends that are never trusted.
 LEAF, WINDOW, MARGIN = 512, 48, 2
+#: Units of each generation of a worker's memo (about 100 MB in all).
+MEMO = 150_000
 Tokens = list[tuple[int, int, int]]  # id, start, end in the text
 
 
@@ -94,22 +96,25 @@ class Coder(Units):
     """unit -> (number of ids, decimal ids joined by spaces, decoded text); long units by tree_encode."""
 
     def __init__(self, path: str):
-        super().__init__(path, self.describe)
-        self.piecewise = self.tokenizer.decoder is None  # then decoding joins the tokens' texts by spaces
+        both = lambda a, b: " ".join([x for x in (a, b) if x])
+        super().__init__(path, self.describe, lambda a, b: (a[0] + b[0], both(a[1], b[1]), both(a[2], b[2])), lower=True, memo=MEMO)
+        if self.tokenizer.decoder is not None or not _parts_at_spaces(self.tokenizer):
+            raise ValueError("a vocabulary that lower-cases, drops white space and joins decoded tokens by spaces is asked for")
 
-    def describe(self, ids: list[int], _: str = "") -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False) if self.piecewise else ids
+    def describe(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
 
     def code(self, text: str) -> tuple[int, str, str]:
-        units = UNIT.findall(text) if self.splits(text) else [text]
+        units = [text] if self.has_special(text) else text.replace("\n", " ").split(" ")
         long = {u: self.describe(tree_encode(self.tokenizer, u)) for u in units if len(u) > LEAF}
-        self.fill([u for u in units if u not in long])
         found = [long.get(u) or self[u] for u in units] if long else list(map(self.__getitem__, units))
         found = [x for x in found if x[0]]
-        if self.piecewise:
-            return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
-        ids = [i for x in found for i in x[2]]
-        return len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
+        return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+
+
+def _parts_at_spaces(tokenizer) -> bool:
+    ids = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
+    return ids("a b") == ids("A\nB") == ids("a") + ids("b")
 
 
 _coders: dict[str, Coder] = {}

@@ -10,11 +10,11 @@ from __future__ import annotations
 import os
 import re
 
-UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
-#: White space of any kind but space and line feed, as Python sees it (more than the library's patterns see).
-OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Units remembered by a worker; the memo starts anew when full (about 100 MB).
-MEMO = 300_000
+#: Marks that both patterns always part from a letter before them when nothing follows.
+MARKS = frozenset(".,!?;:")
+#: Units remembered by a worker in each of two generations (about 200 MB in all): when the young one is full it becomes the old one,
+#: from which units still in use come back.
+MEMO = 400_000
 
 
 def load(path: str):
@@ -27,25 +27,50 @@ def load(path: str):
     return t
 
 
+def byte_characters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for 256 and up, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class Units(dict):
-    """unit -> make(ids, unit), through the library."""
+    """unit -> make(ids), through the library. lead: what stands before a unit where it is encoded; join: value of two units in a row;
+    lower: whether the vocabulary lower-cases; memo: units of a generation."""
 
-    def __init__(self, path: str, make):
+    def __init__(self, path: str, make, join, lead: str = "", lower: bool = False, memo: int = MEMO):
         super().__init__()
-        self.tokenizer, self.make = load(path), make
+        self.tokenizer, self.make, self.join, self.lead, self.lower = load(path), make, join, lead, lower
+        self.model, self.bytes, self.old, self.marks = self.tokenizer.model, byte_characters(), {}, {}
+        self.memo = memo
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def splits(self, text: str) -> bool:
-        return not (OTHER_SPACE.search(text) or self.special and self.special.search(text))
+    def has_special(self, text: str) -> bool:
+        return bool(self.special and self.special.search(text))
 
-    def fill(self, units: list[str]) -> None:
-        """Make sure of all units at once: one batched call for the missing ones."""
-        if len(self) > MEMO:
+    def __missing__(self, unit: str):
+        if len(self) >= self.memo:
+            self.old = dict(self)
             self.clear()
-        if new := [u for u in dict.fromkeys(units) if u not in self]:
-            for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[u] = self.make(e.ids, u)
+        v = self.old.get(unit)
+        if v is None:
+            mark = unit[-1:]
+            if mark in MARKS and unit[-2:-1].isalpha():
+                if mark not in self.marks:
+                    self.marks[mark] = self.make(self.whole(mark))
+                v = self.join(self[unit[:-1]], self.marks[mark])
+            else:
+                v = self.make(self.ids(unit))
+        self[unit] = v
+        return v
+
+    def ids(self, unit: str) -> list[int]:
+        """Latin letters are one pre-token whose bytes go to the library's model as they are; all else takes the whole way."""
+        u = unit.lower() if self.lower else unit
+        if u.isalpha() and max(u) < "\u0250":
+            return [t.id for t in self.model.tokenize((self.lead + u).encode().decode("latin-1").translate(self.bytes))]
+        return self.whole(self.lead + unit)

@@ -139,27 +139,35 @@ class FileReader:
         self.file.close()
 
 
-_encoders: dict[str, Units] = {}
+_encoders: dict[str, tuple[Units, Units]] = {}
 
 
-def encoder(path: str) -> Units:
-    """One a Python worker, kept for its later tasks. Values are ids as little-endian bytes."""
+def encoder(path: str) -> tuple[Units, Units]:
+    """(of runs after a space, of runs at the start of a line): one pair a Python worker, kept for its later tasks; values are ids as
+    little-endian bytes."""
     if path not in _encoders:
-        _encoders[path] = Units(path, lambda ids, _: np.asarray(ids, "<u4").tobytes())
+        make, join = (lambda ids: struct.pack(f"<{len(ids)}I", *ids)), (lambda a, b: a + b)
+        _encoders[path] = Units(path, make, join, lead=" "), Units(path, make, join)
     return _encoders[path]
 
 
-def encode(units: Units, text: str) -> np.ndarray:
-    from curatrix.llm.encoding import UNIT
+#: White space but space and line feed.
+OTHERS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+ASCII_OTHERS = [c for c in OTHERS if c < "\x80"]
 
-    if not units.splits(text):
-        return np.asarray(units.whole(text), np.uint32)
-    found = UNIT.findall(text)
-    try:
-        return np.frombuffer(b"".join(map(units.__getitem__, found)), "<u4")
-    except KeyError:
-        units.fill(found)
-        return np.frombuffer(b"".join(map(units.__getitem__, found)), "<u4")
+
+def encode(encoders: tuple[Units, Units], text: str) -> np.ndarray:
+    """ids of the whole text. Single spaces and single line feeds that touch no other white space part units; any other white space sends
+    the text to the library."""
+    after, start = encoders
+    others = ASCII_OTHERS if text.isascii() else OTHERS
+    if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or after.has_special(text) or any([c in text for c in others]):
+        return np.asarray(after.whole(text), np.uint32)
+    out = []
+    for line in text.split("\n"):
+        first, *rest = line.split(" ")
+        out.append((start[first] if first else b"") + b"".join(map(after.__getitem__, rest)))
+    return np.frombuffer(start["\n"].join(out), "<u4")
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = END_ID, block: int = BLOCK) -> DataFrame:
@@ -170,7 +178,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
     first; rows that share an id follow in order of that hash. Null texts count as empty and hold the end id alone. No rows: no files.
     """
     spark = docs.sparkSession
-    size = max(encoder(tokenizer).tokenizer.get_vocab_size(), 1 + (end_id or 0))
+    size = max(encoder(tokenizer)[0].tokenizer.get_vocab_size(), 1 + (end_id or 0))
     bits = vocabulary_bits(size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
