@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import materialize, partitions
 
-#: Rows that a home chunk holds on average at most; visitors compared at a time.
-CHUNK, STEP = 2048, 512
+#: Rows that a home chunk holds on average at most; pairs compared at a time.
+CHUNK, PAIRS = 2048, 1 << 20
+
+
+def _step(homes: int) -> int:
+    return max(16, PAIRS // max(1, homes))
 
 
 class _Chunk:
@@ -28,8 +32,9 @@ class _Chunk:
         self.ids, self.data, self.weight, self.near, self.count = ids, data, weight, near, count
         self.root, self.links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         self.out: list[tuple] = []
-        for a in range(0, len(ids), STEP):
-            b = min(len(ids), a + STEP)
+        step = _step(len(ids))
+        for a in range(0, len(ids), step):
+            b = min(len(ids), a + step)
             hit = near(data[:b], data[a:b])  # lower homes only: each pair once
             hit[:, a:] &= np.tri(b - a, k=-1, dtype=bool)
             self._fold(ids[a:b], hit, range(a, b))
@@ -103,8 +108,9 @@ def link(placed: DataFrame, parse: Callable[[pd.Series], np.ndarray], near: Call
                 open_chunk = open_chunk or start()
                 if open_chunk is None:
                     continue
-                for at in range(0, len(b), STEP):
-                    v = b.iloc[at : at + STEP]
+                step = _step(len(open_chunk.ids))
+                for at in range(0, len(b), step):
+                    v = b.iloc[at : at + step]
                     open_chunk.visit(list(v["id"]), parse(v["data"]), v["weight"].to_numpy(np.int64))
                 yield from frames(open_chunk.out)
                 open_chunk.out = []

@@ -79,11 +79,13 @@ class Points:
 @dataclass
 class Rule:
     """Two points link if at most `radius` bits differ and, where ratio is given, the smaller shingle count is at least ratio times the
-    larger. Both are metric balls: of Hamming distance and of the distance between logarithms of counts."""
+    larger. Both are metric balls: of Hamming distance and of the distance between logarithms of counts. leaf: points of a leaf; more
+    where the radius is so wide that leaves are mostly visited whole."""
 
     bits: int = BITS
     radius: int = RADIUS
     ratio: float | None = None
+    leaf: int = CHUNK
 
     def parse(self, data: pd.Series) -> Points:
         raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), self.bits // 8 + 8)
@@ -153,11 +155,11 @@ class VantageTree:
         return np.concatenate([x[0] for x in out]), np.concatenate([np.full(len(x[0]), x[1]) for x in out]), np.concatenate([np.full(len(x[0]), x[2]) for x in out])
 
 
-def linked(points: DataFrame, rule: Rule, chunk: int = CHUNK, sample: int = SAMPLE) -> DataFrame:
+def linked(points: DataFrame, rule: Rule, sample: int = SAMPLE) -> DataFrame:
     """points (data binary: fingerprint and 8 bytes of shingle count; all different) -> (id, component): the points that have a link,
     with the smallest point reachable."""
     n = points.count()
-    leaves = min(sample // 16, -(-n // chunk))
+    leaves = min(sample // 16, -(-n // rule.leaf))
     chosen = points.orderBy(F.xxhash64("data"), "data").limit(min(sample, 64 * leaves)).toPandas()["data"]
     tree = VantageTree(rule.parse(chosen), rule, leaves)
 
@@ -168,7 +170,7 @@ def linked(points: DataFrame, rule: Rule, chunk: int = CHUNK, sample: int = SAMP
             yield pd.DataFrame({"cell": leaf, "visitor": visitor.astype(bool), "id": data, "data": data, "weight": 1})
 
     placed = materialize(points.mapInPandas(run, "cell int, visitor boolean, id binary, data binary, weight long"), "leaves")
-    return components(link(placed, rule.parse, rule.near, "binary", chunk=chunk).select("a", "b"))
+    return components(link(placed, rule.parse, rule.near, "binary", chunk=rule.leaf).select("a", "b"))
 
 
 def groups(keyed: DataFrame, rule: Rule) -> DataFrame:

@@ -120,7 +120,7 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thr
 
     Fitted on at most per_class documents of each class of labels (doc_id, toxic), none of them held out; labels, lang, source and
     doc_id are no inputs of a score. Null texts count as empty; they and texts without words get the score of an empty sentence. Without
-    labels of both classes every text gets that score. Columns of the same names are kept: new ones get trailing underscores.
+    labels of both classes every sentence gets that score. Columns of the same names are kept: new ones get trailing underscores.
     """
     sample = labelled_sample(docs, labels, "toxic", per_class).toPandas().sort_values("doc_id")
     weights, bias = train(list(sample["text"]), sample["y"].to_numpy(np.int64))
