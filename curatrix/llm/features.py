@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -21,8 +22,7 @@ class Lexicon:
     def __init__(self, grams: tuple[int, ...], buckets: int):
         self.grams, self.buckets = grams, buckets
         self.number: dict[str, int] = {}
-        self.features: list[int] = []
-        self.counts: list[int] = []
+        self.features, self.counts = array("i"), array("i")
 
     def add(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words), np.int64)
@@ -31,14 +31,14 @@ class Lexicon:
             if n is None:
                 n = self.number[w] = len(self.number)
                 f = word_features(w, self.grams, self.buckets)
-                self.features += f
+                self.features.extend(f)
                 self.counts.append(len(f))
             out[k] = n
         return out
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         """(features, start of each word's)."""
-        return np.asarray(self.features, np.int64), np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
+        return np.asarray(self.features, np.int32), np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
 
 
 class Scores(dict):

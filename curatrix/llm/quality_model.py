@@ -19,7 +19,7 @@ from curatrix.llm.common import held_out, labelled_sample, table, unused
 from curatrix.llm.features import Lexicon, Scores
 
 #: Labelled documents of each class that the model is fitted on at most.
-PER_CLASS = 1200
+PER_CLASS = 900
 BUCKETS, GRAMS, DIM = 1 << 17, (3, 4), 8
 EPOCHS, BATCH, RATE = 6, 32, 4.0
 THRESHOLD = 0.5
@@ -44,7 +44,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 11) -> tuple[np.ndarray,
     flat = []  # every document's features and counts
     for ids, counts, again in docs:
         at = np.repeat(start[ids] - np.concatenate([[0], np.cumsum(size[ids])[:-1]]), size[ids]) + np.arange(size[ids].sum()) if len(ids) else np.zeros(0, np.int64)
-        flat.append((np.append(feature[at], BUCKETS), np.append(np.repeat(counts, size[ids]), again).astype(float)))
+        flat.append((np.append(feature[at], BUCKETS).astype(np.int32), np.append(np.repeat(counts, size[ids]), again).astype(np.float32)))
     total = EPOCHS * -(-len(docs) // BATCH)
     step = 0
     for _ in range(EPOCHS):

@@ -127,10 +127,11 @@ def judge(features: DataFrame, rules: dict[str, tuple[str, str]] | None = None,
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs (text and any columns) that the rules keep. Null and empty texts have no words and fail; repeated rows fare
-    alike; an empty table stays empty."""
+    alike; an empty table stays empty. Rows are written once with their features, so that these are worked out only once."""
     (row,) = unused(docs, "_row")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("text").alias("text"))
-    return judge(measured(packed, "text")).filter("kept").select(f"{row}.*")
+    measured_rows = materialize(measured(packed, "text").select(row, *FEATURES), "measured")
+    return judge(measured_rows).filter("kept").select(f"{row}.*")
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
