@@ -12,9 +12,9 @@ import re
 
 #: Marks that both patterns always part from a letter before them when nothing follows.
 MARKS = frozenset(".,!?;:")
-#: Units remembered by a worker in each of two generations (about 200 MB in all): when the young one is full it becomes the old one,
+#: Units remembered by a worker in each of two generations (about 300 MB in all): when the young one is full it becomes the old one,
 #: from which units still in use come back.
-MEMO = 400_000
+MEMO = 700_000
 
 
 def load(path: str):
@@ -42,7 +42,7 @@ class Units(dict):
         super().__init__()
         self.tokenizer, self.make, self.join, self.lead, self.lower = load(path), make, join, lead, lower
         self.model, self.bytes, self.old, self.marks = self.tokenizer.model, byte_characters(), {}, {}
-        self.memo = memo
+        self.memo, self.mapped_lead = memo, lead.translate(self.bytes)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
@@ -71,6 +71,8 @@ class Units(dict):
     def ids(self, unit: str) -> list[int]:
         """Latin letters are one pre-token whose bytes go to the library's model as they are; all else takes the whole way."""
         u = unit.lower() if self.lower else unit
+        if u.isascii() and u.isalpha():
+            return [t.id for t in self.model.tokenize(self.mapped_lead + u)]
         if u.isalpha() and max(u) < "\u0250":
             return [t.id for t in self.model.tokenize((self.lead + u).encode().decode("latin-1").translate(self.bytes))]
         return self.whole(self.lead + unit)
