@@ -28,8 +28,8 @@ def _step(homes: int) -> int:
 class _Chunk:
     """The homes of one chunk, their links so far as components, and weighted link counts."""
 
-    def __init__(self, ids: list, data: np.ndarray, weight: np.ndarray, near: Callable, count: bool):
-        self.ids, self.data, self.weight, self.near, self.count = ids, data, weight, near, count
+    def __init__(self, ids: list, data: np.ndarray, weight: np.ndarray, near: Callable, count: bool, sure: Callable | None = None):
+        self.ids, self.data, self.weight, self.near, self.count, self.sure = ids, data, weight, near, count, sure
         self.root, self.links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         self.out: list[tuple] = []
         step = _step(len(ids))
@@ -37,15 +37,17 @@ class _Chunk:
             b = min(len(ids), a + step)
             hit = near(data[:b], data[a:b])  # lower homes only: each pair once
             hit[:, a:] &= np.tri(b - a, k=-1, dtype=bool)
-            self._fold(ids[a:b], hit, range(a, b))
+            self._fold(ids[a:b], hit, range(a, b), data[a:b])
             rows = np.flatnonzero(hit.any(1))
             if count and len(rows):
                 self.links[a + rows] += hit[rows] @ weight[:b]
                 self.links[:b] += weight[a + rows] @ hit[rows]
 
-    def _fold(self, ids: list, hit: np.ndarray, own: range | None) -> None:
+    def _fold(self, ids: list, hit: np.ndarray, own: range | None, data: np.ndarray) -> None:
         for k in np.flatnonzero(hit.any(1)):
             at = np.flatnonzero(hit[k])
+            if self.sure:
+                at = self._first_sure(at, data, k, None if own is None else self.root[own[k]])
             roots, first = np.unique(self.root[at], return_index=True)
             if own is not None:  # a home that an earlier one already joined needs no second edge
                 mine = self.root[own[k]]
@@ -54,9 +56,18 @@ class _Chunk:
             if len(roots) > 1:
                 self.root[np.isin(self.root, roots)] = roots[0]
 
+    def _first_sure(self, at: np.ndarray, data: np.ndarray, k: int, mine: int | None) -> np.ndarray:
+        """Of the homes at, one of each component but mine that surely links to point k, where there is one."""
+        out, done = [], {mine}
+        for i, r in zip(at.tolist(), self.root[at].tolist(), strict=True):
+            if r not in done and self.sure(self.data, i, data, k):
+                out.append(i)
+                done.add(r)
+        return np.array(out, np.int64)
+
     def visit(self, ids: list, data: np.ndarray, weight: np.ndarray) -> None:
         hit = self.near(self.data, data)
-        self._fold(ids, hit, None)
+        self._fold(ids, hit, None, data)
         rows = np.flatnonzero(hit.any(1))
         if self.count and len(rows):
             self.links += weight[rows] @ hit[rows]
@@ -66,11 +77,12 @@ class _Chunk:
         return self.out + [(self.ids[k], None, int(self.links[k])) for k in np.flatnonzero(self.links)]
 
 
-def link(placed: DataFrame, parse: Callable[[pd.Series], np.ndarray], near: Callable[[np.ndarray, np.ndarray], np.ndarray], id_type: str, count: bool = False, chunk: int = CHUNK) -> DataFrame:
+def link(placed: DataFrame, parse: Callable[[pd.Series], np.ndarray], near: Callable[[np.ndarray, np.ndarray], np.ndarray], id_type: str, count: bool = False, chunk: int = CHUNK, sure: Callable | None = None) -> DataFrame:
     """placed (cell, visitor, id, data binary, weight long) -> (a, b, n): edges of a spanning forest of each chunk's links with n = 0
     and, if count, rows with null b whose n sum, by a, to the weights of the points linked to a.
 
     parse turns data into rows of an array; near(homes, points) says, as a matrix of points x homes, which pairs are links.
+    sure(homes, i, points, k), if given (without count), decides about a pair that near names; it is asked only while the pair's ends are apart.
     """
     size = placed.filter("not visitor").groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     size = materialize(size, "cells")
@@ -88,7 +100,7 @@ def link(placed: DataFrame, parse: Callable[[pd.Series], np.ndarray], near: Call
             if not homes:
                 return None
             h = pd.concat(homes)
-            return _Chunk(list(h["id"]), parse(h["data"]), h["weight"].to_numpy(np.int64), near, count)
+            return _Chunk(list(h["id"]), parse(h["data"]), h["weight"].to_numpy(np.int64), near, count, sure)
 
         def frames(out: list[tuple]) -> Iterator[pd.DataFrame]:
             if out:

@@ -7,7 +7,7 @@ side, it also visits that side. Leaves join independently, exactly, and the link
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +28,23 @@ SAMPLE = 32_768
 def fingerprint(text: str, words: int = WORDS, bits: int = BITS) -> tuple[bytes, int]:
     """Big-endian SimHash of the text's shingles and their number. A bit is 1 if it is 1 in over half of the shingles' hashes: 64 bits
     are XXH64 (seed 42), further words of 64 are that hash mixed with the word's number. No words: all zero, no shingles."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
+    return _votes(_hashes(text.encode("utf-8", "surrogatepass"), words), bits)
+
+
+def _hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included."""
+    w = text.lower().split()
+    shingles = list(map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False))) or [b" ".join(w)] * bool(w)
+    return np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
+
+
+def _votes(h: np.ndarray, bits: int) -> tuple[bytes, int]:
+    n = len(h)
+    if not n:
         return bytes(bits // 8), 0
-    shingles = list(map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False))) or [b" ".join(w)]
-    h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
     if bits > 64:
         h = np.stack([h, *[_mixed(h, k) for k in range(1, bits // 64)]], axis=1)
-    ones, n = np.unpackbits(h.reshape(len(shingles), -1).astype(">u8").view(np.uint8), axis=1), len(shingles)
+    ones = np.unpackbits(h.reshape(n, -1).astype(">u8").view(np.uint8), axis=1)
     whole = n // 255 * 255
     total = ones[:whole].reshape(-1, 255, bits).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + ones[whole:].sum(0, dtype=np.uint8)
     return np.packbits(2 * total > n).tobytes(), n
@@ -49,48 +58,60 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, text: str, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """docs plus fp binary and shingles long, without the text column. Null text counts as empty."""
+def fingerprints(docs: DataFrame, text: str, words: int = WORDS, bits: int = BITS, exact: bool = False) -> DataFrame:
+    """docs plus fp binary and shingles long, without the text column. Null text counts as empty. exact: also digest binary, 16 bytes of
+    the set of shingles."""
     rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [fingerprint(t, words, bits) for t in b.pop(text)]
-            yield b.assign(fp=[m[0] for m in made], shingles=[m[1] for m in made])
+            hashes = [_hashes(t.encode("utf-8", "surrogatepass"), words) for t in b.pop(text)]
+            made = [_votes(h, bits) for h in hashes]
+            b = b.assign(fp=[m[0] for m in made], shingles=[m[1] for m in made])
+            yield b.assign(digest=[xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes]) if exact else b
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes)
-    return docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).mapInPandas(run, f"{schema}, fp binary, shingles long")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + ", fp binary, shingles long" + ", digest binary" * exact
+    return docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).mapInPandas(run, schema)
 
 
 @dataclass
 class Points:
-    """Fingerprints as rows of 64-bit words, and logarithms of shingle counts (all 0 where sizes don't matter)."""
+    """Fingerprints as rows of 64-bit words, logarithms of shingle counts (all 0 where sizes don't matter), and, for the exact check,
+    sorted hashes of each one's set of shingles."""
 
     words: np.ndarray
     size: np.ndarray
+    sets: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.size)
 
     def __getitem__(self, at) -> Points:
-        return Points(self.words[at], self.size[at])
+        return Points(self.words[at], self.size[at], None if self.sets is None else self.sets[at])
 
 
 @dataclass
 class Rule:
     """Two points link if at most `radius` bits differ and, where ratio is given, the smaller shingle count is at least ratio times the
     larger. Both are metric balls: of Hamming distance and of the distance between logarithms of counts. leaf: points of a leaf; more
-    where the radius is so wide that leaves are mostly visited whole."""
+    where the radius is so wide that leaves are mostly visited whole. exact (deduplicate only): such pairs are candidates, and link if
+    their sets of shingles share ratio of their union or more."""
 
     bits: int = BITS
     radius: int = RADIUS
     ratio: float | None = None
     leaf: int = CHUNK
+    exact: bool = False
 
-    def parse(self, data: pd.Series) -> Points:
-        raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), self.bits // 8 + 8)
-        words = np.ascontiguousarray(raw[:, :-8]).view(">u8").astype(np.uint64)
-        n = np.ascontiguousarray(raw[:, -8:]).view(">u8")[:, 0].astype(np.float64)
+    @property
+    def width(self) -> int:
+        return self.bits // 8 + 8 + 16 * self.exact
+
+    def parse(self, data: Sequence[bytes]) -> Points:
+        end = self.bits // 8
+        raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), self.width)
+        words = np.ascontiguousarray(raw[:, :end]).view(">u8").astype(np.uint64)
+        n = np.ascontiguousarray(raw[:, end : end + 8]).view(">u8")[:, 0].astype(np.float64)
         return Points(words, np.log(np.maximum(n, 0.5)) if self.ratio else np.zeros(len(data)))
 
     @property
@@ -107,6 +128,10 @@ class Rule:
         hit = self.hamming(homes, points) <= self.radius
         return hit & (np.abs(homes.size[None, :] - points.size[:, None]) <= self.spread) if self.ratio else hit
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= self.ratio * (len(a) + len(b) - both) - 1e-9
+
 
 class VantageTree:
     """Nodes as arrays: a vantage fingerprint (or, for a split by size, none), its threshold and children; leaves are numbered."""
@@ -173,21 +198,43 @@ def linked(points: DataFrame, rule: Rule, sample: int = SAMPLE) -> DataFrame:
     return components(link(placed, rule.parse, rule.near, "binary", chunk=rule.leaf).select("a", "b"))
 
 
-def groups(keyed: DataFrame, rule: Rule) -> DataFrame:
+def verified(found: DataFrame, texts: DataFrame, rule: Rule, words: int) -> DataFrame:
+    """found (id, component) of candidates and texts (id, text) of one document each -> (id, component) of those that link exactly.
+
+    A component of candidates is a cell: all its pairs are candidates again and the sets decide, so no link is lost with the forest that
+    the tree kept of them. A pair is compared only while its ends are in different components.
+    """
+    data = F.concat("id", F.coalesce("text", F.lit("")).cast("binary"))
+    placed = found.join(texts, "id").select(F.xxhash64("component").alias("cell"), F.lit(False).alias("visitor"), "id", data.alias("data"), F.lit(1).cast("long").alias("weight"))
+
+    def parse(rows: pd.Series) -> Points:
+        p = rule.parse([r[: rule.width] for r in rows])
+        p.sets = np.empty(len(rows), object)
+        p.sets[:] = [np.unique(_hashes(r[rule.width :], words)) for r in rows]
+        return p
+
+    sure = lambda homes, i, points, k: rule.same(homes.sets[i], points.sets[k])
+    return components(link(materialize(placed, "candidates"), parse, rule.near, "binary", sure=sure).select("a", "b"))
+
+
+def groups(keyed: DataFrame, rule: Rule, texts: DataFrame | None = None, words: int = WORDS) -> DataFrame:
     """keyed (fp, shingles, key: any orderable type) -> (data, low): every point with the smallest key of its component (nulls only if
-    all its keys are)."""
+    all its keys are). An exact rule needs keyed's digest and texts (key, text), a row a key."""
     data = point(rule)
     classes = materialize(keyed.groupBy(data.alias("data")).agg(F.min("key").alias("low")), "classes")
     found = materialize(linked(classes.select("data"), rule), "links")
+    if rule.exact:
+        own = classes.join(found.select("id"), F.col("data") == F.col("id"), "left_semi").select(F.col("data").alias("id"), F.col("low").alias("key"))
+        found = materialize(verified(found, texts.join(own, "key").select("id", "text"), rule, words), "links")
     lows = classes.join(found, F.col("data") == F.col("id")).groupBy("component").agg(F.min("low").alias("lowest"))
     lows = found.join(lows, "component").select("id", "lowest")
     return classes.join(lows, F.col("data") == F.col("id"), "left").select("data", F.when(F.col("id").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("low"))
 
 
 def point(rule: Rule) -> Column:
-    """Fingerprint, then the shingle count where the rule looks at it (else zero), as bytes."""
+    """Fingerprint, the shingle count where the rule looks at it (else zero) and the digest where it is exact, as bytes."""
     n = F.col("shingles") if rule.ratio else F.lit(0)
-    return F.concat(F.col("fp"), F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0")))
+    return F.concat(F.col("fp"), F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0")), *[F.col("digest")] * rule.exact)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, rule: Rule | None = None) -> DataFrame:
@@ -198,6 +245,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, rule: Rule | None = Non
     whole component has no other. Repeated rows come back as often as they stand. An empty table gives no rows.
     """
     rule = rule or Rule()
+    if rule.exact:
+        raise ValueError("one doc_id may have several texts here: exact rules are for deduplicate")
     prints = materialize(fingerprints(docs.select("doc_id", "text"), "text", words, rule.bits), "prints")
     low = groups(prints.withColumnRenamed("doc_id", "key"), rule)
     out = prints.withColumn("data", point(rule)).join(low, "data")
@@ -210,13 +259,14 @@ def deduplicate(docs: DataFrame, words: int = WORDS, rule: Rule | None = None) -
     k_id, k_hash, k_key = unused(docs, "_id", "_hash", "_key")
     own = docs.columns
     keyed = docs.select(F.col("doc_id").alias(k_id), row_hash(docs).alias(k_hash), F.col("text").alias("text"))
-    prints = materialize(fingerprints(keyed, "text", words, rule.bits), "prints")
+    prints = materialize(fingerprints(keyed, "text", words, rule.bits, rule.exact), "prints")
+    repeats = prints.groupBy(k_id, k_hash).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(k_id).alias(k_key), k_hash)
+    repeats = materialize(repeats, "repeats")
     key = F.struct(F.col(k_id).isNull().alias("no"), F.col(k_id).alias("id"), F.col(k_hash).alias("h"))
-    low = groups(prints.withColumn("key", key), rule)
+    texts = keyed.select(key.alias("key"), "text") if repeats.isEmpty() else keyed.dropDuplicates([k_id, k_hash]).select(key.alias("key"), "text")
+    low = groups(prints.withColumn("key", key), rule, texts, words)
     keep = low.groupBy("low").agg(F.lit(1).alias("one"))
     keep = materialize(keep.select(F.col("low.id").alias(k_key), F.col("low.h").alias(k_hash)), "keep")
-    repeats = prints.groupBy(k_id, k_hash).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(k_id).alias(k_key), k_hash)
-    repeats = materialize(repeats, "repeats")
     with_hash = docs.withColumn(k_hash, row_hash(docs))
     on = lambda r: with_hash["doc_id"].eqNullSafe(r[k_key]) & (with_hash[k_hash] == r[k_hash])
     kept = with_hash.join(keep, on(keep), "left_semi")
