@@ -31,11 +31,12 @@ def fingerprint(text: str, words: int = WORDS, bits: int = BITS) -> tuple[bytes,
     return _votes(_hashes(text.encode("utf-8", "surrogatepass"), words), bits)
 
 
-def _hashes(text: bytes, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of every shingle, repeats included."""
+def _hashes(text: bytes, words: int, distinct: bool = False) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included, or sorted and each once."""
     w = text.lower().split()
     shingles = list(map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False))) or [b" ".join(w)] * bool(w)
-    return np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
+    h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
+    return np.unique(h) if distinct else h
 
 
 def _votes(h: np.ndarray, bits: int) -> tuple[bytes, int]:
@@ -59,16 +60,16 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str, words: int = WORDS, bits: int = BITS, exact: bool = False) -> DataFrame:
-    """docs plus fp binary and shingles long, without the text column. Null text counts as empty. exact: also digest binary, 16 bytes of
-    the set of shingles."""
+    """docs plus fp binary and shingles long, without the text column. Null text counts as empty. exact: a shingle
+    votes and counts once however often it stands, and digest binary holds 16 bytes of their set."""
     rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hashes = [_hashes(t.encode("utf-8", "surrogatepass"), words) for t in b.pop(text)]
+            hashes = [_hashes(t.encode("utf-8", "surrogatepass"), words, exact) for t in b.pop(text)]
             made = [_votes(h, bits) for h in hashes]
             b = b.assign(fp=[m[0] for m in made], shingles=[m[1] for m in made])
-            yield b.assign(digest=[xxhash.xxh3_128_digest(np.unique(h).tobytes()) for h in hashes]) if exact else b
+            yield b.assign(digest=[xxhash.xxh3_128_digest(h.tobytes()) for h in hashes]) if exact else b
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + ", fp binary, shingles long" + ", digest binary" * exact
     return docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).mapInPandas(run, schema)
@@ -94,8 +95,8 @@ class Points:
 class Rule:
     """Two points link if at most `radius` bits differ and, where ratio is given, the smaller shingle count is at least ratio times the
     larger. Both are metric balls: of Hamming distance and of the distance between logarithms of counts. leaf: points of a leaf; more
-    where the radius is so wide that leaves are mostly visited whole. exact (deduplicate only): such pairs are candidates, and link if
-    their sets of shingles share ratio of their union or more."""
+    where the radius is so wide that leaves are mostly visited whole. exact (deduplicate only): shingles
+    are taken once each, such pairs are candidates, and they link if their sets of shingles share ratio of their union or more."""
 
     bits: int = BITS
     radius: int = RADIUS
@@ -210,7 +211,7 @@ def verified(found: DataFrame, texts: DataFrame, rule: Rule, words: int) -> Data
     def parse(rows: pd.Series) -> Points:
         p = rule.parse([r[: rule.width] for r in rows])
         p.sets = np.empty(len(rows), object)
-        p.sets[:] = [np.unique(_hashes(r[rule.width :], words)) for r in rows]
+        p.sets[:] = [_hashes(r[rule.width :], words, distinct=True) for r in rows]
         return p
 
     sure = lambda homes, i, points, k: rule.same(homes.sets[i], points.sets[k])

@@ -53,3 +53,22 @@ def test_middle_band(spark):
         rows.append((len(rows), " ".join(chain[10 * k : 10 * k + 150])))
     assert sum(0.6 < s < 0.8 for s in seen) > 30 and sum(0.8 <= s < 0.9 for s in seen) > 20
     assert kept(spark, rows) == lowest(rows)
+
+
+def test_repeats_count_once(spark):
+    rng = random.Random(6)
+    w, line = words(rng, 300), words(rng, 25)
+    long = words(rng, 300)
+    texts = [w, w + w[100:200], line * 8 + words(rng, 300), line * 8 + words(rng, 300), long, long + long[50:150] * 3]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    assert alike(*(shingles(t) for _, t in rows[:2])) > 0.9 > 0.1 > alike(*(shingles(t) for _, t in rows[2:4]))
+    assert kept(spark, rows) == lowest(rows) == {0, 2, 3, 4}
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rng = random.Random(7)
+    w = words(rng, 60)
+    a, b, c = " ".join(w), " ".join(w[:57]), " ".join(w[:40])
+    rows = [(None, a), (None, a), (None, b), (3, b), (3, b), (5, c), (None, c), (9, None), (8, "")]
+    assert kept(spark, rows) == {3, 5, 8}
+    assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows[:3] * 2, SCHEMA), "").count() == 1
