@@ -92,6 +92,36 @@ def neighbour_edges(df: DataFrame, group: str, idx: str, vec: str = "embedding",
     return pairs.groupBy(group, "a").agg(best.alias("s")).select(group, "a", F.inline("s")).select(group, "a", "b", "d")
 
 
+def tree_edges(rows: DataFrame, group: str, block: int = 1024) -> DataFrame:
+    """rows (a, group, v, core) -> (group, a, b, w): edges that hold a minimum spanning tree of each group's whole mutual-reachability graph.
+
+    A group is cut into blocks by a hash; every pair of blocks is one task's work and gives a spanning tree of its rows. Each pair of rows
+    meets in a task, and a tree connects its rows under every height as all their edges do, so the trees together lose nothing.
+    """
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    own = F.pmod(F.xxhash64("a"), F.col("_n")).cast("int")
+    seats = rows.join(F.broadcast(sizes), rows[group].eqNullSafe(sizes[group])).drop(sizes[group]).withColumn("_own", own)
+    seats = seats.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).filter("_o <> _own or _n = 1")
+    seats = seats.select(group, "a", "v", "core", F.least("_own", "_o").alias("_lo"), F.greatest("_own", "_o").alias("_hi"))
+    kinds = dict(rows.dtypes)
+
+    def prim(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a")
+        v, core, n = np.stack(pdf["v"].to_numpy()), pdf["core"].to_numpy(), len(pdf)
+        best, near, todo, at, out = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool), 0, []
+        for _ in range(n - 1):
+            todo[at] = False
+            w = np.maximum(np.maximum(np.round(np.sqrt(((v - v[at]) ** 2).sum(1)), 9), core), core[at])
+            closer = todo & (w < best)
+            best[closer], near[closer] = w[closer], at
+            at = int(np.where(todo, best, np.inf).argmin())
+            out.append((near[at], at, best[at]))
+        ids, ends = pdf["a"].to_numpy(), np.array(out, float).reshape(-1, 3)
+        return pd.DataFrame({group: pdf[group].iloc[0], "a": ids[ends[:, 0].astype(int)], "b": ids[ends[:, 1].astype(int)], "w": ends[:, 2]})
+
+    return seats.groupBy(group, "_lo", "_hi").applyInPandas(prim, f"{group} {kinds[group]}, a {kinds['a']}, b {kinds['a']}, w double")
+
+
 def spanning_forest(edges: DataFrame, group: str, rounds: int = 40) -> DataFrame:
     """edges (group, a, b, w) -> (a, b, w) of a minimum spanning forest, by Boruvka rounds: each component's lightest outgoing edge, then
     the smallest label along the chosen edges. Lineage is cut every round."""
@@ -204,13 +234,13 @@ def condensed_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, least:
 def density_modes(df: DataFrame, group: str, idx: str, ipc: int, vec: str = "embedding", min_cluster_size: int = 15, min_samples: int = 3, cells: int = 8, visits: int = 8, k: int = 15) -> DataFrame:
     """(idx, group, label), label -1 for noise: density clusters of each group.
 
-    Core distances (the min_samples-th neighbour, the row itself counted), mutual-reachability weights and the spanning forest are joins and
-    aggregates over all groups; only a group's tree edges, one a row, go to one task, where the condensed tree is cut.
+    Core distances (the min_samples-th neighbour, the row itself counted), are joins and aggregates over all groups;
+    the mutual-reachability tree is taken over all pairs of a group, block by block, so it is exact if the core distances are (visits = cells); only a group's tree edges, one a row, go to one task, where the condensed tree is cut.
     """
     near = _cut(neighbour_edges(df, group, idx, vec, max(k, min_samples), cells, visits))
     core = near.groupBy("a").agg(F.element_at(F.array_sort(F.collect_list("d")), max(1, min_samples - 1)).alias("core"))
-    e = near.join(core, "a").join(core.withColumnRenamed("a", "b").withColumnRenamed("core", "core_b"), "b").select(group, "a", "b", F.greatest("d", "core", "core_b").alias("w"))
-    tree = spanning_forest(e, group).join(df.select(F.col(idx).alias("a"), group), "a")
+    rows = df.select(F.col(idx).alias("a"), group, F.transform(vec, lambda x: x.cast("double")).alias("v")).join(core, "a", "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
+    tree = spanning_forest(tree_edges(rows, group), group).join(df.select(F.col(idx).alias("a"), group), "a")
     nodes = df.select(group, F.col(idx).alias("a"), F.col(idx).alias("b"), F.lit(-1.0).alias("w"))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:

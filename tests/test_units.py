@@ -165,6 +165,26 @@ def test_pca_keeps_variance(spark):
     assert np.allclose(y.var(0, ddof=1), want, rtol=1e-4)
 
 
+def test_density_modes_nested_beyond_neighbour_lists(spark):
+    rows = []  # three simplexes of 20 rows: two whose rows have all 15 nearest rows at home but stand little farther apart, and one far away
+    for k in range(60):
+        v = [0.0] * 62
+        v[k], v[60], v[61] = 1.0, float(k // 20 == 1), 1000.0 * (k // 20 == 2)
+        rows.append((k, 0, v))
+    got = {r.vec_id: r.label for r in K.density_modes(spark.createDataFrame(rows, "vec_id long, cls int, embedding array<double>"), "cls", "vec_id", 3).collect()}
+    assert got[0] >= 0 and len({got[k] for k in range(40)}) == 1 and len({got[k] for k in range(40, 60)}) == 1 and got[0] != got[59] >= 0
+
+
+def test_tree_edges_over_blocks(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(90, 3)), 2)
+    v[:30] = v[0]  # more equal rows than a neighbour list holds
+    df = spark.createDataFrame([(k, 0, x.tolist(), 0.1) for k, x in enumerate(v)], "a long, cls int, v array<double>, core double")
+    weight = lambda block: sorted(r.w for r in K.spanning_forest(K.tree_edges(df, "cls", block), "cls").collect())
+    one = weight(1000)
+    assert len(one) == 89 and weight(20) == one
+
+
 def test_condensed_labels_without_structure():
     x = np.arange(30.0)
     assert (K.condensed_labels(30, np.arange(29), np.arange(1, 30), np.diff(x), 5) == -1).all()
