@@ -34,6 +34,7 @@ _add(
 )
 _ARCH = "case " + " ".join(f"when regexp_matches(lower(class_name), '{'|'.join(w)}') then '{a}'" for a, w in dims.KEYWORDS.items()) + f" else '{dims.DEFAULT_ARCHETYPE}' end"
 _add("infer_archetype", lambda s, d: table(s, d, "documents").select("doc_id", E.infer_archetype(F.substring("text", 1, 60)).alias("archetype")), "select doc_id, " + _ARCH.replace("class_name", "substr(text, 1, 60)") + " archetype from documents")
+_add("infer_archetype_whole", lambda s, d: table(s, d, "documents").select("doc_id", E.infer_archetype(C("text")).alias("archetype")), "select doc_id, " + _ARCH.replace("class_name", "text") + " archetype from documents")
 _MAP = "(values ('Brand#11', 'Lamp'), ('Brand#12', 'Chair'), ('Brand#31', 'Desk'))"
 
 
