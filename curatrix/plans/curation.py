@@ -110,6 +110,20 @@ _add(
     lambda s, d: _raw(s, d).filter("p_partkey % 6 = 4").withColumn("p", P.parse_bullets(C("raw_response"))).select("record_id", C("p.attributes")["color"].alias("color"), C("p.error").alias("error")),
     f"{_S} select record_id, case when p_partkey % 4 = 0 then string_split(p_name, ' ')[1] end color, case when p_partkey % 4 <> 0 then 'unsupported attribute line' end error from samples where p_partkey % 6 = 4",
 )
+# the three parsers over every format
+_BODY = """'{"archetype": "animal", "attributes": {"color": "' || string_split(p_name, ' ')[1] || '"}}'"""
+_BULLETS = """'{' || chr(10) || '"archetype": "animal",' || chr(10) || '"attributes": {' || chr(10) || ' - color: ' || string_split(p_name, ' ')[1] || ',' || chr(10) || ' - type: x' || chr(10) || case when p_partkey % 4 = 0 then '}' else 'bad line }' end"""
+_add(
+    "strip_fences_whole",
+    lambda s, d: _raw(s, d).select("record_id", T.strip_fences(C("raw_response")).alias("t")),
+    f"""{_S} select record_id, case p_partkey % 6 when 0 then {_BODY} when 1 then {_BODY} when 2 then '[' || {_BODY} || ', 1]' when 3 then '[' || {_BODY} || ', {{"archetype": "an' when 4 then {_BULLETS} else 'no json' end t from samples""",
+)
+_add("salvage_object_whole", lambda s, d: _raw(s, d).withColumn("p", P.salvage_object("raw_response")).select("record_id", F.get_json_object("p.payload", "$.attributes.color").alias("color")), f"{_S} select record_id, case when p_partkey % 6 < 4 then string_split(p_name, ' ')[1] end color from samples")
+_add(
+    "parse_bullets_whole",
+    lambda s, d: _raw(s, d).withColumn("p", P.parse_bullets(C("raw_response"))).select("record_id", C("p.attributes")["color"].alias("color"), C("p.error").alias("error")),
+    f"{_S} select record_id, case when p_partkey % 6 = 4 and p_partkey % 4 = 0 then string_split(p_name, ' ')[1] end color, case when p_partkey % 6 = 5 then 'missing archetype' when p_partkey % 6 < 4 or p_partkey % 4 <> 0 then 'unsupported attribute line' end error from samples",
+)
 _add(
     "parse_response",
     lambda s, d: P.parse_response(_raw(s, d), "raw_response").select("record_id", "parse_method", F.get_json_object("payload", "$.attributes.color").alias("color")),
