@@ -19,7 +19,7 @@ from curatrix.llm.common import held_out, labelled_sample, table, unused
 from curatrix.llm.features import Lexicon, Scores
 
 #: Labelled documents of each class that the model is fitted on at most.
-PER_CLASS = 900
+PER_CLASS = 1200
 BUCKETS, GRAMS, DIM = 1 << 17, (3, 4), 8
 EPOCHS, BATCH, RATE = 6, 32, 4.0
 THRESHOLD = 0.5
