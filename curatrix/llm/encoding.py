@@ -59,7 +59,8 @@ class Units(dict):
         v = self.old.get(unit)
         if v is None:
             mark = unit[-1:]
-            if mark in MARKS and unit[-2:-1].isalpha():
+            before = unit[-2:-1].lower() if self.lower else unit[-2:-1]
+            if mark in MARKS and before[-1:].isalpha():  # some capitals end in a combining mark when lowered
                 if mark not in self.marks:
                     self.marks[mark] = self.make(self.whole(mark))
                 v = self.join(self[unit[:-1]], self.marks[mark])

@@ -118,8 +118,11 @@ def test_encoders_equal_the_library(parts):
     assert list(tokens.encode(e, text)) == e[0].whole(text)
     c = bpe.coder(public_tokenizers.path("word_bpe_49k.json"))
     ids = c.whole(text)
-    assert c.code(text) == (len(ids), " ".join(map(str, ids)), c.tokenizer.decode(ids, skip_special_tokens=False))
-    assert bpe.tree_encode(c.tokenizer, text * 3, leaf=16) == c.whole(text * 3)
+    assert c.described(c.encode(text), True)[3:] == (" ".join(map(str, ids)), c.tokenizer.decode(ids, skip_special_tokens=False))
+    for leaf in (3, 16, 50):
+        c.leaf = leaf
+        assert [i for unit in c.encode(text * 3).ids for i in unit] == c.whole(text * 3)
+    c.leaf = bpe.LEAF
 
 
 # 3
@@ -230,15 +233,44 @@ def test_shards(spark, docs, empty):
 
 
 # 7
-def test_bpe_query(spark, docs, empty, tok):
+def library(tok, texts):
+    """(n_tokens, ids_sha256, decoded_sha256) of each text by the library."""
+    t, sha = encoding.load(tok("word_bpe_49k.json")), lambda s: hashlib.sha256(s.encode()).hexdigest()
+    ids = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    return [(len(i), sha(" ".join(map(str, i))), sha(t.decode(i, skip_special_tokens=False))) for i in ids]
+
+
+def test_bpe_query(spark, tok):
+    got = bpe.op7_bpe(spark, SF).toPandas().sort_values("doc_id")
+    src = spark.read.parquet(f"{SF}/documents.parquet").toPandas().sort_values("doc_id")
+    assert list(got.doc_id) == list(src.doc_id)
+    assert list(zip(got.n_tokens, got.ids_sha256, got.decoded_sha256, strict=True)) == library(tok, src.text)
+
+
+def test_bpe_joins_on_documents(spark, tok):
+    """Texts above a leaf come out of joins, at many places, and equal the library's."""
+    c = bpe.Coder(tok("word_bpe_49k.json"), leaf=256)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for t in texts:
+        assert [i for unit in c.encode(t).ids for i in unit] == c.whole(t)
+    assert c.joins > sum(len(t) > 256 for t in texts) > 100
+    unsplit = "".join(random.Random(4).choice("abcdeé中yz'.,!") for _ in range(20_000))
+    before = c.joins
+    assert [i for unit in c.encode(unsplit).ids for i in unit] == c.whole(unsplit) and c.joins - before > 70
+
+
+@pytest.mark.parametrize("spread", [1 << 16, 40])
+def test_bpe_odd_rows(spark, docs, empty, tok, spread):
     path = tok("word_bpe_49k.json")
     t = encoding.load(path)
-    got = bpe.encode_decode(docs, path)
-    assert "n_tokens_" in got.columns
-    for r in got.collect():
+    got = bpe.encode_decode(docs, path, spread=spread)
+    assert "n_tokens_" in got.columns and got.columns[: len(docs.columns)] == docs.columns
+    rows = got.collect()
+    assert sorted(map(str, got.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    for r in rows:
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         assert (r.n_tokens_, r.ids, r.decoded) == (len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False))
-    assert bpe.encode_decode(empty, path).isEmpty()
+    assert bpe.encode_decode(empty, path, spread=spread).isEmpty()
 
 
 # 8
