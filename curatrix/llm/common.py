@@ -44,6 +44,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_join(rows: DataFrame, side: DataFrame, on: str, total: int) -> DataFrame:
+    """rows joined to side, which has one row a value of `on` with the number of its rows as `copies`. Values that hold more than
+    1 / (4 * shuffle partitions) of all `total` rows, of which there are fewer than 4 * shuffle partitions, are broadcast; so no task gets
+    more than that share of the others for one value."""
+    hot = F.col("copies") * 4 * partitions(rows.sparkSession) > total
+    few = F.broadcast(side.filter(hot))
+    rest = rows.join(few.select(on), on, "left_anti").join(side.filter(~hot), on)
+    return rows.join(few, on).unionByName(rest)
+
+
 def word_count(text: Column) -> Column:
     """Number of WORD runs; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

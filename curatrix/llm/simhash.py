@@ -2,7 +2,11 @@
 
 Documents with one fingerprint collapse into a point. A tree fitted on a bounded sample of points sends each point to one home leaf by
 its distances to vantage points; where a point lies so near a split that the triangle inequality can't keep a partner out of the other
-side, it also visits that side. Leaves join independently, exactly, and the links' connected components are the groups.
+side, it also visits that side. Leaves join independently, exactly, and the links' connected components are the groups. A leaf of more
+points than the sample can part gets a tree of its own, fitted on a sample of the leaf.
+
+A rule of similarity between sets of shingles (deduplicate) allows so many differing bits that no split of a tree keeps partners out.
+There, points meet in the bands of a min-hash sketch, fingerprints within the radius name candidates, and the sets decide.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize, row_hash, table, unused
+from curatrix.llm.common import hot_join, materialize, row_hash, table, unused
 from curatrix.llm.graph import components
 from curatrix.llm.rangejoin import CHUNK, link
 
 WORDS, BITS, RADIUS = 3, 64, 2
-#: Points the tree is fitted on at most; it has at most SAMPLE / 16 leaves.
+#: Points that a level of the tree is fitted on (about, twice as many at most); it has at most SAMPLE / 16 leaves.
 SAMPLE = 32_768
 
 
@@ -31,24 +35,34 @@ def fingerprint(text: str, words: int = WORDS, bits: int = BITS) -> tuple[bytes,
     return _votes(_hashes(text.encode("utf-8", "surrogatepass"), words), bits)
 
 
+#: Shingles hashed, and hashes voting, at a time.
+SLICE = 255 * 64
+
+
 def _hashes(text: bytes, words: int, distinct: bool = False) -> np.ndarray:
     """XXH64 (seed 42) of every shingle, repeats included, or sorted and each once."""
     w = text.lower().split()
-    shingles = list(map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False))) or [b" ".join(w)] * bool(w)
-    h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64)
+    if 0 < len(w) < words:
+        w, words = [b" ".join(w)], 1
+    out = [np.zeros(0, np.uint64)]
+    for at in range(0, len(w) - words + 1, SLICE):
+        part = w[at : at + SLICE + words - 1]
+        shingles = map(b" ".join, zip(*[part[i:] for i in range(words)], strict=False))
+        out.append(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64))
+    h = np.concatenate(out)
     return np.unique(h) if distinct else h
 
 
 def _votes(h: np.ndarray, bits: int) -> tuple[bytes, int]:
-    n = len(h)
-    if not n:
-        return bytes(bits // 8), 0
-    if bits > 64:
-        h = np.stack([h, *[_mixed(h, k) for k in range(1, bits // 64)]], axis=1)
-    ones = np.unpackbits(h.reshape(n, -1).astype(">u8").view(np.uint8), axis=1)
-    whole = n // 255 * 255
-    total = ones[:whole].reshape(-1, 255, bits).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + ones[whole:].sum(0, dtype=np.uint8)
-    return np.packbits(2 * total > n).tobytes(), n
+    total = np.zeros(bits, np.int64)
+    for at in range(0, len(h), SLICE):
+        part = h[at : at + SLICE]
+        n = len(part)
+        words = np.stack([part, *[_mixed(part, k) for k in range(1, bits // 64)]], axis=1)
+        ones = np.unpackbits(words.astype(">u8").view(np.uint8), axis=1)
+        whole = n // 255 * 255
+        total += ones[:whole].reshape(-1, 255, bits).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + ones[whole:].sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(h)).tobytes(), len(h)
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -59,9 +73,24 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+#: Bands of a sketch and minima in each. Sets that share 0.8 of their union agree in no band with probability (1 - 0.8 ** 5) ** 36 = 6e-7.
+BANDS, MINIMA = 36, 5
+_MASKS, _FACTORS = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * MINIMA, 1), np.uint64) | np.uint64(1)
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """A number for each band of the min-hash sketch of different hashes h; one for no hashes."""
+    if not len(h):
+        return [0]
+    low = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1 << 12):
+        np.minimum(low, ((h[at : at + (1 << 12)] ^ _MASKS) * _FACTORS).min(1), out=low)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(low.reshape(BANDS, MINIMA))]
+
+
 def fingerprints(docs: DataFrame, text: str, words: int = WORDS, bits: int = BITS, exact: bool = False) -> DataFrame:
-    """docs plus fp binary and shingles long, without the text column. Null text counts as empty. exact: a shingle
-    votes and counts once however often it stands, and digest binary holds 16 bytes of their set."""
+    """docs plus fp binary and shingles long, without the text column. Null text counts as empty. exact: a shingle votes and counts once
+    however often it stands, digest binary holds 16 bytes of their set and bands array<long> the sketch's."""
     rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,9 +98,9 @@ def fingerprints(docs: DataFrame, text: str, words: int = WORDS, bits: int = BIT
             hashes = [_hashes(t.encode("utf-8", "surrogatepass"), words, exact) for t in b.pop(text)]
             made = [_votes(h, bits) for h in hashes]
             b = b.assign(fp=[m[0] for m in made], shingles=[m[1] for m in made])
-            yield b.assign(digest=[xxhash.xxh3_128_digest(h.tobytes()) for h in hashes]) if exact else b
+            yield b.assign(digest=[xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], bands=[bands(h) for h in hashes]) if exact else b
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + ", fp binary, shingles long" + ", digest binary" * exact
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + ", fp binary, shingles long" + ", digest binary, bands array<long>" * exact
     return docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).mapInPandas(run, schema)
 
 
@@ -94,9 +123,9 @@ class Points:
 @dataclass
 class Rule:
     """Two points link if at most `radius` bits differ and, where ratio is given, the smaller shingle count is at least ratio times the
-    larger. Both are metric balls: of Hamming distance and of the distance between logarithms of counts. leaf: points of a leaf; more
-    where the radius is so wide that leaves are mostly visited whole. exact (deduplicate only): shingles
-    are taken once each, such pairs are candidates, and they link if their sets of shingles share ratio of their union or more."""
+    larger. Both are metric balls: of Hamming distance and of the distance between logarithms of counts. leaf: points of a leaf. exact
+    (deduplicate only): shingles are taken once each, such pairs are candidates where they share a band, and they link if their sets of
+    shingles share ratio of their union or more."""
 
     bits: int = BITS
     radius: int = RADIUS
@@ -160,12 +189,12 @@ class VantageTree:
         part = max(1, min(leaves - 1, round(leaves * float(np.mean(low)))))
         return (vantage, t, r, self._grow(s[low], part, rng), self._grow(s[~low], leaves - part, rng))
 
-    def place(self, p: Points) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, visits): one home leaf for every row, and the leaves it visits. Of two linked points that a split parts, the one
-        on the low side is the visitor, so no pair is looked for twice."""
+    def place(self, p: Points, visitor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, visits): one home leaf for every row that isn't a visitor already, and the leaves rows visit. Of two linked points
+        that a split parts, the one on the low side is the visitor, so no pair is looked for twice."""
         out: list[tuple] = []
-        nobody = np.zeros(0, np.int64)
-        todo = [(self.root, np.arange(len(p)), nobody)]
+        visitor = np.zeros(len(p), bool) if visitor is None else visitor
+        todo = [(self.root, np.flatnonzero(~visitor), np.flatnonzero(visitor))]
         while todo:
             node, homes, visits = todo.pop()
             if len(node) == 1:
@@ -176,37 +205,88 @@ class VantageTree:
             d, e = far(homes), far(visits)
             left, right = (homes[d <= t], visits[e <= t + r]), (homes[d > t], np.concatenate([homes[(d <= t) & (d > t - r)], visits[e > t - r]]))
             todo += [(child, *x) for child, x in ((low, left), (high, right)) if len(x[0]) or len(x[1])]
-        if not out:
-            return nobody, nobody, nobody
         return np.concatenate([x[0] for x in out]), np.concatenate([np.full(len(x[0]), x[1]) for x in out]), np.concatenate([np.full(len(x[0]), x[2]) for x in out])
 
 
-def linked(points: DataFrame, rule: Rule, sample: int = SAMPLE) -> DataFrame:
-    """points (data binary: fingerprint and 8 bytes of shingle count; all different) -> (id, component): the points that have a link,
-    with the smallest point reachable."""
-    n = points.count()
-    leaves = min(sample // 16, -(-n // rule.leaf))
-    chosen = points.orderBy(F.xxhash64("data"), "data").limit(min(sample, 64 * leaves)).toPandas()["data"]
-    tree = VantageTree(rule.parse(chosen), rule, leaves)
+SEATS = "cell int, visitor boolean, id binary, data binary, weight long"
+
+
+def _seated(rows: DataFrame, trees: dict[int, tuple[VantageTree, int]], rule: Rule) -> DataFrame:
+    """Seats in the leaves of their cell's tree, numbered from the tree's first number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            row, leaf, visitor = tree.place(rule.parse(b["data"]))
-            data = b["data"].to_numpy()[row]
-            yield pd.DataFrame({"cell": leaf, "visitor": visitor.astype(bool), "id": data, "data": data, "weight": 1})
+            for cell, part in b.groupby("cell"):
+                tree, first = trees[cell]
+                row, leaf, visitor = tree.place(rule.parse(part["data"]), part["visitor"].to_numpy(bool))
+                yield pd.DataFrame({"cell": leaf + first, "visitor": visitor.astype(bool), **{c: part[c].to_numpy()[row] for c in ("id", "data", "weight")}})
+
+    return rows.mapInPandas(run, SEATS)
+
+
+def seats(points: DataFrame, rule: Rule, sample: int = SAMPLE) -> DataFrame:
+    """points (id, data) in the leaves of the tree. A round fits the trees of as many cells as need sample / 16 leaves together, on about
+    64 points a leaf and 2 * sample at most; leaves above 4 times the rule's size become cells of later rounds, until there are none or
+    none that can be parted. So rounds grow with the points, by one for each 2,048 leaves, and each works on its own cells only."""
+    placed = points.select(F.lit(0).alias("cell"), F.lit(False).alias("visitor"), "id", "data", F.lit(1).cast("long").alias("weight"))
+    todo, tables, most, free = [(0, points.count(), 0)], [placed], max(2, sample // 16), 1  # todo: cell, its homes, its table
+    done = []
+    while todo:
+        now, leaves = [], 0
+        while todo and (not now or (leaves + -(-todo[-1][1] // rule.leaf) <= most and todo[-1][2] == now[0][2])):
+            now.append(todo.pop())
+            leaves += -(-now[-1][1] // rule.leaf)
+        own = tables[now[0][2]].filter(F.col("cell").isin([c for c, _, _ in now]))
+        homes = max(1, sum(n for _, n, _ in now))
+        share = min(sample, 64 * min(leaves, most)) / homes
+        chosen = own.filter(~F.col("visitor"))
+        if share < 1:
+            chosen = chosen.filter(F.shiftrightunsigned(F.xxhash64("data", F.lit(free)), 32) < int(share * 2**32))
+        chosen = chosen.select("cell", "data").limit(2 * sample).toPandas().sort_values("data")
+        trees, parted = {}, set()
+        for cell, n, _ in now:
+            tree = VantageTree(rule.parse(chosen["data"][chosen["cell"] == cell]), rule, min(most, -(-n // rule.leaf)))
+            trees[cell] = tree, free
+            parted |= set(range(free, free + tree.leaves)) if tree.leaves > 1 else set()
+            free += tree.leaves
+        new = materialize(_seated(own, trees, rule), "leaves")
+        big = new.filter("not visitor").groupBy("cell").count().filter(F.col("count") > 4 * rule.leaf).collect()
+        later = [(r["cell"], r["count"], len(tables)) for r in big if r["cell"] in parted]
+        tables.append(new)
+        todo += later
+        done.append(new.filter(~F.col("cell").isin([c for c, _, _ in later])) if later else new)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def linked(points: DataFrame, rule: Rule, sample: int = SAMPLE) -> DataFrame:
+    """points (id binary, data binary: fingerprint and 8 bytes of shingle count; all different) -> (id, component): the ids that have a link,
+    with the smallest id reachable."""
+    return components(link(seats(points, rule, sample), rule.parse, rule.near, "binary", chunk=rule.leaf).select("a", "b"))
+
 
-    placed = materialize(points.mapInPandas(run, "cell int, visitor boolean, id binary, data binary, weight long"), "leaves")
-    return components(link(placed, rule.parse, rule.near, "binary", chunk=rule.leaf).select("a", "b"))
+def met(points: DataFrame, rule: Rule) -> DataFrame:
+    """points (id, data, bands) -> (id, component) of candidates: points that share a band and whose fingerprints are near, and the points
+    reachable so. Of bands that the same points share one is looked at."""
+    rows = points.select("id", "data", F.explode("bands").alias("cell"))
+    sums = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    shared = rows.groupBy("cell").agg(F.count("*").alias("n"), *sums).filter("n > 1")
+    shared = materialize(shared.groupBy("n", "x1", "x2").agg(F.min("cell").alias("cell")).select("cell"), "bands")
+    placed = rows.join(shared, "cell", "left_semi").select("cell", F.lit(False).alias("visitor"), "id", "data", F.lit(1).cast("long").alias("weight"))
+    return components(link(materialize(placed, "banded"), rule.parse, rule.near, "binary").select("a", "b"))
 
 
-def verified(found: DataFrame, texts: DataFrame, rule: Rule, words: int) -> DataFrame:
-    """found (id, component) of candidates and texts (id, text) of one document each -> (id, component) of those that link exactly.
+def verified(found: DataFrame, points: DataFrame, texts: DataFrame, rule: Rule, words: int) -> DataFrame:
+    """found (id, component) of candidates, points (id, data) and texts (id, text), a row an id -> (id, component) of those that link exactly.
 
     A component of candidates is a cell: all its pairs are candidates again and the sets decide, so no link is lost with the forest that
-    the tree kept of them. A pair is compared only while its ends are in different components.
+    is kept of them. A pair is compared only while its ends are in different components.
     """
-    data = F.concat("id", F.coalesce("text", F.lit("")).cast("binary"))
-    placed = found.join(texts, "id").select(F.xxhash64("component").alias("cell"), F.lit(False).alias("visitor"), "id", data.alias("data"), F.lit(1).cast("long").alias("weight"))
+    data = F.concat("data", F.coalesce("text", F.lit("")).cast("binary"))
+    placed = found.join(points.select("id", "data"), "id").join(texts, "id")
+    placed = placed.select(F.xxhash64("component").alias("cell"), F.lit(False).alias("visitor"), "id", data.alias("data"), F.lit(1).cast("long").alias("weight"))
 
     def parse(rows: pd.Series) -> Points:
         p = rule.parse([r[: rule.width] for r in rows])
@@ -218,18 +298,29 @@ def verified(found: DataFrame, texts: DataFrame, rule: Rule, words: int) -> Data
     return components(link(materialize(placed, "candidates"), parse, rule.near, "binary", sure=sure).select("a", "b"))
 
 
+def sort_key(doc_id: Column, row: Column) -> Column:
+    """17 bytes that order as: rows with an id first, then by id (integers), then by the 64 bits of row."""
+    flipped = F.coalesce(doc_id.cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(2**63)))
+    return F.concat(F.when(doc_id.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), *[F.unhex(F.lpad(F.hex(x), 16, "0")) for x in (flipped, row)])
+
+
+def key_id(key: Column) -> Column:
+    """The id of a sort key."""
+    flipped = F.conv(F.hex(F.substring(key, 2, 8)), 16, -10).cast("long")
+    return F.when(F.hex(F.substring(key, 1, 1)) == "00", flipped.bitwiseXOR(F.lit(-(2**63))))
+
+
 def groups(keyed: DataFrame, rule: Rule, texts: DataFrame | None = None, words: int = WORDS) -> DataFrame:
-    """keyed (fp, shingles, key: any orderable type) -> (data, low): every point with the smallest key of its component (nulls only if
-    all its keys are). An exact rule needs keyed's digest and texts (key, text), a row a key."""
-    data = point(rule)
-    classes = materialize(keyed.groupBy(data.alias("data")).agg(F.min("key").alias("low")), "classes")
-    found = materialize(linked(classes.select("data"), rule), "links")
+    """keyed (fp, shingles, key: binary) -> (data, low, copies): every point with the smallest key of its component and the number of its
+    rows. An exact rule needs keyed's digest and bands, and texts (id: a key, text), a row a key."""
+    found = [F.min("key").alias("id"), F.count("*").alias("copies")] + [F.any_value("bands").alias("bands")] * rule.exact
+    points = materialize(keyed.groupBy(point(rule).alias("data")).agg(*found), "points")
     if rule.exact:
-        own = classes.join(found.select("id"), F.col("data") == F.col("id"), "left_semi").select(F.col("data").alias("id"), F.col("low").alias("key"))
-        found = materialize(verified(found, texts.join(own, "key").select("id", "text"), rule, words), "links")
-    lows = classes.join(found, F.col("data") == F.col("id")).groupBy("component").agg(F.min("low").alias("lowest"))
-    lows = found.join(lows, "component").select("id", "lowest")
-    return classes.join(lows, F.col("data") == F.col("id"), "left").select("data", F.when(F.col("id").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("low"))
+        near = materialize(met(points, rule), "links")
+        near = materialize(verified(near, points, texts, rule, words), "links")
+    else:
+        near = materialize(linked(points.select("id", "data"), rule), "links")
+    return points.join(near.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("data", F.coalesce("component", "id").alias("low"), "copies")
 
 
 def point(rule: Rule) -> Column:
@@ -239,7 +330,7 @@ def point(rule: Rule) -> Column:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, rule: Rule | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row for each of docs (doc_id, text): 16 hex digits a 64-bit word, and the smallest
+    """(doc_id, fingerprint, component_id), a row for each of docs (doc_id: an integer, text): 16 hex digits a 64-bit word, and the smallest
     doc_id reachable through links, its own included.
 
     Null text counts as empty: no words, fingerprint zero, linked like any other. Null ids never become a component_id unless the
@@ -248,35 +339,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, rule: Rule | None = Non
     rule = rule or Rule()
     if rule.exact:
         raise ValueError("one doc_id may have several texts here: exact rules are for deduplicate")
-    prints = materialize(fingerprints(docs.select("doc_id", "text"), "text", words, rule.bits), "prints")
-    low = groups(prints.withColumnRenamed("doc_id", "key"), rule)
-    out = prints.withColumn("data", point(rule)).join(low, "data")
-    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("low").alias("component_id"))
+    prints = fingerprints(docs.select("doc_id", "text"), "text", words, rule.bits)
+    prints = materialize(prints.withColumn("data", point(rule)), "prints")
+    # ids of one point's rows order alike whatever the rest of the key is; the point keeps keys of different points apart
+    low = materialize(groups(prints.withColumn("key", sort_key(F.col("doc_id"), F.xxhash64("data"))), rule), "lows")
+    out = hot_join(prints, low, "data", prints.count())
+    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), key_id(F.col("low")).cast(docs.schema["doc_id"].dataType).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, rule: Rule | None = None) -> DataFrame:
-    """The rows of docs, one of each group of near-duplicates: the lowest doc_id (null last), then the lowest hash of the row."""
+    """The rows of docs, one of each group of near-duplicates: the lowest doc_id (an integer; null last), then the lowest hash of the row.
+    Null text counts as empty, empty texts are alike; rows that are wholly alike count as one; an empty table stays empty."""
     rule = rule or Rule()
-    k_id, k_hash, k_key = unused(docs, "_id", "_hash", "_key")
-    own = docs.columns
-    keyed = docs.select(F.col("doc_id").alias(k_id), row_hash(docs).alias(k_hash), F.col("text").alias("text"))
+    own, (k_key,) = docs.columns, unused(docs, "_key")
+    with_key = docs.withColumn(k_key, sort_key(F.col("doc_id"), row_hash(docs)))
+    keyed = with_key.select(F.col(k_key).alias("key"), F.col("text").alias("text"))
     prints = materialize(fingerprints(keyed, "text", words, rule.bits, rule.exact), "prints")
-    repeats = prints.groupBy(k_id, k_hash).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(k_id).alias(k_key), k_hash)
-    repeats = materialize(repeats, "repeats")
-    key = F.struct(F.col(k_id).isNull().alias("no"), F.col(k_id).alias("id"), F.col(k_hash).alias("h"))
-    texts = keyed.select(key.alias("key"), "text") if repeats.isEmpty() else keyed.dropDuplicates([k_id, k_hash]).select(key.alias("key"), "text")
-    low = groups(prints.withColumn("key", key), rule, texts, words)
-    keep = low.groupBy("low").agg(F.lit(1).alias("one"))
-    keep = materialize(keep.select(F.col("low.id").alias(k_key), F.col("low.h").alias(k_hash)), "keep")
-    with_hash = docs.withColumn(k_hash, row_hash(docs))
-    on = lambda r: with_hash["doc_id"].eqNullSafe(r[k_key]) & (with_hash[k_hash] == r[k_hash])
-    kept = with_hash.join(keep, on(keep), "left_semi")
-    if repeats.isEmpty():
-        return kept.select(*[F.col(f"`{c}`") for c in own])
-    # rows that stand several times, wholly alike: one of each
-    twice = kept.join(repeats, kept["doc_id"].eqNullSafe(repeats[k_key]) & (kept[k_hash] == repeats[k_hash]), "left_semi").dropDuplicates(["doc_id", k_hash])
-    once = kept.join(repeats, kept["doc_id"].eqNullSafe(repeats[k_key]) & (kept[k_hash] == repeats[k_hash]), "left_anti")
-    return once.unionByName(twice).select(*[F.col(f"`{c}`") for c in own])
+    repeats = materialize(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_k")), "repeats")
+    several = not repeats.isEmpty()
+    texts = (keyed.dropDuplicates(["key"]) if several else keyed).withColumnRenamed("key", "id")
+    keep = materialize(groups(prints, rule, texts, words).select(F.col("low").alias("_low")).distinct(), "keep")
+    kept = with_key.join(keep, F.col(k_key) == F.col("_low"), "left_semi")
+    if several:  # rows that stand several times, wholly alike: one of each
+        again = F.col(k_key) == F.col("_k")
+        kept = kept.join(repeats, again, "left_anti").unionByName(kept.join(repeats, again, "left_semi").dropDuplicates([k_key]))
+    return kept.select(*[F.col(f"`{c}`") for c in own])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,26 @@ def test_null_ids_and_repeated_rows(spark):
     rows = [(None, a), (None, a), (None, b), (3, b), (3, b), (5, c), (None, c), (9, None), (8, "")]
     assert kept(spark, rows) == {3, 5, 8}
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows[:3] * 2, SCHEMA), "").count() == 1
+
+
+def test_documents(spark):
+    """All documents of a table against all pairs that have a shingle in common: recall and precision of the links are 1."""
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
+    sets = [shingles(t) for _, t in rows]
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    bare = [i for i, s in enumerate(sets) if not s]
+    pairs = {(a, b) for ids in where.values() for a in ids for b in ids if a < b} | set(zip(bare, bare[1:], strict=False))
+    links = [(a, b) for a, b in pairs if alike(sets[a], sets[b]) >= 0.8 or not sets[a] | sets[b]]
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert len(links) > 20 and kept(spark, rows) == {rows[i][0] for i in range(len(rows)) if find(i) == i}
