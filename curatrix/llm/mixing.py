@@ -80,10 +80,10 @@ def cut(prefixes: DataFrame, total: int, budget_percent: int = BUDGET_PERCENT, m
     return Cut(m["finish"], m["source_no"]) if m else Cut(None, 0)
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeats: int = MAX_REPEATS, seed: int = SEED, rest: Column | None = None) -> DataFrame:
     """docs plus mix_size, mix_source_size, mix_target, mix_finish (of the first copy) and mix_copies (times the mix takes the row).
 
-    Needs doc_id, source and text (or a size column expression). Null sources are a source of their own, the last; null or empty
+    Needs doc_id, source and text (or a size column expression). The seeded shuffle goes by doc_id and rest, a hash of the row. Null sources are a source of their own, the last; null or empty
     texts have size 0 and are taken as often as their place in the queue says; a null doc_id sorts by the empty string; repeated rows
     are queued one by one; an empty table gives no rows. Columns of the same names are kept: new ones then get trailing underscores.
     """
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
     own = docs.columns
     size = word_count(F.col("text")) if size is None else size
     row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
-    keyed = docs.select(row, F.col("source").alias("_source"), seeded_key(F.col("doc_id"), seed).alias("_key"), row_hash(docs).alias("_hash"), size.cast("long").alias("size"))
+    keyed = docs.select(row, F.col("source").alias("_source"), seeded_key(F.col("doc_id"), seed, row_hash(docs) if rest is None else rest).alias("_key"), row_hash(docs).alias("_hash"), size.cast("long").alias("size"))
     ids = materialize(keyed.drop("_row"), "mix-ids")
     by_source = ids.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("source_rows"), F.sum("size").alias("source_size"))
     stats = materialize(targets(by_source, weights, budget_percent, max_repeats), "mix-sources")
@@ -110,14 +110,14 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] =
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    m = mix(materialize(docs, "mix-sizes"), F.col("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+    m = mix(materialize(docs, "mix-sizes"), F.col("size"), rest=F.col("text_md5"))
     return m.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"))
 
 
 OP1_SQL = f"""
 with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) size,
-                  md5(coalesce(cast(doc_id as varchar), '') || '#{SEED}') k from documents),
+                  md5(coalesce(cast(doc_id as varchar), '') || '#{SEED}#' || md5(coalesce(text, ''))) k from documents),
 s as (select source, cast(sum(size) as bigint) source_size, row_number() over (order by source nulls last) no from d group by source),
 w as (select *, [{", ".join(map(str, WEIGHTS))}][1 + (no - 1) % {len(WEIGHTS)}] weight, {MAX_REPEATS} * source_size cap from s),
 v as (select *, cast(cap as double) / weight supply,

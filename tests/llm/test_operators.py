@@ -151,13 +151,16 @@ def test_simhash_query(spark):
     assert list(got.component_id) == hamming_components(list(got.doc_id), list(got.fingerprint), 2)
 
 
-@pytest.mark.parametrize("radius,leaf", [(2, 40), (9, 40), (2, 7)])
-def test_vantage_tree_finds_every_link(spark, radius, leaf):
+@pytest.mark.parametrize("radius,leaf,sample,leaves", [(2, 40, 4096, 6), (9, 40, 4096, 0), (2, 7, 4096, 20), (2, 7, 100, 8)])
+def test_vantage_tree_finds_every_link(spark, radius, leaf, sample, leaves):
+    """The last case has room for 6 leaves a level, so leaves get trees of their own."""
     rng = np.random.default_rng(radius)
     base = [int(b) for b in rng.integers(0, 2**63, 40)]
     x = sorted({b ^ sum(1 << k for k in {int(k) for k in rng.integers(0, 64, rng.integers(0, 6))}) for b in base for _ in range(15)})
-    df = spark.createDataFrame([(bytearray(int(v).to_bytes(8, "big") + bytes(8)),) for v in x], "data binary")
-    got = {bytes(r.id): bytes(r.component) for r in simhash.linked(df, simhash.Rule(64, radius, leaf=leaf), sample=4096).collect()}
+    df = spark.createDataFrame([(bytearray(int(v).to_bytes(8, "big") + bytes(8)),) * 2 for v in x], "id binary, data binary")
+    seats = simhash.seats(df, simhash.Rule(64, radius, leaf=leaf), sample)
+    assert seats.filter("not visitor").count() == len(x) and seats.select("cell").distinct().count() > leaves
+    got = {bytes(r.id): bytes(r.component) for r in simhash.linked(df, simhash.Rule(64, radius, leaf=leaf), sample).collect()}
     want = hamming_components(list(map(int, x)), [f"{int(v):x}" for v in x], radius)
     full = {int(v): w for v, w in zip(x, want, strict=True)}
     sizes = Counter(want)
@@ -220,7 +223,13 @@ def test_shards(spark, docs, empty):
     assert n.max() - n.min() <= 1
     assert all(r.text_crc32 == zlib.crc32((src.text[r.doc_id] or "").encode()) and r.size == len((src.text[r.doc_id] or "").encode()) + 8 for r in got.itertuples())
     # brute force: rank in source by md5, order by fractional rank
-    k = {i: hashlib.md5(f"{i}#{sharding.SEED}".encode()).hexdigest() for i in src.index}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    k = {i: md5(f"{i}#{sharding.SEED}#{md5(src.text[i] or '')}") for i in src.index}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    oracle = con.execute(sharding.OP5_SQL).df()
+    cols = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    assert sorted(map(tuple, got[cols].values)) == sorted(map(tuple, oracle[cols].values))
     part, names = {}, sorted(src.source.unique())
     for no, s in enumerate(names):
         ids = sorted(src.index[src.source == s], key=k.get)
@@ -232,6 +241,20 @@ def test_shards(spark, docs, empty):
     assert sharding.shard(empty).isEmpty()
 
 
+def test_one_id_on_many_rows_is_spread(spark):
+    """A third of the rows without an id and a third with one: no bucket of running totals holds more than a few times its share."""
+    from curatrix.llm import ranks
+    from pyspark.sql import functions as F
+
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.col("id").cast("string").alias("text"))
+    key = ranks.position(ranks.seeded_key(F.col("doc_id"), 1, F.xxhash64("doc_id", "text")))
+    sizes = [r["count"] for r in df.groupBy(F.floor(key * 16 / F.lit(2**32)).alias("b")).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 6000 / 16
+    n = Counter(r.shard for r in sharding.shard(df, 7).collect())
+    assert max(n.values()) - min(n.values()) <= 1 and sum(n.values()) == 6000
+    assert mixing.mix(df).agg(F.sum("mix_copies")).first()[0] == 9000
+
+
 # 7
 def library(tok, texts):
     """(n_tokens, ids_sha256, decoded_sha256) of each text by the library."""
