@@ -98,12 +98,21 @@ def anti_join(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+def range_number(df: DataFrame, key: str, parts: int = 128) -> Column:
+    """Number of the key's range, growing with the key. The bounds are quantiles of at most 256 * parts keys of lowest hash."""
+    step = max(1, df.count() // (128 * parts))
+    chosen = df.filter(F.pmod(F.xxhash64(key), F.lit(step)) == 0).select(key).limit(256 * parts)
+    keys = sorted(r[0] for r in chosen.collect())
+    bounds = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
+    return F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+
+
 def pair_index(rendered: DataFrame, line: str = "line_no") -> DataFrame:
-    """Dense index over successful records in order of record_id, last one of each id; ids without :: are left out. Ranges of record_id
-    are numbered by their counts, so no task sees all rows."""
+    """Dense index over successful records in order of record_id, last one of each id; ids without :: are left out. Ranges of record_id,
+    cut at quantiles of a sample, are numbered by their counts, so no task sees all rows or all of a class."""
     last = dedupe_last_wins(rendered.filter("render_status = 'success'"), "record_id", line).filter(F.contains(F.col("record_id"), F.lit("::")))
     rows = last.select("record_id", "canonical_caption")
-    head = rows.withColumn("_head", F.substring("record_id", 1, 8))
+    head = rows.withColumn("_head", range_number(rows, "record_id"))
     before = head.groupBy("_head").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
     place = F.row_number().over(Window.partitionBy("_head").orderBy("record_id")) - 1 + F.col("_before")
     return head.join(before, "_head").select(place.cast("long").alias("idx"), "record_id", "canonical_caption")

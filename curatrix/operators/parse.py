@@ -120,13 +120,20 @@ def complete_missing(attributes: Column, expected: Column) -> Column:
 
 
 def validate_payload(attributes: Column, expected: Column) -> Column:
-    """Errors of JSON text attributes against expected slots, in their order, joined by '; '; empty if there is none."""
+    """Errors of JSON text attributes against expected slots, in their order, joined by '; '; empty if there is none. A slot holds a text
+    that isn't blank, or null; numbers, booleans, lists and objects are errors that name the kind."""
     keys = F.json_object_keys(attributes)
-    types = F.from_json(attributes, "map<string,string>")
+    values = F.transform_values(F.from_json(attributes, "map<string,variant>"), lambda _, v: F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")))
 
     def error(s: Column) -> Column:
-        x = F.try_element_at(types, s)
-        return F.when(~F.array_contains(keys, s), F.concat(F.lit("missing "), s)).when(x.isNotNull() & (trim(x) == ""), F.concat(F.lit("empty "), s))
+        x = F.try_element_at(values, s)
+        kind = F.when(x["kind"].startswith("ARRAY"), "list").when(x["kind"].startswith("OBJECT"), "object").when(x["kind"] == "BOOLEAN", "boolean").otherwise("number")
+        return (
+            F.when(~F.array_contains(keys, s), F.concat(F.lit("missing "), s))
+            .when(x.isNull() | x["kind"].isNull() | (x["kind"] == "VOID"), F.lit(None).cast("string"))
+            .when(x["kind"] != "STRING", F.concat(kind, F.lit(" in "), s))
+            .when(trim(x["text"]) == "", F.concat(F.lit("empty "), s))
+        )
 
     return F.when(keys.isNull(), "attributes must be an object").otherwise(F.array_join(F.array_compact(F.transform(expected, error)), "; "))
 

@@ -33,8 +33,8 @@ _add(
     f"{_S} select record_id, 'train' split, sample_id relative_image_path, string_split(sample_id, '/')[-1] file_name, archetype from samples",
 )
 _ARCH = "case " + " ".join(f"when regexp_matches(lower(class_name), '{'|'.join(w)}') then '{a}'" for a, w in dims.KEYWORDS.items()) + f" else '{dims.DEFAULT_ARCHETYPE}' end"
-_add("infer_archetype", lambda s, d: table(s, d, "documents").select("doc_id", E.infer_archetype(F.substring("text", 1, 60)).alias("archetype")), "select doc_id, " + _ARCH.replace("class_name", "substr(text, 1, 60)") + " archetype from documents")
 _add("infer_archetype_whole", lambda s, d: table(s, d, "documents").select("doc_id", E.infer_archetype(C("text")).alias("archetype")), "select doc_id, " + _ARCH.replace("class_name", "text") + " archetype from documents")
+_add("infer_archetype", QUERIES["infer_archetype_whole"], SQL["infer_archetype_whole"])
 _MAP = "(values ('Brand#11', 'Lamp'), ('Brand#12', 'Chair'), ('Brand#31', 'Desk'))"
 
 
@@ -102,14 +102,7 @@ def _raw(s, d):
     return samples(s, d).select("record_id", "p_partkey", raw.alias("raw_response"))
 
 
-_add("strip_fences", lambda s, d: _raw(s, d).filter("p_partkey % 6 < 2").select("record_id", T.strip_fences(C("raw_response")).alias("t")), f"""{_S} select record_id, '{{"archetype": "animal", "attributes": {{"color": "' || string_split(p_name, ' ')[1] || '"}}}}' t from samples where p_partkey % 6 < 2""")
 _add("parse_strict", lambda s, d: _raw(s, d).withColumn("p", P.parse_strict(T.strip_fences(C("raw_response")))).select("record_id", F.get_json_object("p.payload", "$.attributes.color").alias("color"), C("p.broken").alias("broken")), f"{_S} select record_id, case when p_partkey % 6 < 3 then string_split(p_name, ' ')[1] end color, p_partkey % 6 >= 3 broken from samples")
-_add("salvage_object", lambda s, d: _raw(s, d).filter("p_partkey % 6 = 3").withColumn("p", P.salvage_object("raw_response")).select("record_id", F.get_json_object("p.payload", "$.attributes.color").alias("color")), f"{_S} select record_id, string_split(p_name, ' ')[1] color from samples where p_partkey % 6 = 3")
-_add(
-    "parse_bullets",
-    lambda s, d: _raw(s, d).filter("p_partkey % 6 = 4").withColumn("p", P.parse_bullets(C("raw_response"))).select("record_id", C("p.attributes")["color"].alias("color"), C("p.error").alias("error")),
-    f"{_S} select record_id, case when p_partkey % 4 = 0 then string_split(p_name, ' ')[1] end color, case when p_partkey % 4 <> 0 then 'unsupported attribute line' end error from samples where p_partkey % 6 = 4",
-)
 # the three parsers over every format
 _BODY = """'{"archetype": "animal", "attributes": {"color": "' || string_split(p_name, ' ')[1] || '"}}'"""
 _BULLETS = """'{' || chr(10) || '"archetype": "animal",' || chr(10) || '"attributes": {' || chr(10) || ' - color: ' || string_split(p_name, ' ')[1] || ',' || chr(10) || ' - type: x' || chr(10) || case when p_partkey % 4 = 0 then '}' else 'bad line }' end"""
@@ -124,6 +117,8 @@ _add(
     lambda s, d: _raw(s, d).withColumn("p", P.parse_bullets(C("raw_response"))).select("record_id", C("p.attributes")["color"].alias("color"), C("p.error").alias("error")),
     f"{_S} select record_id, case when p_partkey % 6 = 4 and p_partkey % 4 = 0 then string_split(p_name, ' ')[1] end color, case when p_partkey % 6 = 5 then 'missing archetype' when p_partkey % 6 < 4 or p_partkey % 4 <> 0 then 'unsupported attribute line' end error from samples",
 )
+for _name in ("strip_fences", "salvage_object", "parse_bullets"):
+    _add(_name, QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"])
 _add(
     "parse_response",
     lambda s, d: P.parse_response(_raw(s, d), "raw_response").select("record_id", "parse_method", F.get_json_object("payload", "$.attributes.color").alias("color")),
@@ -133,7 +128,12 @@ case when p_partkey % 6 < 4 or (p_partkey % 6 = 4 and p_partkey % 4 = 0) then st
 _EXPECT = ["k", "z"]
 _add("extract_attributes", lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(P.extract_attributes(F.when(C("event_id") % 2 == 0, F.concat(F.lit('{"attributes": '), "props", F.lit("}"))).otherwise(C("props"))), "$.k").alias("k")), "select event_id, json_extract_string(props, '$.k') k from events")
 _add("complete_missing", lambda s, d: table(s, d, "events").select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries(P.complete_missing(F.from_json("props", "map<string,string>"), F.array(F.lit("k"), F.lit("z"))))), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("m")), "select event_id, 'k=' || json_extract_string(props, '$.k') || ';z=unknown' m from events")
-_add("validate_payload", lambda s, d: table(s, d, "events").select("event_id", P.validate_payload(F.when(C("event_id") % 3 == 0, F.lit('{"k": " "}')).otherwise(C("props")), F.array(F.lit("k"), F.lit("z"))).alias("errors")), "select event_id, case when event_id % 3 = 0 then 'empty k; missing z' else 'missing z' end errors from events")
+_KINDS = [None, '{"k": " ", "z": "x"}', '{"k": [1], "z": {"a": 1}}', '{"k": true, "z": null}', '{"k": "x", "z": 1.5}', "[1]"]
+_add(
+    "validate_payload",
+    lambda s, d: table(s, d, "events").select("event_id", P.validate_payload(F.coalesce(F.lit(_KINDS)[(C("event_id") % 6).cast("int")], "props"), F.array(F.lit("k"), F.lit("z"))).alias("errors")),
+    "select event_id, case event_id % 6 when 0 then 'number in k; missing z' when 1 then 'empty k' when 2 then 'list in k; object in z' when 3 then 'boolean in k' when 4 then 'number in z' else 'attributes must be an object' end errors from events",
+)
 _add("project_attributes", lambda s, d: attributes(s, d).groupBy("record_id", "archetype").agg(F.map_from_entries(F.collect_list(F.struct("slot", "raw_value"))).alias("m")).select("record_id", F.explode(P.project_attributes(C("m"), E.slot_schema(C("archetype")))).alias("e")).select("record_id", "e.slot", "e.value"), f"with {ATTRIBUTES_SQL} select record_id, slot, case when raw_value is null then null when {sql_squash('raw_value')} = '' then 'unknown' else {sql_squash('raw_value')} end as value from attributes")
 _add(
     "extract_job",
@@ -249,6 +249,17 @@ _add("load_render_records", lambda s, d: M.dedupe_last_wins(_captions(s, d), "re
 _add("unmatched_left", lambda s, d: _pair(s, d).unmatched_left.select("record_id", "reason"), f"{_CAPS} select record_id, 'no_matching_render_record' reason from m where line_no is null")
 _add("unmatched_right", lambda s, d: _pair(s, d).unmatched_right.select("line_no", "reason"), f"{_CAPS} select line_no, 'no_matching_image' reason from lost")
 _add("effective_archetype", lambda s, d: _pair(s, d).pairs.select("record_id", "effective_archetype"), f"{_CAPS} select record_id, effective_archetype from pairs")
+
+
+def _strict(s, d):
+    """Strict matching over the samples that have a record, and those records."""
+    p = _pair(s, d)
+    known = samples(s, d).join(p.unmatched_left.select("record_id"), "record_id", "left_anti")
+    used = _captions(s, d).join(p.unmatched_right.select("line_no"), "line_no", "left_anti")
+    return M.build_pairs(known, used, strict=True).pairs.select("record_id", "effective_archetype")
+
+
+_add("strict_match", _strict, f"{_CAPS} select record_id, effective_archetype from pairs")
 _add("pairing_manifest", lambda s, d: manifest(_pair(s, d).pairs).select("record_id", "text", "conditioning_target", "matched_via"), f"{_CAPS} select record_id, caption as text, sample_id conditioning_target, matched_via from pairs")
 _add(
     "pairing_summary",
@@ -283,7 +294,7 @@ def _log(s, d):
 
 _LOG = "with lg as (select user_id % 3 seed, event_id % 5 run, value acc1, value + 1 acc5, row_number() over (partition by user_id % 3, event_id % 5 order by ts, event_id) - 1 epoch from events)"
 _BEST = f"{_LOG}, best as (select seed, run, max(acc1) best_acc1, arg_max(acc5, struct_pack(a := acc1, b := -epoch)) best_acc5, arg_max(epoch, struct_pack(a := acc1, b := -epoch)) best_epoch from lg group by all)"
-_add("topk_accuracy", lambda s, d: V.topk_accuracy(table(s, d, "embeddings"), F.slice("embedding", 1, 10), C("label")), "with t as (select len(list_filter(embedding[1:10], lambda x: x > embedding[label + 1])) a from embeddings) select round(100 * avg(cast(a < 1 as int)), 4) top1, round(100 * avg(cast(a < 5 as int)), 4) top5 from t")
+_add("topk_accuracy", lambda s, d: V.topk_accuracy(table(s, d, "embeddings"), C("embedding"), C("label")), "with t as (select len(list_filter(embedding, lambda x: x > embedding[label + 1])) a from embeddings) select round(100 * avg(cast(a < 1 as int)), 4) top1, round(100 * avg(cast(a < 5 as int)), 4) top5 from t")
 _add("weighted_mean", lambda s, d: V.weighted_mean(table(s, d, "lineitem"), ["l_returnflag"], C("l_discount"), C("l_quantity")), "select l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 4) mean, sum(l_quantity) n from lineitem group by all")
 _add("best_epoch", lambda s, d: V.best_epoch(_log(s, d), ["seed", "run"]), f"{_BEST} select * from best")
 _add("running_best", lambda s, d: V.running_best(_log(s, d), ["seed", "run"]).select("seed", "run", "epoch", "best_acc1"), f"{_LOG} select seed, run, epoch, greatest(0.0, max(acc1) over (partition by seed, run order by epoch)) best_acc1 from lg")

@@ -7,18 +7,25 @@ import uuid
 from pyspark.sql import functions as F
 
 from curatrix.operators import render as R
+from curatrix.operators.enrich import taxonomy_prompt as taxonomy_prompts
 from curatrix.operators.parse import extraction_stats
 from curatrix.plans import curation
 from curatrix.plans.bindings import ATTRIBUTES_SQL, attributes, samples
 from curatrix.plans.normalization import CHAIN
+from curatrix.session import table
 from curatrix.sources import files
 from curatrix.streaming import incremental as I
 
 QUERIES, SQL = {}, {}
+C = F.col
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
+        base = "/tmp/checkpoints"
     return f"{base}/incremental-{uuid.uuid4().hex}"
 
 
@@ -63,11 +70,79 @@ def atomic_replace(s, d):
 
 
 def read_jsonl(s, d):
-    """What write_jsonl writes, read_jsonl reads: null values stay."""
+    """What write_jsonl writes, read_jsonl reads: null values stay. Each seventh row's line is damaged as well, in one of three ways, and
+    comes back as an error with its number in the file."""
     at = _folder(s)
     rows = attributes(s, d).select("record_id", "slot", "raw_value")
     files.write_jsonl(rows, f"{at}/rows")
-    return files.read_jsonl(s, f"{at}/rows", "record_id string, slot string, raw_value string")[0]
+    lines = s.read.text(f"{at}/rows").select("value", F.pmod(F.crc32(F.col("value").cast("binary")), F.lit(21)).alias("k"))
+    damaged = F.when(C("k") == 0, F.replace("value", F.lit('"'), F.lit("'"))).when(C("k") == 7, F.concat("value", F.lit(' junk {"slot": "x"}'))).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    lines.filter("k % 7 = 0").select(damaged.alias("value")).write.text(f"{at}/bad")
+    kind = "record_id string, slot string, raw_value string"
+    good = files.read_jsonl(s, f"{at}/rows", kind)[0]
+    some, errors = files.read_jsonl(s, f"{at}/bad", kind, strict=False)
+    numbered = errors.groupBy("file").agg(F.count("*").alias("n"), F.max("line_no").alias("last"), F.count_distinct("line_no").alias("different"))
+    wrong = some.unionByName(numbered.filter("n <> last or n <> different").select(F.lit("numbers").alias("record_id"), C("file").alias("slot"), C("n").cast("string").alias("raw_value")))
+    return good.unionByName(wrong)  # damaged lines that were read, or misnumbered ones, would be rows too many
+
+
+def append_jsonl(s, d):
+    """A second drop is appended to the first."""
+    at = _folder(s)
+    rows = table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    files.write_jsonl(rows.filter("c_custkey % 2 = 0"), f"{at}/rows")
+    files.write_jsonl(rows.filter("c_custkey % 2 = 1"), f"{at}/rows", append=True)
+    return files.read_jsonl(s, f"{at}/rows", "c_custkey long, c_name string, c_mktsegment string")[0]
+
+
+def scan_labeled_files(s, d):
+    """One file a brand in a folder of its own: classes are numbered by folder name."""
+    at = _folder(s)
+    samples(s, d).select(F.regexp_replace("class_name_raw", "#", "_").alias("cls"), "record_id").repartition("cls").write.partitionBy("cls").parquet(f"{at}/set")
+    return files.scan_labeled_files(s, f"{at}/set", ("parquet",)).groupBy("class_name_raw", "class_id").agg(F.count("*").alias("n"))
+
+
+def write_summary(s, d):
+    at = _folder(s)
+    files.write_summary(table(s, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")), f"{at}/summary")
+    return s.read.schema("l_returnflag string, n long, quantity double").json(f"{at}/summary")
+
+
+def _text(rows, path):
+    rows.coalesce(1).write.text(path)
+    return path
+
+
+def load_string_map(s, d):
+    """A map of nations to regions, written as one JSON object."""
+    named = table(s, d, "nation").join(table(s, d, "region"), C("n_regionkey") == C("r_regionkey"))
+    one = named.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "r_name")))).alias("value"))
+    return files.load_string_map(s, _text(one, f"{_folder(s)}/map"))
+
+
+def _taxonomy(s, d):
+    """Regions as archetypes that include their nations, in order of name."""
+    g = table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("includes"))
+    g = table(s, d, "region").join(g, C("n_regionkey") == C("r_regionkey"))
+    one = F.struct(C("r_name").alias("name"), F.concat(F.lit("region "), "r_name").alias("definition"), "includes", F.array(F.lit("sea")).alias("excludes"))
+    path = _text(g.agg(F.to_json(F.struct(F.collect_list(one).alias("archetypes"))).alias("value")), f"{_folder(s)}/taxonomy")
+    return files.load_taxonomy(s, path)
+
+
+def load_taxonomy(s, d):
+    return _taxonomy(s, d).select("name", "definition", F.array_join("includes", ",").alias("includes"), F.size(F.coalesce("notes", F.array())).alias("notes"))
+
+
+def taxonomy_prompt(s, d):
+    return taxonomy_prompts(_taxonomy(s, d)).select("name", "prompt")
+
+
+def load_rules(s, d):
+    """Two sections: a map of part types to their number of parts, a list of market segments."""
+    types = table(s, d, "part").groupBy("p_type").agg(F.count("*").cast("string").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("p_type", "n"))).alias("type"))
+    segments = table(s, d, "customer").agg(F.collect_set("c_mktsegment").alias("segment"))
+    one = types.join(F.broadcast(segments)).select(F.to_json(F.struct("type", "segment")).alias("value"))
+    return files.load_rules(s, _text(one, f"{_folder(s)}/rules"))
 
 
 def write_pairing_artifacts(s, d):
@@ -89,7 +164,8 @@ def render_incremental(s, d):
     return I.latest(s.read.option("basePath", at).parquet(at), "record_id").select("record_id", "render_status", "canonical_caption")
 
 
-QUERIES = {"read_jsonl": read_jsonl, "write_pairing_artifacts": write_pairing_artifacts, "render_incremental": render_incremental, "extract_incremental": extract_incremental, "running_stats": running_stats, "normalize_stream": normalize_stream, "atomic_replace": atomic_replace}
+QUERIES = {"read_jsonl": read_jsonl, "write_pairing_artifacts": write_pairing_artifacts, "render_incremental": render_incremental, "extract_incremental": extract_incremental, "running_stats": running_stats, "normalize_stream": normalize_stream, "atomic_replace": atomic_replace,
+    "append_jsonl": append_jsonl, "scan_labeled_files": scan_labeled_files, "write_summary": write_summary, "load_string_map": load_string_map, "load_taxonomy": load_taxonomy, "taxonomy_prompt": taxonomy_prompt, "load_rules": load_rules}
 _S = "with " + ATTRIBUTES_SQL
 SQL = {
     "read_jsonl": f"{_S} select record_id, slot, raw_value from attributes",
@@ -98,5 +174,12 @@ SQL = {
     "extract_incremental": f"{_S} select record_id, 'success' extraction_status, cast(p_partkey % 5 = 0 as int) attempt from samples",
     "running_stats": f"{_S} select count(*) total, count(*) success, cast(0 as bigint) failed, count(distinct class_name_raw) classes, array_to_string(list_sort(list(distinct archetype)), ',') archetypes from samples",
     "normalize_stream": f"{CHAIN} select record_id, slot, value, status from fields",
+    "append_jsonl": "select c_custkey, c_name, c_mktsegment from customer",
+    "scan_labeled_files": f"{_S} select 'cls=' || replace(class_name_raw, '#', '_') class_name_raw, row_number() over (order by class_name_raw) - 1 class_id, 1 n from samples group by class_name_raw",
+    "write_summary": "select l_returnflag, count(*) n, sum(l_quantity) quantity from lineitem group by 1",
+    "load_string_map": "select n_name as key, r_name as value from nation join region on n_regionkey = r_regionkey",
+    "load_taxonomy": "select r_name as name, 'region ' || r_name definition, string_agg(n_name, ',' order by n_name) includes, 0 notes from nation join region on n_regionkey = r_regionkey group by r_name",
+    "taxonomy_prompt": "select r_name as name, r_name || ': region ' || r_name || chr(10) || 'includes: ' || array_to_string(list(n_name order by n_name)[1:4], ', ') || chr(10) || 'excludes: sea' || chr(10) || 'notes: ' prompt from nation join region on n_regionkey = r_regionkey group by r_name",
+    "load_rules": "select 'type' section, lower(p_type) as key, cast(count(*) as varchar) as value from part group by p_type union all select distinct 'segment', lower(c_mktsegment), null from customer",
     "atomic_replace": f"{_S} select record_id, archetype from samples",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,18 +41,34 @@ def scan_labeled_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors): a byte order mark and blank lines are skipped; lines that aren't an object of the schema go to errors (line), or, if
-    strict, raise with the first of them."""
+    """(rows, errors): a byte order mark and blank lines are skipped; lines that aren't one whole JSON object (single quotes or text after it
+    are no JSON) or don't fit the schema go to errors (file, line_no from 1, line, error), or, if strict, raise with the first of them."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    lines = spark.read.text(path).select(trim(F.regexp_replace("value", "^﻿", "")).alias("line")).filter("line <> ''")
-    parsed = lines.withColumn("r", F.from_json("line", full, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
-    bad = (F.col("r._bad").isNotNull()) | ~F.col("line").startswith("{") | ~F.col("line").endswith("}")
-    errors = parsed.filter(bad).select("line")
-    if strict and (first := errors.head()):
-        raise ValueError(f"invalid JSON line: {first[0][:200]}")
-    return parsed.filter(~bad).select("r.*").drop("_bad"), errors
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.text(path).select(trim(F.regexp_replace("value", "^﻿", "")).alias("line"), *where)
+    parsed = lines.filter("line <> ''").withColumn("r", F.from_json("line", full, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})).withColumn("error", F.pandas_udf(json_error, "string")("line"))
+    parsed = parsed.withColumn("error", F.coalesce("error", F.when(F.col("r._bad").isNotNull(), "does not fit the schema")))
+    # a file's blocks are numbered by the lines of those before them
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bad = parsed.filter("error is not null").join(blocks, ["file", "block"])
+    errors = bad.select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_no"), "line", "error")
+    if strict and (first := errors.orderBy("file", "line_no").head()):
+        raise ValueError(f"invalid JSON line {first['file']}:{first['line_no']}: {first['error']}: {first['line'][:200]}")
+    return parsed.filter("error is null").select("r.*").drop("_bad"), errors
+
+
+def json_error(lines: pd.Series) -> pd.Series:
+    """Why a line isn't one JSON object; null if it is."""
+    out = []
+    for line in lines:
+        try:
+            out.append(None if isinstance(json.loads(line), dict) else "not an object")
+        except ValueError as e:
+            out.append(str(e))
+    return pd.Series(out, dtype=object)
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:

@@ -201,6 +201,7 @@ def test_files(spark, tmp_path):
 def test_jsonl(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('﻿{"a": "1"}\n\n{"a": null}\nbroken\n[1]\n', encoding="utf-8")
     rows, errors = S.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a string", strict=False)
+    assert [(r.line_no, r.line) for r in errors.orderBy("line_no").collect()] == [(4, "broken"), (5, "[1]")]
     assert [r.a for r in rows.collect()] == ["1", None] and errors.count() == 2
     with pytest.raises(ValueError):
         S.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a string")
