@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder every executor sees: spark.checkpoint.dir where the session names one, else (tests, laptops) a local one."""
+    """A folder every executor sees: spark.checkpoint.dir where the session names one, else, on one machine only, a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         named = tempfile.mkdtemp(prefix="curatrix-", dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(named)

@@ -33,26 +33,30 @@ LEAST_POSTERIOR = 0.5
 def measured(df: DataFrame, text: str) -> DataFrame:
     """df plus the FEATURES of column `text` (null: no words) as long. Windows are hashed, and only documents in which a hash repeats
     sort theirs. The features come out of a generator of one row, so that filters on them aren't moved into, and don't repeat, their
-    expressions."""
+    expressions. A column of a feature's name is an error: pack such rows into a struct first, as keep_good does."""
+    taken = {c.lower() for c in df.columns} & {*FEATURES, *MADE}
+    if taken:
+        raise ValueError(f"columns are named like what is added: {sorted(taken)}")
     own = [F.col(f"`{c}`") for c in df.columns]
+    words, lines, windows, ordered, again = unused(df, "_words", "_lines", "_windows", "_sorted", "_again")
     t, spaces = F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)
     bare = F.btrim(t, spaces)
     long = lambda c: c.cast("long")
-    df = df.withColumn("_words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")))
-    df = df.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, spaces) != ""))
-    at = F.sequence(F.lit(1), F.size("_words") - 2)
-    window = lambda i: F.xxhash64(F.element_at("_words", i), F.element_at("_words", i + 1), F.element_at("_words", i + 2))
-    df = df.withColumn("_windows", F.when(F.size("_words") >= 3, F.transform(at, window)).otherwise(F.array().cast("array<long>")))
-    df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    df = df.withColumn("_again", F.expr("filter(_sorted, (x, k) -> x.h = get(_sorted, k - 1).h or x.h = get(_sorted, k + 1).h).i"))
-    covered = F.expr("size(array_distinct(concat(_again, transform(_again, x -> x + 1), transform(_again, x -> x + 2))))")
+    df = df.withColumn(words, F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")))
+    df = df.withColumn(lines, F.filter(F.split(t, "\n"), lambda x: F.btrim(x, spaces) != ""))
+    at = F.sequence(F.lit(1), F.size(words) - 2)
+    window = lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2))
+    df = df.withColumn(windows, F.when(F.size(words) >= 3, F.transform(at, window)).otherwise(F.array().cast("array<long>")))
+    df = df.withColumn(ordered, F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    df = df.withColumn(again, F.expr(f"filter({ordered}, (x, k) -> x.h = get({ordered}, k - 1).h or x.h = get({ordered}, k + 1).h).i"))
+    covered = F.expr(f"size(array_distinct(concat({again}, transform({again}, x -> x + 1), transform({again}, x -> x + 2))))")
     features = {
-        "n_words": long(F.size("_words")),
+        "n_words": long(F.size(words)),
         "word_chars": long(F.length(F.translate(t, SPACES, ""))),
         "n_symbols": long(F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))),
-        "n_lines": long(F.size("_lines")),
-        "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-        "n_repeat_words": long(F.when(F.col("_again").isNull(), F.lit(0)).otherwise(covered)),
+        "n_lines": long(F.size(lines)),
+        "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
+        "n_repeat_words": long(F.when(F.col(again).isNull(), F.lit(0)).otherwise(covered)),
         "n_shouted": long(F.regexp_count(t, F.lit(r"\p{Lu}{2,}"))),
         "n_ends": long(F.length(t) - F.length(F.translate(t, ".!?", ""))),
         "n_letters": long(F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))),
@@ -62,6 +66,8 @@ def measured(df: DataFrame, text: str) -> DataFrame:
 
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouted", "n_ends", "n_letters", "n_marks"]
+#: What judge adds.
+MADE = ["base_failed", "posterior", "kept"]
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 

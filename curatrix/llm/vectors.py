@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import materialize, table
+from curatrix.llm.common import hot_join, materialize, table
 from curatrix.llm.graph import components
 from curatrix.llm.rangejoin import link
 
@@ -89,9 +89,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     groups = components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy(F.col("a").alias("_r")).agg(F.sum("n").alias("links"))
     facts = classes.join(links, F.col("rep") == F.col("_r"), "left").join(groups, F.col("rep") == F.col("id"), "left")
-    facts = facts.select(F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(facts, F.col("embedding") == F.col("_e"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    facts = materialize(facts.select("embedding", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-facts")
+    unfit = rows.filter("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    fine = rows.filter("embedding is not null")
+    out = hot_join(fine, facts, "embedding", rows.count()).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(unfit)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -347,6 +347,12 @@ def test_rules_odd_rows(spark, docs, empty):
     for r in got.values():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == features(r.text)
     assert rules.keep_good(docs).columns == docs.columns and rules.keep_good(empty).isEmpty()
+    clash = docs.selectExpr("doc_id", "text", "1 as n_words", "2 as _lines", "true as kept")
+    assert rules.keep_good(clash).columns == clash.columns
+    got = rules.measured(clash.select("doc_id", "text", "_lines"), "text")
+    assert got.columns == ["doc_id", "text", "_lines", *rules.FEATURES] and {r._lines for r in got.collect()} == {2}
+    with pytest.raises(ValueError):
+        rules.measured(clash, "text")
 
 
 # 9
