@@ -147,7 +147,11 @@ def spanning_forest(edges: DataFrame, group: str, rounds: int = 40) -> DataFrame
             up = new
             if done:
                 break
+        else:
+            raise RuntimeError("labels did not settle")
         label = _cut(label.join(up.withColumnRenamed("ra", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+    else:
+        raise RuntimeError(f"the forest did not settle in {rounds} rounds")
     return kept if kept is not None else e.limit(0)
 
 

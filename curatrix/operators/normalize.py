@@ -258,12 +258,9 @@ def review_queue(fields: DataFrame) -> DataFrame:
 
 
 def normalization_summary(fields: DataFrame) -> DataFrame:
-    """(kind, a, b, n): counts by status, by slot and status, by class and status in one pass of grouping sets, and by rule and reason."""
-    sets = fields.groupingSets([["status"], ["slot", "status"], ["class_name_raw", "status"]], "slot", "class_name_raw", "status")
-    counted = sets.agg(F.count("*").alias("n"), F.grouping("slot").alias("gs"), F.grouping("class_name_raw").alias("gc"))
-    kind = F.when(F.col("gs") == 0, "slot").when(F.col("gc") == 0, "class").otherwise("status")
-    out = counted.select(kind.alias("kind"), F.when(kind == "slot", F.col("slot")).when(kind == "class", F.col("class_name_raw")).alias("a"), F.col("status").alias("b"), "n")
-    for name in ("rules", "reasons"):
-        one = fields.select(F.explode(name).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
-        out = out.unionByName(one.select(F.lit(name[:-1]).alias("kind"), "a", F.lit(None).cast("string").alias("b"), "n"))
-    return out
+    """(kind, a, b, n): counts by status, by slot and status, by class and status, by rule and by reason, in one pass over fields."""
+    key = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("string").alias("a"), b.cast("string").alias("b"))
+    none, status = F.lit(None), F.col("status")
+    whole = F.array(key("status", none, status), key("slot", F.col("slot"), status), key("class", F.col("class_name_raw"), status))
+    rules, reasons = F.transform("rules", lambda x: key("rule", x, none)), F.transform("reasons", lambda x: key("reason", x, none))
+    return fields.select(F.inline(F.concat(whole, rules, reasons))).groupBy("kind", "a", "b").agg(F.count("*").alias("n"))

@@ -30,9 +30,12 @@ def mode_stats(m: DataFrame, group: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, centers: DataFrame, group: str, label: str, idx: str, vec: str = "embedding", digits: int = 6) -> DataFrame:
-    """(idx, group, label): the nearest center (centers: group, label, centroid; few a group) of each row, ties to the lowest label."""
-    pairs = df.select(idx, group, F.col(vec).alias("_v")).join(centers.select(group, label, "centroid"), group)
-    return pairs.groupBy(idx, group).agg(F.min_by(label, F.struct(F.round(distance(F.col("_v"), F.col("centroid")), digits), F.col(label))).alias(label))
+    """(idx, group, label): the nearest center (centers: group, label, centroid; few a group) of each row, ties to the lowest label. A
+    group's centers meet its rows as one array, so rows aren't multiplied or shuffled for the minimum."""
+    packed = centers.groupBy(group).agg(F.collect_list(F.struct(F.col(label).alias("label"), "centroid")).alias("_c"))
+    rows = df.select(idx, group, F.col(vec).alias("_v")).join(packed, group)
+    far = F.transform("_c", lambda c: F.struct(F.round(distance(F.col("_v"), c["centroid"]), digits).alias("d"), c["label"].alias("label")))
+    return rows.select(idx, group, F.array_min(far)["label"].alias(label))
 
 
 def quota_allocation(sizes: DataFrame, group: str, label: str, n: str, ipc: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from curatrix.operators import render as R
@@ -12,7 +10,7 @@ from curatrix.operators.parse import extraction_stats
 from curatrix.plans import curation
 from curatrix.plans.bindings import ATTRIBUTES_SQL, attributes, samples
 from curatrix.plans.normalization import CHAIN
-from curatrix.session import table
+from curatrix.session import shared_folder, table
 from curatrix.sources import files
 from curatrix.streaming import incremental as I
 
@@ -21,12 +19,7 @@ C = F.col
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
-        base = "/tmp/checkpoints"
-    return f"{base}/incremental-{uuid.uuid4().hex}"
+    return shared_folder(spark, "incremental")
 
 
 def _extract(rows):

@@ -9,6 +9,7 @@ from curatrix.functions.text import clean_key, clean_value
 from curatrix.operators import normalize as N
 from curatrix.operators import review as R
 from curatrix.plans.bindings import ATTRIBUTES_SQL, attributes, sql_clean
+from curatrix.session import written
 
 
 class Duck:
@@ -141,8 +142,8 @@ _add("review_limit", lambda s, d: R.review_limit(R.review_items(_full(s, d)), 20
 
 
 # Decisions of a reviewer stand in for model output: a fixed mix of actions and confidences.
-def _decisions(s, d):
-    items = R.review_items(_full(s, d))
+def _decisions(s, d, full=None):
+    items = R.review_items(_full(s, d) if full is None else full)
     k = F.col("p_partkey") + F.length("slot")
     pick = lambda *v: F.element_at(F.array(*[F.lit(x).cast("string") for x in v]), (k % len(v) + 1).cast("int"))
     payload = F.struct(
@@ -173,9 +174,16 @@ policy as (select *, case when action = 'replace_normalized' then recovery or co
 _add("mock_review", lambda s, d: R.mock_review(R.review_items(_full(s, d))).select("record_id", "slot", "action", "reviewed_value", "confidence"), f"{_ITEMS} select record_id, slot, 'keep_normalized' as action, s.value reviewed_value, 'medium' confidence from ranked join scored s using (record_id, slot)")
 _add("parse_review_payload", lambda s, d: R.parse_payload(_decisions(s, d)).select("record_id", "slot", "action", "reviewed_value", "confidence", "needs_manual_followup"), f"{_DECIDED} select record_id, slot, action, reviewed_value, confidence, a1 = 'defer' and a0 is not null and (case when a0 in ('replace_normalized','set_unknown','keep_normalized','defer') then a0 else 'defer' end) = 'defer' or broken needs_manual_followup from decided")
 _add("apply_policy", lambda s, d: R.apply_policy(R.parse_payload(_decisions(s, d))).select("record_id", "slot", "applied", "application_reason"), f"{_DECIDED} select record_id, slot, applied, application_reason from policy")
+
+
+def _apply_review(s, d):
+    full = written(_full(s, d), "normalized")
+    return R.apply_review(full, R.apply_policy(R.parse_payload(_decisions(s, d, full)))).select("record_id", "slot", "effective_value", "review_status")
+
+
 _add(
     "apply_review",
-    lambda s, d: R.apply_review(_full(s, d), R.apply_policy(R.parse_payload(_decisions(s, d)))).select("record_id", "slot", "effective_value", "review_status"),
+    _apply_review,
     f"{_DECIDED} select s.record_id, s.slot, case when p.applied then p.reviewed_value else s.value end effective_value, case when max(p.slot) over (partition by s.record_id) is null then 'not_needed' else 'completed' end review_status from scored s left join policy p using (record_id, slot)",
 )
 _add(
