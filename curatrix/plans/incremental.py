@@ -168,7 +168,7 @@ SQL = {
     "running_stats": f"{_S} select count(*) total, count(*) success, cast(0 as bigint) failed, count(distinct class_name_raw) classes, array_to_string(list_sort(list(distinct archetype)), ',') archetypes from samples",
     "normalize_stream": f"{CHAIN} select record_id, slot, value, status from fields",
     "append_jsonl": "select c_custkey, c_name, c_mktsegment from customer",
-    "scan_labeled_files": f"{_S} select 'cls=' || replace(class_name_raw, '#', '_') class_name_raw, row_number() over (order by class_name_raw) - 1 class_id, 1 n from samples group by class_name_raw",
+    "scan_labeled_files": f"{_S} select 'cls=' || replace(class_name_raw, '#', '_') class_name_raw, cast(row_number() over (order by class_name_raw) - 1 as int) class_id, cast(1 as bigint) n from samples group by class_name_raw",
     "write_summary": "select l_returnflag, count(*) n, sum(l_quantity) quantity from lineitem group by 1",
     "load_string_map": "select n_name as key, r_name as value from nation join region on n_regionkey = r_regionkey",
     "load_taxonomy": "select r_name as name, 'region ' || r_name definition, string_agg(n_name, ',' order by n_name) includes, 0 notes from nation join region on n_regionkey = r_regionkey group by r_name",
