@@ -1,4 +1,4 @@
-"""Hashed features of words, shared by the two classifiers: the word itself and its character n-grams."""
+"""Hashed features of words, shared by the two classifiers: the word itself, its character n-grams and, where asked for, its beginnings."""
 
 from __future__ import annotations
 
@@ -10,10 +10,13 @@ import numpy as np
 
 
 def word_features(word: str, grams: tuple[int, ...], buckets: int) -> list[int]:
-    """Buckets of the word and of its distinct character n-grams between boundary marks."""
+    """Buckets of the word and, for each n of grams, of its distinct character n-grams between boundary marks; a negative n stands for the
+    word's first -n characters, if it has more."""
     w = f"<{word}>"
-    found = dict.fromkeys(w[i : i + n] for n in grams for i in range(len(w) - n + 1))
-    return [crc32(w.encode("utf-8", "surrogatepass")) % buckets, *(crc32(b"#" + g.encode("utf-8", "surrogatepass")) % buckets for g in found if g != w)]
+    found = dict.fromkeys(w[i : i + n] for n in grams if n > 0 for i in range(len(w) - n + 1))
+    first = [word[:-n] for n in grams if n < 0 and len(word) > -n]
+    marked = [b"#" + g.encode("utf-8", "surrogatepass") for g in found if g != w] + [b"^" + h.encode("utf-8", "surrogatepass") for h in first]
+    return [crc32(w.encode("utf-8", "surrogatepass")) % buckets, *(crc32(m) % buckets for m in marked)]
 
 
 class Lexicon:
