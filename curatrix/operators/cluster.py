@@ -17,21 +17,52 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
-def group_kmeans(df: DataFrame, group: str, idx: str, k: str, vec: str = "embedding", rounds: int = 8) -> DataFrame:
-    """(idx, group, label): Lloyd's rounds over every group at once. k: a column with the group's number of clusters.
-
-    Starts are spread by a hash of idx: the k rows of lowest hash (deterministic, whatever the partitioning). Each round is one equi-join
-    of rows with their group's centers and one pre-aggregated mean, so the work is spread over rows however large a group is.
+def kmeans_starts(df: DataFrame, group: str, idx: str, k: str, starts: int) -> DataFrame:
+    """(group, idx, start, label): for each start the group's k rows of lowest hash of (idx, start), ranked in buckets before all at once."""
+    ids = df.select(idx, group, k, F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start"))
+    ids = ids.withColumn("_h", F.xxhash64(idx, "start")).withColumn("_b", F.pmod(F.xxhash64(idx, F.lit(1)), F.lit(64)))
+    for within in ([group, "start", "_b"], [group, "start"]):
+        ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy(*within).orderBy("_h", idx))).filter(F.col("_r") <= F.col(k))
+    return ids.select(group, idx, "start", (F.col("_r") - 1).alias("label"))
+
+
+def _nearest_by_start(rows: DataFrame, centers: DataFrame, group: str, vec: str) -> DataFrame:
+    """rows once a start of its group, with start, label and the distance d. Centers meet a row as one array, as in nearest()."""
+    packed = centers.groupBy(group, "start").agg(F.collect_list(F.struct("label", "centroid")).alias("c")).groupBy(group).agg(F.collect_list(F.struct("start", "c")).alias("_c"))
+    far = lambda c: F.struct(F.round(distance(F.col(vec), c["centroid"]), 6).alias("d"), c["label"].alias("label"))
+    found = F.transform("_c", lambda t: F.struct(t["start"].alias("start"), F.array_min(F.transform(t["c"], far)).alias("n")))
+    return rows.join(packed, group).withColumn("_t", F.explode(found)).select(*rows.columns, F.col("_t.start").alias("start"), F.col("_t.n.label").alias("label"), F.col("_t.n.d").alias("d"))
+
+
+def group_kmeans(df: DataFrame, group: str, idx: str, k: str, vec: str = "embedding", rounds: int = 300, starts: int = 10, tolerance: float = 1e-4) -> DataFrame:
+    """(idx, group, label): Lloyd's rounds over every group and start at once; each group takes its start of least inertia (the first of
+    equals). k: a column with the group's number of clusters.
+
+    A start has settled when its centers' squared moves add up to at most tolerance times the mean variance of the group's components; it
+    then leaves the rounds, of which there are `rounds` at most. Starts come from hashes, so reruns agree. A center that loses all rows
+    vanishes. Each round is one join of rows with their group's packed centers and one pre-aggregated mean, however large a group is.
     """
-    rows = df.select(idx, group, vec, F.col(k).alias("_k"))
-    part = rows.withColumn("_h", F.xxhash64(idx)).withColumn("_b", F.pmod(F.xxhash64(idx, F.lit(1)), F.lit(64)))
-    first = part.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_b").orderBy("_h", idx))).filter("_r <= _k")
-    first = first.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_h", idx))).filter("_r <= _k")
-    centers = _cut(first.select(group, (F.col("_r") - 1).alias("label"), F.transform(vec, lambda x: x.cast("double")).alias("centroid")))
+    rows = df.select(idx, group, F.transform(vec, lambda x: x.cast("double")).alias(vec), F.col(k).alias("_k"))
+    seeds = kmeans_starts(rows, group, idx, "_k", starts)
+    rows = rows.drop("_k")
+    live = _cut(seeds.join(rows, [group, idx]).select(group, "start", "label", F.col(vec).alias("centroid")))
+    spread = rows.select(group, F.posexplode(vec).alias("_i", "_x")).groupBy(group, "_i").agg(F.var_pop("_x").alias("_v")).groupBy(group).agg((F.avg("_v") * tolerance).alias("_still"))
+    spread, settled = _cut(spread), None
     for _ in range(rounds):
-        near = nearest(rows, centers, group, "label", idx, vec)
-        centers = _cut(centroids(rows.join(near, [idx, group]), [group, "label"], vec))
-    return nearest(rows, centers, group, "label", idx, vec)
+        new = centroids(_nearest_by_start(rows, live, group, vec), [group, "start", "label"], vec)
+        old = live.select(group, "start", "label", F.col("centroid").alias("_old"))
+        moved = new.join(old, [group, "start", "label"]).join(spread, group)
+        # moves that are no numbers settle too
+        moved = moved.withColumn("_go", F.nanvl(F.sum(F.pow(distance(F.col("centroid"), F.col("_old")), F.lit(2))).over(Window.partitionBy(group, "start")), F.lit(0.0)) > F.col("_still"))
+        moved = _cut(moved.select(group, "start", "label", "centroid", "_go"))
+        rest = moved.filter("not _go").drop("_go")
+        live, settled = moved.filter("_go").drop("_go"), rest if settled is None else settled.unionByName(rest)
+        if live.isEmpty():
+            break
+    near = _cut(_nearest_by_start(rows, live if settled is None else settled.unionByName(live), group, vec).drop(vec))
+    cost = near.groupBy(group, "start").agg(F.round(F.sum(F.col("d") * F.col("d")), 6).alias("_cost"))
+    best = cost.groupBy(group).agg(F.min_by("start", F.struct("_cost", "start")).alias("start"))
+    return near.join(best, [group, "start"]).select(idx, group, "label")
 
 
 def inertia(df: DataFrame, labels: DataFrame, group: str, idx: str, vec: str = "embedding") -> DataFrame:

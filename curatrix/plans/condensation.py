@@ -69,7 +69,7 @@ _add("medoid_lookup", lambda s, d: _med(s, d).join(_rows(s, d).select(C("vec_id"
 _add("set_difference", lambda s, d: _sizes(s, d).select("cls", "label").join(V.farthest_point(V.centroids(_rows(s, d), ["cls", "label"]), "cls", "label", 1), ["cls", "label"], "left_anti"), "with m as (select distinct label % 3 cls, label from embeddings) select cls, label from m where label not in (select min(label) from m group by cls)")
 _add("load_modes", lambda s, d: _med(s, d).join(_rows(s, d).select(C("vec_id").alias("medoid")), "medoid").select("cls", "label", "medoid", "num_members"), f"{_BASE} select cls, label, medoid, num_members from st")
 # no SQL: iterative
-_add("group_kmeans", lambda s, d: K.group_kmeans(_rows(s, d).withColumn("k", F.lit(IPC)), "cls", "vec_id", "k", rounds=4))
+_add("group_kmeans", lambda s, d: K.group_kmeans(_rows(s, d).withColumn("k", F.lit(IPC)), "cls", "vec_id", "k"))
 _add("group_pca", lambda s, d: K.group_pca(_rows(s, d), "cls", "vec_id", 8))
 _add("subcluster", lambda s, d: K.subcluster(_rows(s, d), V.quota_allocation(_sizes(s, d), "cls", "label", "n", 6), "cls", "label", "vec_id"))
 _add("density_modes", lambda s, d: K.density_modes(_rows(s, d), "cls", "vec_id", IPC))

@@ -149,6 +149,29 @@ def test_kmeans_and_inertia(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, more.collect()))
 
 
+def test_kmeans_against_lloyd(spark):
+    rng = np.random.default_rng(11)
+    v = {i: rng.normal(size=4) for i in range(150)}
+    df = spark.createDataFrame([(i, i % 2, x.tolist(), 4) for i, x in v.items()], "vec_id long, cls int, embedding array<double>, k int")
+    got = {r.vec_id: r.label for r in K.group_kmeans(df, "cls", "vec_id", "k", tolerance=0.0).collect()}
+    seeds = K.kmeans_starts(df, "cls", "vec_id", "k", 10).collect()
+    assert len(seeds) == 2 * 10 * 4 and len(got) == 150
+    for cls in (0, 1):
+        ids = [i for i in v if i % 2 == cls]
+        x, runs = np.stack([v[i] for i in ids]), []
+        for start in range(10):
+            c = np.stack([v[r.vec_id] for r in sorted(seeds, key=lambda r: r.label) if (r.cls, r.start) == (cls, start)])
+            while True:
+                label = np.linalg.norm(x[:, None] - c, axis=2).argmin(1)
+                new = np.stack([x[label == j].mean(0) for j in range(4)])
+                if np.allclose(new, c, atol=1e-12):
+                    break
+                c = new
+            runs.append((((x - c[label]) ** 2).sum(), label))
+        assert max(r[0] for r in runs) > min(r[0] for r in runs) + 1e-6
+        assert [got[i] for i in ids] == min(runs, key=lambda r: round(r[0], 4))[1].tolist()
+
+
 def test_density_modes_find_blobs(spark):
     df, truth = blobs(spark)
     got = {r.vec_id: r.label for r in K.density_modes(df, "cls", "vec_id", 3).collect()}
