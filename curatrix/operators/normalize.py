@@ -38,9 +38,9 @@ class Spark:
     def first_piece(self, col: str) -> str:
         return f"trim(split({col}, ',')[0])"
 
-    def joined(self, col: str, drop) -> str:
+    def joined(self, col: str, drop, base: bool) -> str:
         known = f"filter({self.pieces(col)}, x -> not ({among('x', drop)}))"
-        return f"array_sort(array_distinct(transform({known}, x -> case x when 'metallic' then 'metal' when 'wooden' then 'wood' else x end)))" if drop else f"array_sort(array_distinct({known}))"
+        return f"array_sort(array_distinct(transform({known}, x -> case x when 'metallic' then 'metal' when 'wooden' then 'wood' else x end)))" if base else f"array_sort(array_distinct({known}))"
 
     size, plus, at, tags = "size({})", "array_join({}, '+')", "{}[{}]", "array_compact(array({}))"
 
@@ -71,7 +71,7 @@ def steps(d, rules: dict | None = None, types: list[str] | None = None) -> list[
     compound = v
     for sep in (" and ", "/"):
         compound = f"replace({compound}, {q(sep)}, ',')"
-    materials, colors = d.joined(compound, r["unknown_like"]), d.joined(compound, [])
+    materials, colors = d.joined(compound, r["unknown_like"], True), d.joined(compound, [], False)
     many = lambda arr: f"{d.size.format(arr)} >= 2"
     short = f"case when class_name is null then '' else {d.first_piece('class_clean')} end"
     is_material, is_color = _family("material"), f"not ({_family('material')}) and {_family('color')}"

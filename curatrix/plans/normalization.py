@@ -26,9 +26,9 @@ class Duck:
     def first_piece(self, col: str) -> str:
         return f"trim(string_split({col}, ',')[1])"
 
-    def joined(self, col: str, drop) -> str:
+    def joined(self, col: str, drop, base: bool) -> str:
         known = f"list_filter({self.pieces(col)}, lambda x: not ({N.among('x', drop)}))"
-        return f"list_sort(list_distinct(list_transform({known}, lambda x: case x when 'metallic' then 'metal' when 'wooden' then 'wood' else x end)))" if drop else f"list_sort(list_distinct({known}))"
+        return f"list_sort(list_distinct(list_transform({known}, lambda x: case x when 'metallic' then 'metal' when 'wooden' then 'wood' else x end)))" if base else f"list_sort(list_distinct({known}))"
 
     size, plus, at, tags = "len({})", "array_to_string({}, '+')", "{}[{}]", "list_filter([{}], lambda x: x is not null)"
 

@@ -68,6 +68,41 @@ def test_normalization_branches(spark):
     assert got[14] == ("stationary", "unchanged", ["slot.state.low_value_preserved"], [])
 
 
+def test_normalization_rungs_by_hand(spark):
+    """What each rung gives, written down from its description and not from the ladders."""
+    cases = [
+        ("tool", "material", "Metallic", "metal", ["slot.material.base_material"]),
+        ("tool", "material", "wooden/wood", "wooden/wood", []),
+        ("tool", "material", "unknown, glass and metallic", "glass+metal", ["slot.material.separator_unify"]),
+        ("tool", "color", "golden", "gold", ["slot.color.base_color"]),
+        ("tool", "color", "grey and blue", "blue+grey", ["slot.color.separator_unify"]),
+        ("tool", "color", "grey/blue", "grey/blue", []),
+        ("tool", "color", "red, red", "red, red", []),
+        ("tool", "state_or_action", "being held aloft", "being held", ["slot.state.held_family"]),
+        ("tool", "state_or_action", "Powered_on  now", "on", ["slot.state.on_family"]),
+        ("tool", "state_or_action", "inactive", "off", ["slot.state.off_family"]),
+        ("tool", "state_or_action", "at rest", "resting", ["slot.state.canonicalize"]),
+        ("tool", "state_or_action", "sitting, " + "x" * 32, "sitting", ["slot.state.primary_clause"]),
+        ("tool", "state_or_action", "sitting, " + "x" * 33, "sitting, " + "x" * 33, ["review.mixed_state"]),
+        ("tool", "state_or_action", "sitting, a, b", "sitting, a, b", ["review.mixed_state"]),
+        ("tool", "state_or_action", "running, fast", "running, fast", ["review.mixed_state"]),
+        ("tool", "viewpoint", "Overhead", "top-down", ["slot.viewpoint.canonicalize"]),
+        ("tool", "background_or_context", "plain white", "unknown", ["slot.background.low_value_to_unknown"]),
+        ("tool", "background_or_context", "Blurred", "unknown", ["slot.background.low_value_to_unknown"]),
+        ("tool", "background_or_context", "outdoors", "outdoor", ["slot.background.canonicalize"]),
+        ("tool", "salient_part_or_accessory", "numbered", "unknown", ["slot.part.low_value_to_unknown"]),
+        ("tool", "shape_or_structure", "object", "object", ["slot.shape.low_value_preserved"]),
+        ("tool", "shape_or_structure", "caf\u00e9", "unknown", ["slot.shape_or_structure.non_ascii_to_unknown"]),
+        ("tool", "shape_or_structure", "y" * 36 + " with z", "y" * 36 + " with z", ["review.narrative_value"]),
+        ("tool", "shape_or_structure", "y" * 33 + " with z", "y" * 33 + " with z", []),
+        ("tool", "material", None, "unknown", ["global.placeholder_to_unknown"]),
+    ]
+    got = fields(spark, *[(a, s, "x", v) for a, s, v, _, _ in cases])
+    assert [(g[0], g[2]) for g in got] == [(value, rules) for *_, value, rules in cases]
+    # no placeholders: materials still have base names
+    assert fields(spark, ("tool", "material", "x", "metallic and wooden"), rules={**dims.RULES, "unknown_like": []})[0][0] == "metal+wood"
+
+
 def test_type_map_needs_a_plain_type_slot(spark):
     got = fields(spark, ("vehicle", "vehicle_type", "x", "fuel pump"), ("vehicle", "vehicle_type", "x", "crosses"), types=[])
     assert [g[0] for g in got] == ["gas pump", "cross"]
