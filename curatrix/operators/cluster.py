@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.operators.vectors import centroids, distance, medoids, nearest, renumber
+from curatrix.session import written
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint where the cluster names a folder; else keep the plan in memory-and-disk storage."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    """Cut lineage by a table in the shared folder: plans stay short over the rounds, and lost executors cost no round."""
+    return written(df, "cluster")
 
 
 def kmeans_starts(df: DataFrame, group: str, idx: str, k: str, starts: int) -> DataFrame:
@@ -26,40 +25,81 @@ def kmeans_starts(df: DataFrame, group: str, idx: str, k: str, starts: int) -> D
     return ids.select(group, idx, "start", (F.col("_r") - 1).alias("label"))
 
 
-def _nearest_by_start(rows: DataFrame, centers: DataFrame, group: str, vec: str) -> DataFrame:
-    """rows once a start of its group, with start, label and the distance d. Centers meet a row as one array, as in nearest()."""
-    packed = centers.groupBy(group, "start").agg(F.collect_list(F.struct("label", "centroid")).alias("c")).groupBy(group).agg(F.collect_list(F.struct("start", "c")).alias("_c"))
-    far = lambda c: F.struct(F.round(distance(F.col(vec), c["centroid"]), 6).alias("d"), c["label"].alias("label"))
-    found = F.transform("_c", lambda t: F.struct(t["start"].alias("start"), F.array_min(F.transform(t["c"], far)).alias("n")))
-    return rows.join(packed, group).withColumn("_t", F.explode(found)).select(*rows.columns, F.col("_t.start").alias("start"), F.col("_t.n.label").alias("label"), F.col("_t.n.d").alias("d"))
+def _by_block(blocks: DataFrame, sizes: DataFrame, live: DataFrame, group: str, found: str, work) -> DataFrame:
+    """work(ids, vectors, labels, centers) -> columns of `found`, for each block of rows and start of its group. A task holds one
+    block and its group's centers; blocks (group, _id, _block, _v) are placed by (group, _block) already, sizes (_g, _n) counts a group's."""
+    seats = live.join(sizes, F.col(group) == F.col("_g")).select("_g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), "start", "centers")
+    kind = dict(blocks.dtypes)[group]
 
+    def run(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            v = np.stack(rows["_v"].to_numpy())
+            for start, centers in zip(starts["start"], starts["centers"], strict=True):
+                made = work(rows["_id"].to_numpy(), v, [c["label"] for c in centers], np.array([c["centroid"] for c in centers], float))
+                out.append(pd.DataFrame({group: rows[group].iloc[0], "start": start, **made}))
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in names}, dtype=object)
 
-def group_kmeans(df: DataFrame, group: str, idx: str, k: str, vec: str = "embedding", rounds: int = 300, starts: int = 10, tolerance: float = 1e-4) -> DataFrame:
+    names = [f"{group} {kind}", "start int", *found.split(", ")]
+    return blocks.groupBy(group, "_block").cogroup(seats.groupBy("_g", "_b")).applyInPandas(run, ", ".join(names))
+
+
+def _nearest_of(v: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and place of each row's nearest center, distances rounded, the first of equals."""
+    d = np.stack([np.round(np.sqrt(((v - c) ** 2).sum(1)), 6) for c in centers])
+    return d.min(0), d.argmin(0)
+
+
+def _packed(means: DataFrame, group: str) -> DataFrame:
+    """means (group, start, label, _i, _m), one row a component -> (group, start, centers); one shuffle for both levels."""
+    whole = means.repartition(group, "start").groupBy(group, "start", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("centroid"))
+    return whole.groupBy(group, "start").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("centers"))
+
+
+def group_kmeans(df: DataFrame, group: str, idx: str, k: str, vec: str = "embedding", rounds: int = 300, starts: int = 10, tolerance: float = 1e-4, block: int = 4096) -> DataFrame:
     """(idx, group, label): Lloyd's rounds over every group and start at once; each group takes its start of least inertia (the first of
-    equals). k: a column with the group's number of clusters.
+    equals). k: a column with the group's number of clusters. Rows without a vector are left out.
 
     A start has settled when its centers' squared moves add up to at most tolerance times the mean variance of the group's components; it
     then leaves the rounds, of which there are `rounds` at most. Starts come from hashes, so reruns agree. A center that loses all rows
-    vanishes. Each round is one join of rows with their group's packed centers and one pre-aggregated mean, however large a group is.
+    vanishes. A group is cut into blocks of about `block` rows that are placed once; in a round a block meets its group's centers and gives
+    one sum a center, so only centers are shuffled, however large a group is.
     """
-    rows = df.select(idx, group, F.transform(vec, lambda x: x.cast("double")).alias(vec), F.col(k).alias("_k"))
+    rows = df.filter(F.col(vec).isNotNull()).select(idx, group, F.transform(vec, lambda x: x.cast("double")).alias(vec), F.col(k).alias("_k"))
     seeds = kmeans_starts(rows, group, idx, "_k", starts)
     rows = rows.drop("_k")
-    live = _cut(seeds.join(rows, [group, idx]).select(group, "start", "label", F.col(vec).alias("centroid")))
+    sizes = _cut(rows.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / block).cast("int").alias("_n")))
+    blocks = rows.join(sizes, F.col(group) == F.col("_g")).select(group, F.col(idx).alias("_id"), F.pmod(F.xxhash64(idx, F.lit(3)), "_n").cast("int").alias("_block"), F.col(vec).alias("_v"))
+    blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "_block").persist()
     spread = rows.select(group, F.posexplode(vec).alias("_i", "_x")).groupBy(group, "_i").agg(F.var_pop("_x").alias("_v")).groupBy(group).agg((F.avg("_v") * tolerance).alias("_still"))
-    spread, settled = _cut(spread), None
+    first = seeds.join(rows, [group, idx]).select(group, "start", "label", F.posexplode(vec).alias("_i", "_m"))
+    live, settled = _cut(_packed(first, group).join(spread, group)), []
+
+    def sums(ids, v, labels, centers):
+        at = _nearest_of(v, centers)[1]
+        used = np.unique(at)
+        return {"label": [labels[j] for j in used], "n": [int((at == j).sum()) for j in used], "total": [v[at == j].sum(0) for j in used]}
+
+    def seats(ids, v, labels, centers):
+        d, at = _nearest_of(v, centers)
+        return {idx: ids, "label": np.array(labels)[at], "d": d}
+
     for _ in range(rounds):
-        new = centroids(_nearest_by_start(rows, live, group, vec), [group, "start", "label"], vec)
-        old = live.select(group, "start", "label", F.col("centroid").alias("_old"))
-        moved = new.join(old, [group, "start", "label"]).join(spread, group)
-        # moves that are no numbers settle too
-        moved = moved.withColumn("_go", F.nanvl(F.sum(F.pow(distance(F.col("centroid"), F.col("_old")), F.lit(2))).over(Window.partitionBy(group, "start")), F.lit(0.0)) > F.col("_still"))
-        moved = _cut(moved.select(group, "start", "label", "centroid", "_go"))
-        rest = moved.filter("not _go").drop("_go")
-        live, settled = moved.filter("_go").drop("_go"), rest if settled is None else settled.unionByName(rest)
-        if live.isEmpty():
+        part = _by_block(blocks, sizes, live, group, "label int, n long, total array<double>", sums).select(group, "start", "label", "n", F.posexplode("total").alias("_i", "_x"))
+        new = _packed(part.groupBy(group, "start", "label", "_i").agg((F.sum("_x") / F.sum("n")).alias("_m")), group)
+        old = live.select(group, "start", "_still", F.map_from_entries("centers").alias("_old"))
+        move = F.aggregate("centers", F.lit(0.0), lambda s, c: s + F.pow(distance(c["centroid"], F.col("_old")[c["label"]]), F.lit(2)))
+        moved = new.join(old, [group, "start"]).withColumn("_go", F.nanvl(move, F.lit(0.0)) > F.col("_still"))  # moves that are no numbers settle too
+        moved = _cut(moved.select(group, "start", "centers", "_still", "_go"))
+        kinds = {r["_go"] for r in moved.select("_go").distinct().collect()}
+        settled += [moved.filter("not _go").drop("_go")] if False in kinds else []
+        live = moved.filter("_go").drop("_go")
+        if True not in kinds:
             break
-    near = _cut(_nearest_by_start(rows, live if settled is None else settled.unionByName(live), group, vec).drop(vec))
+    for one in settled:
+        live = live.unionByName(one)
+    near = _cut(_by_block(blocks, sizes, live, group, f"{idx} {dict(df.dtypes)[idx]}, label int, d double", seats))
+    blocks.unpersist()
     cost = near.groupBy(group, "start").agg(F.round(F.sum(F.col("d") * F.col("d")), 6).alias("_cost"))
     best = cost.groupBy(group).agg(F.min_by("start", F.struct("_cost", "start")).alias("start"))
     return near.join(best, [group, "start"]).select(idx, group, "label")

@@ -214,6 +214,15 @@ def test_density_modes_find_blobs(spark):
     assert same_partition({i: v for i, v in got.items() if v >= 0}, truth) and sum(v < 0 for v in got.values()) < 24
 
 
+def test_kmeans_over_blocks(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, i % 2, rng.normal(size=3).tolist()) for i in range(90)] + [(90, 0, None), (91, 1, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, cls int, embedding array<double>").withColumn("k", F.lit(3))
+    label = lambda block: {r.vec_id: r.label for r in K.group_kmeans(df, "cls", "vec_id", "k", rounds=3, starts=3, block=block).collect()}
+    one = label(1000)
+    assert label(8) == one and set(one) == {i for i, _, v in rows if v}
+
+
 def test_pca_keeps_variance(spark):
     df, _ = blobs(spark)
     got = {r.vec_id: r.embedding for r in K.group_pca(df, "cls", "vec_id", 2).collect()}
