@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op5_sharding": sharding.OP5_SQL, "op10_urls": urls.OP10_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op5_sharding": sharding.OP5_SQL, "op9_vectors": vectors.OP9_SQL, "op10_urls": urls.OP10_SQL}

@@ -98,3 +98,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of fit vectors of one length, then the ids reachable over links.
+OP9_SQL = f"""with recursive fit as materialized (
+    select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as materialized (
+    select a.vec_id x, b.vec_id y from fit a join fit b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+    where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= {COSINE}),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on l.x = r.y),
+low as (select x, min(y) y from reach group by x), counted as (select x, count(*) n from links group by x)
+select vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(low.y, vec_id)) component_id, vec_id = least(vec_id, coalesce(low.y, vec_id)) kept
+from embeddings left join counted on counted.x = vec_id left join low on low.x = vec_id"""

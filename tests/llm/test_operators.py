@@ -389,6 +389,21 @@ def test_vectors_over_many_cells(spark, monkeypatch):
     assert list(got.n_links) == list((x @ x.T >= 0.5).sum(1) - 1)
 
 
+def test_vectors_query(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(12, 6))
+    rows = [(100 - k, list(map(float, base[k % 12] + rng.normal(size=6) * 0.1))) for k in range(60)]
+    rows += [(200, rows[0][1]), (7, rows[5][1]), (201, [0.0] * 6), (202, None), (203, [float("nan")] * 6), (204, [1.0, None] * 3), (205, [1.0, 2.0]), (206, [2.0, 4.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    for sf, file in ((str(tmp_path), f"{tmp_path}/embeddings.parquet/*.parquet"), (SF, f"{SF}/embeddings.parquet")):
+        con.execute(f"create or replace view embeddings as select * from '{file}'")
+        got, want = vectors.op9_vectors(spark, sf).toPandas(), con.execute(vectors.OP9_SQL).df()
+        key = lambda df: sorted(tuple(r) for r in df[["vec_id", "n_links", "component_id", "kept"]].astype(int).values.tolist())
+        assert list(got.columns) == list(want.columns) and key(got) == key(want)
+        assert sf == SF or got.n_links.sum() > 60
+
+
 # 10
 def test_url_query(spark):
     con = duckdb.connect()
