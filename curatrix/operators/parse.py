@@ -145,12 +145,26 @@ def project_attributes(attributes: Column, expected: Column) -> Column:
     return F.transform(expected, lambda s: F.struct(s.alias("slot"), one(s).alias("value")))
 
 
-def first_valid_attempt(attempts: DataFrame, key: str, attempt: str, valid: str, payload: str, error: str, retries: int) -> DataFrame:
-    """One row a key from its first retries + 1 attempts: the first valid one, else the last error."""
+def first_valid_attempt(attempts: DataFrame, key: str, attempt: str, valid: str, payload: str, error: str, retries: int, raw: str | None = None) -> DataFrame:
+    """One row a key from its first retries + 1 attempts: the first valid one, else the last error. raw: a column that is kept as
+    raw_response, of the same attempt."""
     ok = F.col(valid)
     g = attempts.filter(F.col(attempt) <= retries).groupBy(key)
-    out = g.agg(F.min_by(F.when(ok, F.col(payload)), F.when(ok, F.col(attempt))).alias("payload"), F.max_by(error, attempt).alias("_e"), F.min(F.when(ok, F.col(attempt))).alias("attempt"), F.bool_or(ok).alias("_ok"))
-    return out.select(key, F.when(F.col("_ok"), "success").otherwise("failed").alias("extraction_status"), "payload", F.when(~F.col("_ok"), F.col("_e")).alias("error_message"), "attempt")
+    texts = [F.min_by(F.when(ok, F.col(raw)), F.when(ok, F.col(attempt))).alias("_first"), F.max_by(raw, attempt).alias("_last")] if raw else []
+    out = g.agg(F.min_by(F.when(ok, F.col(payload)), F.when(ok, F.col(attempt))).alias("payload"), F.max_by(error, attempt).alias("_e"), F.min(F.when(ok, F.col(attempt))).alias("attempt"), F.bool_or(ok).alias("_ok"), *texts)
+    kept = [F.when(F.col("_ok"), F.col("_first")).otherwise(F.col("_last")).alias("raw_response")] if raw else []
+    return out.select(key, F.when(F.col("_ok"), "success").otherwise("failed").alias("extraction_status"), "payload", F.when(~F.col("_ok"), F.col("_e")).alias("error_message"), "attempt", *kept)
+
+
+def extract_job(attempts: DataFrame, key: str, attempt: str, raw: str, expected: Column, retries: int, keep_raw: bool = False) -> DataFrame:
+    """attempts (key, attempt, raw, what expected needs) -> first_valid_attempt's row a key, payload: expected slots with their values. An
+    attempt is valid if its text parses and no expected slot holds a wrong value; absent slots are unknown. keep_raw adds raw_response."""
+    rows = attempts.filter(F.col(attempt) <= retries).select(key, attempt, raw, expected.alias("_slots"))
+    rows = parse_response(rows, raw).withColumn("_body", extract_attributes(F.col("payload")))
+    present = F.coalesce(F.array_intersect("_slots", F.json_object_keys("_body")), F.array().cast("array<string>"))
+    rows = rows.withColumn("_error", F.coalesce("parse_error", F.nullif(validate_payload(F.col("_body"), present), F.lit("")))).withColumn("_ok", F.col("_error").isNull())
+    rows = rows.withColumn("_made", F.when(F.col("_ok"), project_attributes(F.from_json("_body", "map<string,string>"), F.col("_slots"))))
+    return first_valid_attempt(rows, key, attempt, "_ok", "_made", "_error", retries, raw if keep_raw else None)
 
 
 def mock_extract(class_name: Column, schema: Column) -> Column:

@@ -141,6 +141,25 @@ _add(
     """with a as (select * from conversations where turn <= 3) select conv_id, case when bool_or(role = 'assistant') then 'success' else 'failed' end extraction_status, arg_min(md5(text), turn) filter (role = 'assistant') payload,
 case when not bool_or(role = 'assistant') then arg_max('bad ' || role, turn) end error_message, min(turn) filter (role = 'assistant') attempt from a group by conv_id""",
 )
+
+
+def _attempts(s, d):
+    """Three attempts a record: the formats of _raw, then an object whose color is a number for each fifth record, then one too many."""
+    first = _raw(s, d).withColumn("attempt", F.lit(0))
+    late = lambda n, c: first.withColumn("attempt", F.lit(n)).withColumn("raw_response", F.concat(F.lit('{"attributes": {"color": '), c, F.lit(', "viewpoint": " from  above "}}')))
+    return first.unionByName(late(1, F.when(C("p_partkey") % 5 == 0, "5").otherwise('"late"'))).unionByName(late(2, F.lit('"too late"')))
+
+
+_add(
+    "extract_job_chain",
+    lambda s, d: P.extract_job(_attempts(s, d), "record_id", "attempt", "raw_response", F.array(F.lit("color"), F.lit("viewpoint")), 1, keep_raw=True).select(
+        "record_id", "extraction_status", "attempt", "error_message", C("payload")[0]["value"].alias("color"), C("payload")[1]["value"].alias("viewpoint"), F.when(F.coalesce("attempt", F.lit(1)) == 1, C("raw_response")).alias("late_response")
+    ),
+    f"""{_S}, a as (select record_id, case when p_partkey % 6 < 4 or (p_partkey % 6 = 4 and p_partkey % 4 = 0) then 0 when p_partkey % 5 <> 0 then 1 end attempt, string_split(p_name, ' ')[1] word,
+'{{"attributes": {{"color": ' || case when p_partkey % 5 = 0 then '5' else '"late"' end || ', "viewpoint": " from  above "}}}}' as second from samples)
+select record_id, case when attempt is null then 'failed' else 'success' end extraction_status, attempt, case when attempt is null then 'number in color' end error_message, case attempt when 0 then word when 1 then 'late' end color,
+case attempt when 0 then 'unknown' when 1 then 'from above' end viewpoint, case when coalesce(attempt, 1) = 1 then second end late_response from a""",
+)
 _add("mock_extract", lambda s, d: samples(s, d).select("record_id", F.explode(P.mock_extract(C("class_name"), E.slot_schema(C("archetype")))).alias("e")).select("record_id", "e.slot", "e.value"), f"with {ATTRIBUTES_SQL} select record_id, slot, case when slot_pos = 0 then lower(class_name) else 'unknown' end as value from attributes")
 _add("respond_mock", lambda s, d: P.respond(samples(s, d).select("record_id", "class_name", E.slot_schema(C("archetype")).alias("slot_schema")), "mock").select("record_id", F.get_json_object("raw_response", "$.attributes.viewpoint").alias("v"), F.length("raw_response").alias("n")).select("record_id", "v"), f"{_S} select record_id, 'unknown' v from samples")
 _add("extraction_stats", lambda s, d: P.extraction_stats(samples(s, d).withColumn("extraction_status", F.when(C("p_partkey") % 9 == 0, "failed").otherwise("success"))), f"{_S} select count(*) total, count(*) filter (p_partkey % 9 <> 0) success, count(*) filter (p_partkey % 9 = 0) failed, count(distinct class_name_raw) classes, array_to_string(list_sort(list(distinct archetype)), ',') archetypes from samples")
