@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import bpe, mixing, quality_model, rules, sharding, simhash, tokens, toxicity, urls, vectors
+from curatrix.llm import bpe, chat, fim, mixing, quality_model, rules, runs, sharding, simhash, tokens, toxicity, urls, vectors
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_rules": rules.op8_rules,
         "op9_vectors": vectors.op9_vectors,
         "op10_urls": urls.op10_urls,
+        "op11_fim": fim.op11_fim,
+        "op12_chats": chat.op12_chats,
+        "op13_runs": runs.op13_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op5_sharding": sharding.OP5_SQL, "op9_vectors": vectors.OP9_SQL, "op10_urls": urls.OP10_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op5_sharding": sharding.OP5_SQL, "op9_vectors": vectors.OP9_SQL, "op10_urls": urls.OP10_SQL, "op11_fim": fim.OP11_SQL, "op12_chats": chat.OP12_SQL}
