@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.session import written
+
 
 def distance(a: Column, b: Column) -> Column:
     """Euclidean, in double."""
@@ -52,17 +56,47 @@ def quota_allocation(sizes: DataFrame, group: str, label: str, n: str, ipc: int)
     return s.withColumn("quota", quota.cast("int")).drop("_k", "_rank", "_exact", "_floor", "_left", "_turn")
 
 
-def farthest_point(centers: DataFrame, group: str, label: str, n: int, digits: int = 6) -> DataFrame:
-    """(group, label, turn): greedy max-min choice of n centers a group, from the lowest label. One small join and aggregate a round over
-    the centers (few a group), never over rows."""
-    c = centers.select(group, label, "centroid")
-    chosen = c.groupBy(group).agg(F.min(label).alias(label)).withColumn("turn", F.lit(0))
-    for turn in range(1, n):
-        picked = chosen.join(c, [group, label]).select(group, F.col(label).alias("_l"), F.col("centroid").alias("_c"))
-        gap = c.join(picked, group).groupBy(group, label).agg(F.min(F.round(distance(F.col("centroid"), F.col("_c")), digits)).alias("_gap"), F.max((F.col(label) == F.col("_l")).cast("int")).alias("_in"))
-        new = gap.filter("_in = 0").groupBy(group).agg(F.max_by(label, F.struct("_gap", (-F.col(label)).alias("x"))).alias(label))
-        chosen = chosen.unionByName(new.withColumn("turn", F.lit(turn)))
-    return chosen
+def _greedy(points: np.ndarray, n: int, digits: int) -> list[int]:
+    """Places of n points: the first one, then always the farthest from all chosen, the first of equals; gaps are kept as a running minimum."""
+    at, gap = [0], np.full(len(points), np.inf)
+    while len(at) < min(n, len(points)):
+        gap = np.minimum(gap, np.round(np.sqrt(((points - points[at[-1]]) ** 2).sum(1)), digits))
+        gap[at] = -1
+        at.append(int(gap.argmax()))
+    return at
+
+
+def farthest_point(centers: DataFrame, group: str, label: str, n: int, digits: int = 6, block: int = 8192) -> DataFrame:
+    """(group, label, turn): greedy max-min choice of n centers (or all, if fewer) a group, from the lowest label; ties to the lowest label.
+
+    A group of up to `block` centers is chosen in one Arrow pass. The centers of larger groups stay in a table that holds each one's gap to the nearest
+    chosen center; a round reads and writes it once, so the plan doesn't grow with n and no task holds such a group.
+    """
+    c = centers.select(group, label, F.transform("centroid", lambda x: x.cast("double")).alias("centroid"))
+    kinds = dict(c.dtypes)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(label)
+        at = _greedy(np.stack(pdf["centroid"].to_numpy()), n, digits)
+        return pd.DataFrame({group: pdf[group].iloc[0], label: pdf[label].to_numpy()[at], "turn": np.arange(len(at))})
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.groupBy(group).applyInPandas(choose, f"{group} {kinds[group]}, {label} {kinds[label]}, turn int")
+
+    sizes = c.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+    many = [r["_g"] for r in sizes.limit(1).collect()]
+    if not many:
+        return whole(c)
+    sizes = written(sizes, "groups")
+    state = written(c.join(sizes, F.col(group) == F.col("_g"), "left_semi").withColumns({"_gap": F.lit(float("inf")), "turn": F.lit(None).cast("int")}), "gaps")
+    for turn in range(n):
+        pick = F.min_by(F.struct(label, "centroid"), label) if turn == 0 else F.max_by(F.struct(label, "centroid"), F.struct("_gap", (-F.col(label)).alias("x")))
+        picked = state.filter("turn is null").groupBy(F.col(group).alias("_g")).agg(pick.alias("_p"))
+        gap = F.least("_gap", F.round(distance(F.col("centroid"), F.col("_p.centroid")), digits))
+        now = state.join(picked, F.col(group) == F.col("_g"), "left")
+        state = written(now.select(group, label, "centroid", F.coalesce(gap, "_gap").alias("_gap"), F.when(F.col(label) == F.col(f"_p.{label}"), turn).otherwise(F.col("turn")).alias("turn")), "gaps")
+    few = c.join(sizes, F.col(group) == F.col("_g"), "left_anti")
+    return whole(few).unionByName(state.filter("turn is not null").select(group, label, "turn"))
 
 
 def renumber(df: DataFrame, group: str, label: str) -> DataFrame:
