@@ -7,6 +7,7 @@ share of good ones. A document's posterior probability of being good replaces th
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from math import log
 
@@ -26,7 +27,10 @@ RULES = {
     "capitals": ("20 * n_shouted <= n_words", "10 * n_shouted > 3 * n_words"),
     "sentences": ("n_ends > 0 and 4 * n_ends <= n_words", "n_ends = 0 or 2 * n_ends > n_words"),
 }
-ROUNDS, SETTLED = 40, 1e-6
+ROUNDS, SETTLED = 200, 1e-6
+#: Bounds of what is estimated: share of good documents; how often a rule is right about good ones, and about bad ones. The second of them tells good
+#: from bad (else the two could change places): a rule's votes about good documents are right more often than not. The share itself is free.
+PRIOR, RIGHT_GOOD, RIGHT_BAD = (0.001, 0.999), (0.5, 0.999), (0.2, 0.999)
 LEAST_POSTERIOR = 0.5
 
 
@@ -97,10 +101,11 @@ class Trust:
 
 
 def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> Trust:
-    """patterns (v_<rule>.., n): EM from a start that trusts every rule. Each round is one aggregate over the pattern table; its sums
-    are rounded, so that the order of addition can't show. A vote against is taken to be right more often than not."""
-    held = lambda x, low=0.5: round(min(0.999, max(low, x)), 6)
-    trust = Trust(0.9, dict.fromkeys(names, 0.9), dict.fromkeys(names, 0.6))
+    """patterns (v_<rule>.., n): EM from a start that trusts every rule and takes half of the documents for good, within the bounds PRIOR, RIGHT_GOOD and
+    RIGHT_BAD. Each round is one aggregate over the pattern table; its sums are rounded, so that the order of addition can't show. A warning tells if
+    the estimates still move after `rounds` rounds."""
+    held = lambda x, bounds: round(min(bounds[1], max(bounds[0], x)), 6)
+    trust = Trust(0.5, dict.fromkeys(names, 0.9), dict.fromkeys(names, 0.6))
     for _ in range(rounds):
         p = patterns.withColumn("p", trust.posterior())
         sums = [F.sum(F.col("n") * F.col("p")), F.sum(F.col("n"))]
@@ -112,11 +117,13 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> Tru
             break
         share = lambda a, b: (a + 1) / (b + 2)
         rows = {r: got[2 + 4 * i : 6 + 4 * i] for i, r in enumerate(names)}
-        new = Trust(held(share(got[0], got[1])), {r: held(share(x[0], x[1])) for r, x in rows.items()}, {r: held(share(x[2], x[3]), 0.2) for r, x in rows.items()})
+        new = Trust(held(share(got[0], got[1]), PRIOR), {r: held(share(x[0], x[1]), RIGHT_GOOD) for r, x in rows.items()}, {r: held(share(x[2], x[3]), RIGHT_BAD) for r, x in rows.items()})
         moved = max(abs(new.prior - trust.prior), *(abs(a[r] - b[r]) for a, b in ((new.good, trust.good), (new.bad, trust.bad)) for r in names))
         trust = new
         if moved < SETTLED:
             break
+    else:
+        warnings.warn(f"the rules' estimates still moved by {moved:g} after {rounds} rounds", stacklevel=2)
     return trust
 
 

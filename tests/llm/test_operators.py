@@ -321,24 +321,27 @@ def test_rules_query(spark):
     assert (y.kept == (y.quality == 1)).mean() > 0.97
 
 
-def test_em_against_numpy(spark):
-    """The posterior of a plain numpy EM over the same votes."""
+@pytest.mark.parametrize("share,rounds", [(0.1, 200), (0.2, 200), (0.5, 200), (0.85, 25), (0.9, 200)])
+def test_em_against_numpy(spark, share, rounds):
+    """The posterior of a plain numpy EM over the same votes, whatever share of the documents is good; and that share is found."""
     rng = np.random.default_rng(3)
-    good = rng.random(3000) < 0.85
+    good = rng.random(4000) < share
     names = ["a", "b", "c"]
-    acc = [0.97, 0.9, 0.8]
-    votes = np.stack([np.where(rng.random(3000) < 0.15, 0, np.where((rng.random(3000) < p) == good, 1, -1)) for p in acc], 1)
+    acc = [0.95, 0.9, 0.85]
+    votes = np.stack([np.where(rng.random(4000) < 0.15, 0, np.where((rng.random(4000) < p) == good, 1, -1)) for p in acc], 1)
     counts = Counter(map(tuple, votes.tolist()))
-    df = spark.createDataFrame([(*map(int, k), float(n)) for k, n in counts.items()], "v_a int, v_b int, v_c int, n double")
-    t = rules.estimate(df, names, rounds=25)
-    prior, g, b = 0.9, np.full(3, 0.9), np.full(3, 0.6)
-    for _ in range(25):
+    df = spark.createDataFrame([(*map(int, k), float(n)) for k, n in counts.items()], "v_a int, v_b int, v_c int, n double").coalesce(1).cache()
+    t = rules.estimate(df, names, rounds=rounds)
+    prior, g, b = 0.5, np.full(3, 0.9), np.full(3, 0.6)
+    for _ in range(rounds):
         odds = np.log(prior / (1 - prior)) + np.where(votes == 1, np.log(g / (1 - b)), np.where(votes == -1, np.log((1 - g) / b), 0)).sum(1)
         p = 1 / (1 + np.exp(-odds))
-        prior = (p.sum() + 1) / (3000 + 2)
+        prior = (p.sum() + 1) / (4000 + 2)
         g = np.clip([((votes[:, j] == 1) @ p + 1) / ((votes[:, j] != 0) @ p + 2) for j in range(3)], 0.5, 0.999)
         b = np.clip([((votes[:, j] == -1) @ (1 - p) + 1) / ((votes[:, j] != 0) @ (1 - p) + 2) for j in range(3)], 0.2, 0.999)
     assert t.prior == pytest.approx(prior, abs=2e-3) and list(t.good.values()) == pytest.approx(list(g), abs=2e-3) and list(t.bad.values()) == pytest.approx(list(b), abs=2e-3)
+    assert abs(t.prior - good.mean()) < 0.04
+    assert ((p >= 0.5) != good).mean() < 0.06
 
 
 def test_rules_odd_rows(spark, docs, empty):
@@ -356,6 +359,19 @@ def test_rules_odd_rows(spark, docs, empty):
 
 
 # 9
+def test_vectors_of_one_id_and_of_extreme_size(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (7, [1e200, -0.0]), (8, [1e200, 1e199]), (9, [1e-200, -1e-200]), (6, [2e-200, -2e-200]), (9, [-1e300, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as component_id", "2 as n_links", "3 as cls")
+    got = sorted(map(tuple, vectors.near_duplicates(df).collect()))
+    unit = np.array([np.array(v) / np.abs(v).max() for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    hit = unit @ unit.T >= 0.95
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if hit[i, j]]
+    root = union_find(len(rows), pairs)
+    low = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in root}
+    assert got == sorted((k, int(hit[i].sum()) - 1, low[root[i]], k == low[root[i]]) for i, (k, _) in enumerate(rows))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(30, 8))
