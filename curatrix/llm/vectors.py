@@ -26,6 +26,7 @@ PER_PIVOT, PIVOTS = 4096, 256
 
 def _unit(data, kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]  # squares of very large or small numbers would be lost
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -56,16 +57,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Vectors link if their cosine, in double precision, is at least `cosine`. n_links counts the other rows linked directly, exact copies
     among them; component_id is the smallest vec_id reachable; kept marks it. Null embeddings, null ids, zero vectors and those with
     null or non-finite components link with nothing: no links, their own id as component. Vectors of different lengths never link.
-    Equal vectors are joined once, with their number. An empty table gives no rows.
+    Equal vectors are joined once, with their number. Rows that share a vec_id are vectors of their own with links of their own; each is kept that
+    has the smallest id of its component. An empty table gives no rows; other columns, whatever their names, are dropped.
     """
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.col("vec_id").isNotNull() & F.coalesce(~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = materialize(vectors.select("vec_id", F.when(fit, F.col("embedding")).alias("embedding")), "vectors")
     classes = rows.filter("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes, "vector-classes")
+    # a class has an id of its own: rows of one vec_id can hold different vectors
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
-    first = classes.orderBy(F.xxhash64("rep"), "rep").limit(min(PIVOTS, -(-n // PER_PIVOT))).select("embedding").toPandas()["embedding"]
+    first = classes.orderBy(F.xxhash64("rep"), "rep", F.xxhash64("embedding")).limit(min(PIVOTS, -(-n // PER_PIVOT))).select("embedding").toPandas()["embedding"]
     pivots = {m: _unit([np.asarray(v, kind).tobytes() for v in first if len(v) == m], kind) for m in {len(v) for v in first}}
     shift = {m: sum(len(p) for k, p in pivots.items() if k < m) for m in pivots}
     r = float(np.sqrt(2 - 2 * cosine))
@@ -76,20 +79,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             b = b.assign(data=data, m=[len(d) // int(kind[2]) for d in data]).drop(columns="embedding")
             for m, part in b.groupby("m"):
                 if m not in pivots:  # a length that no pivot has: one cell, cut into chunks
-                    yield pd.DataFrame({"cell": -m, "visitor": False, "id": part["rep"], "data": part["data"], "weight": part["copies"]})
+                    yield pd.DataFrame({"cell": -m, "visitor": False, "id": part["cls"], "data": part["data"], "weight": part["copies"]})
                     continue
                 home, visits = _place(_unit(part["data"], kind), pivots[m], r)
                 i, q = np.nonzero(visits)
                 at = np.concatenate([np.arange(len(part)), i])
                 cell, visitor = np.concatenate([home, q]) + shift[m], np.arange(len(at)) >= len(part)
-                yield pd.DataFrame({"cell": cell, "visitor": visitor, "id": part["rep"].to_numpy()[at], "data": part["data"].to_numpy()[at], "weight": part["copies"].to_numpy()[at]})
+                yield pd.DataFrame({"cell": cell, "visitor": visitor, "id": part["cls"].to_numpy()[at], "data": part["data"].to_numpy()[at], "weight": part["copies"].to_numpy()[at]})
 
     placed = materialize(classes.mapInPandas(place, "cell int, visitor boolean, id long, data binary, weight long"), "cells")
     found = materialize(link(placed, lambda s: _unit(s, kind), near(cosine), "long", count=True, chunk=PER_PIVOT), "links")
     groups = components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy(F.col("a").alias("_r")).agg(F.sum("n").alias("links"))
-    facts = classes.join(links, F.col("rep") == F.col("_r"), "left").join(groups, F.col("rep") == F.col("id"), "left")
-    facts = materialize(facts.select("embedding", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-facts")
+    groups = materialize(groups.join(classes.select(F.col("cls").alias("id"), "rep"), "id"), "vector-groups")
+    lowest = materialize(groups.groupBy("component").agg(F.min("rep").alias("low"), F.count("*").alias("copies")), "vector-lowest")
+    low = hot_join(groups.select("id", "component"), lowest, "component", groups.count()).select("id", "low")
+    facts = classes.join(links, F.col("cls") == F.col("_r"), "left").join(low, F.col("cls") == F.col("id"), "left")
+    facts = materialize(facts.select("embedding", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id")), "vector-facts")
     unfit = rows.filter("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     fine = rows.filter("embedding is not null")
     out = hot_join(fine, facts, "embedding", rows.count()).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(unfit)
