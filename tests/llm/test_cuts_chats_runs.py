@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -103,7 +104,7 @@ def test_chats_give_their_rows_back(spark):
     rows += [(1000, i, "assistant" if i % 7 else "user", f"{i} {ODD[i % 5]}") for i in range(700)] + rows[:9]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("spans", F.lit(0)).repartition(5)
     made = chat.format_chats(df)
-    got = made.select("*", chat.turns_of(F.col("formatted")).alias("turns"), chat.masked(F.col("formatted"), F.col("spans")).alias("loss")).collect()
+    got = chat.masked(made).withColumn("turns", chat.turns_of(F.col("formatted"))).collect()
     want = plain_chats(rows)
     assert len(got) == len(want)
     for r in got:
@@ -114,6 +115,18 @@ def test_chats_give_their_rows_back(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_a_long_conversation_costs_its_length(spark):
+    def seconds(n):
+        rows = spark.range(0, n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("some words <text> "), 20).alias("text"))
+        start = time.time()
+        r = chat.masked(chat.format_chats(rows)).select(F.length(F.array_join("loss", "")), F.size(chat.turns_of(F.col("formatted")))).first()
+        assert tuple(r) == (n // 2 * 360, n)
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(20_000) < 8 * max(1.0, seconds(5000))
+
+
 def test_planted_conversation(spark):
     r = chat.op12_chats(spark, SF).filter("conv_id = -7").first()
     t = chat.PLANTED
