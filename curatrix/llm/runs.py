@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,10 +27,10 @@ TILE, GRAM = 16_384, 16
 
 
 def word_ids(text: str) -> np.ndarray:
-    """The text's words (runs of other than the six ASCII white-space characters) as numbers in order of appearance."""
-    number = defaultdict(count().__next__)
+    """The text's words (runs of other than the six ASCII white-space characters) as numbers, those of their last places."""
     words = text.encode("utf-8", "surrogatepass").split()  # bytes part at those six characters only
-    return np.fromiter((number[w] for w in words), np.int32, len(words))
+    number = dict(zip(words, range(len(words)), strict=True))
+    return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
 
 
 def _octaves(n: int) -> range:
@@ -43,38 +43,34 @@ def _gram(k: int) -> int:
     return max(2, min(1 << k, GRAM))
 
 
-def _grams(ids: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of `size` words from each place on, a power of two; fewer words at the end are hashed as they are, filled with marks."""
-    h = ids.astype(np.uint64) + np.uint64(1)
-    step = 1
-    while step < size:
-        later = np.zeros_like(h)
-        later[:-step] = h[step:]
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (later * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(step))
-        step *= 2
-    return h
-
-
-def boundaries(ids: np.ndarray, k: int) -> np.ndarray:
-    """Multiples c of 2^(k+1) whose next words come again q words later, for some q of the octave. Hashes decide, so there
-    may be a few more, but never fewer."""
-    d, n = 2 << k, len(ids)
-    h = _grams(ids, _gram(k))
-    rows = -(-n // d)
-    h = np.concatenate([h, np.zeros(rows * d - n, np.uint64)]).reshape(rows, d)
-    return np.flatnonzero((h[:, d // 2 :] == h[:, :1]).any(1)) * d
+def boundaries(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each octave k that has any, the multiples c of 2^(k+1) whose next words come again q words later, for some q of the octave. Hashes of those
+    words decide, doubled in length from octave to octave, so there may be a few more, but never fewer."""
+    n, size = len(ids), 1
+    h = np.zeros(n + n // 2 + 2, np.uint64)  # the last rows of an octave end behind the text
+    h[:n] = ids
+    h[:n] += np.uint64(1)
+    for k in _octaves(n):
+        while size < _gram(k):
+            later = h[size:n] * np.uint64(0xC2B2AE3D27D4EB4F)
+            h[:n] *= np.uint64(0x9E3779B97F4A7C15)
+            h[: n - size] ^= later + np.uint64(size)
+            size *= 2
+        d = 2 << k
+        rows = h[: -(-n // d) * d].reshape(-1, d)
+        found = np.flatnonzero((rows[:, d // 2 :] == rows[:, :1]).any(1))
+        if len(found):
+            yield k, found * d
 
 
 def suspect(text: str) -> bool:
     """Whether any boundary of any octave may lie in a run; cheap, in numpy."""
-    ids = word_ids(text)
-    return any(len(boundaries(ids, k)) for k in _octaves(len(ids)))
+    return next(boundaries(word_ids(text)), None) is not None
 
 
 def tiles(ids: np.ndarray, tile: int = TILE) -> Iterator[tuple[int, int, np.ndarray]]:
     """(octave, boundary that the tile begins with, its boundaries that count). A tile's boundaries span `tile` words, or 4 * D if that is more."""
-    for k in _octaves(len(ids)):
-        found = boundaries(ids, k)
+    for k, found in boundaries(ids):
         span = max(tile // (2 << k), 4) * (2 << k)
         for start in np.unique(found // span):
             yield k, int(start * span), found[found // span == start]
@@ -136,24 +132,32 @@ def solve(ids: list[int], k: int, at: list[int], low: int, n: int) -> list[tuple
     return [(q, s, e) for q, spans in found.items() for s, e in spans if whole(q, s, e) or (s == low and low > 0) or (e == high and high < n)]
 
 
+def _frames(rows: Iterator[tuple], columns: list[str], most: int = 2000) -> Iterator[pd.DataFrame]:
+    """Frames of at most `most` rows."""
+    while part := list(islice(rows, most)):
+        yield pd.DataFrame(part, columns=columns)
+
+
 def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for key, text in zip(b["key"], b["text"], strict=True):
-            ids, rows = word_ids(text), []
-            for k, start, at in tiles(ids):
-                d = 2 << k
-                low, high = max(0, int(at[0]) - d), min(len(ids), int(at[-1]) + 3 * d)
-                rows.append((key, k, start, low, len(ids), ids[low:high].tobytes(), at.astype(np.int32).tobytes()))
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "octave", "tile", "low", "n", "ids", "at"])
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for key, text in zip(b["key"], b["text"], strict=True):
+                ids = word_ids(text)
+                for k, start, at in tiles(ids):
+                    low, high = max(0, int(at[0]) - (2 << k)), min(len(ids), int(at[-1]) + 3 * (2 << k))
+                    yield key, k, start, low, len(ids), ids[low:high].tobytes(), at.astype(np.int32).tobytes()
+
+    yield from _frames(rows(), ["key", "octave", "tile", "low", "n", "ids", "at"], 200)
 
 
 def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for r in b.itertuples(index=False):
-            found = solve(np.frombuffer(r.ids, np.int32).tolist(), int(r.octave), np.frombuffer(r.at, np.int32).tolist(), int(r.low), int(r.n))
-            if found:
-                yield pd.DataFrame([(r.key, *f) for f in found], columns=["key", "period", "start", "end"])
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                found = solve(np.frombuffer(r.ids, np.int32).tolist(), int(r.octave), np.frombuffer(r.at, np.int32).tolist(), int(r.low), int(r.n))
+                yield from ((r.key, *f) for f in found)
+
+    yield from _frames(rows(), ["key", "period", "start", "end"])
 
 
 def stitched(fragments: DataFrame) -> DataFrame:
