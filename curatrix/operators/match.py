@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import normalize_relpath, string_or_none
+from curatrix.session import written
 
 KEYS = ("record_id", "sample_id", "relative_image_path")
 
@@ -37,15 +38,18 @@ def _sample_keys(samples: DataFrame) -> DataFrame:
 def priority_match(samples: DataFrame, records: DataFrame) -> DataFrame:
     """samples with the record found by record_id, else sample_id, else relative path: match struct (null if none) and matched_via.
 
-    Three left equi-joins against sides with one row a key, so a sample stays one row; each join broadcasts or sorts as sizes say.
+    Both sides are stacked by (kind of key, key), so one shuffle of the records and one of the keys find all matches, and the first kind that has one is
+    taken per sample; samples themselves are joined once, by record_id and sample_id.
     """
-    good = eligible(records)
-    out = _sample_keys(samples)
-    for k in KEYS:
-        side = dedupe_first_wins(good, f"k_{k}").select(F.col(f"k_{k}").alias(f"_{k}"), F.struct(*records.columns, *[f"k_{x}" for x in KEYS]).alias(f"m_{k}"))
-        out = out.join(side, F.col(f"k_{k}") == F.col(f"_{k}"), "left").drop(f"_{k}")
-    via = F.coalesce(*[F.when(F.col(f"m_{k}").isNotNull(), k) for k in KEYS])
-    return out.withColumn("match", F.coalesce(*[F.col(f"m_{k}") for k in KEYS])).withColumn("matched_via", via).drop(*[f"m_{k}" for k in KEYS], *[f"k_{k}" for k in KEYS])
+    own = [c for c in samples.columns]
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"k_{k}").alias("k")) for i, k in enumerate(KEYS)])
+    good = eligible(records).select(F.struct(*records.columns, *[f"k_{x}" for x in KEYS]).alias("r"), "line_no", F.inline(kinds)).filter("k is not null")
+    first = good.groupBy("kind", "k").agg(F.min_by("r", "line_no").alias("r"))
+    keys = _sample_keys(samples).select(F.col("record_id").alias("_id"), F.col("sample_id").alias("_sid"), F.inline(kinds)).filter("k is not null").distinct()
+    found = keys.join(first, ["kind", "k"]).groupBy("_id", "_sid").agg(F.min_by("r", "kind").alias("match"), F.min("kind").alias("_kind"))
+    via = F.element_at(F.array(*map(F.lit, KEYS)), F.col("_kind") + 1)
+    same = F.col("record_id").eqNullSafe(F.col("_id")) & F.col("sample_id").eqNullSafe(F.col("_sid"))
+    return samples.join(found, same, "left").select(*own, "match", F.when(F.col("_kind").isNotNull(), via).alias("matched_via"))
 
 
 def first_key(prefix: str = "k_") -> Column:
@@ -107,12 +111,32 @@ def range_number(df: DataFrame, key: str, parts: int = 128) -> Column:
     return F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(key))) if bounds else F.lit(0)
 
 
-def pair_index(rendered: DataFrame, line: str = "line_no") -> DataFrame:
-    """Dense index over successful records in order of record_id, last one of each id; ids without :: are left out. Ranges of record_id,
-    cut at quantiles of a sample, are numbered by their counts, so no task sees all rows or all of a class."""
-    last = dedupe_last_wins(rendered.filter("render_status = 'success'"), "record_id", line).filter(F.contains(F.col("record_id"), F.lit("::")))
-    rows = last.select("record_id", "canonical_caption")
-    head = rows.withColumn("_head", range_number(rows, "record_id"))
+def numbered(df: DataFrame, keys: list[str], out: str = "idx") -> DataFrame:
+    """df plus out: each row's place, from 0, in order of keys, the first of which must have no nulls. df is worked out once and written; ranges of the first
+    key, cut at quantiles of a sample, are numbered by their counts, so no task sees all rows or all of a class. Rows that tie take any order."""
+    df = written(df, "numbered")
+    head = df.withColumn("_head", range_number(df, keys[0]))
     before = head.groupBy("_head").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_head").orderBy("record_id")) - 1 + F.col("_before")
-    return head.join(before, "_head").select(place.cast("long").alias("idx"), "record_id", "canonical_caption")
+    place = F.row_number().over(Window.partitionBy("_head").orderBy(*keys)) - 1 + F.col("_before")
+    return head.join(before, "_head").select(*df.columns, place.cast("long").alias(out))
+
+
+def pair_index(rendered: DataFrame, line: str = "line_no", inventory: DataFrame | None = None, root: str = "") -> DataFrame:
+    """Dense index (idx) over records in order of record_id, with image_path, canonical_caption, class_name, class_name_raw, class_id and archetype.
+
+    The last row of each id counts, and only if it is a success; ids without :: are left out. The image lies below root at what follows :: in the id; if the
+    inventory (sample_id of the files that are there) lacks it, at the record's sample_id, where it has one. Without an inventory every file is taken to be
+    there. Columns that rendered lacks have the reference's defaults: class_name the raw name, class_id 0, archetype empty.
+    """
+    last = dedupe_last_wins(rendered, "record_id", line).filter(F.contains(F.col("record_id"), F.lit("::")) & (F.col("render_status") == "success"))
+    has = lambda c, default: F.coalesce(F.col(c), default) if c in last.columns else default
+    parts = F.split("record_id", "::", 2)
+    rows = last.withColumns({"_raw": parts[0], "_rel": parts[1]})
+    there = F.lit(True)
+    if inventory is not None:
+        rows = rows.join(inventory.select(F.col("sample_id").alias("_file")).distinct(), F.col("_rel") == F.col("_file"), "left")
+        there = F.col("_file").isNotNull()
+    other = F.nullif(F.col("sample_id"), F.lit("")) if "sample_id" in last.columns else F.lit(None).cast("string")
+    path = F.concat(F.lit(f"{root.rstrip('/')}/" if root else ""), F.when(there, F.col("_rel")).otherwise(F.coalesce(other, "_rel")))
+    rows = rows.select("record_id", path.alias("image_path"), has("canonical_caption", F.lit("")).alias("canonical_caption"), has("class_name", F.col("_raw")).alias("class_name"), F.col("_raw").alias("class_name_raw"), has("class_id", F.lit(0)).cast("int").alias("class_id"), has("archetype", F.lit("")).alias("archetype"))
+    return numbered(rows, ["record_id"]).select("idx", *rows.columns)

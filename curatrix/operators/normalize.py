@@ -16,6 +16,12 @@ UNKNOWN = "mapped_to_unknown"
 Rung = tuple[str, str, str, str]
 
 
+# Base words and singulars of the rules.
+BASE_MATERIALS = (("metallic", "metal"), ("wooden", "wood"))
+BASE_COLORS = (("grey", "gray"), ("golden", "gold"))
+SINGULARS = (("golf balls", "golf ball"), ("crosses", "cross"), ("towers", "tower"))
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -102,17 +108,17 @@ def steps(d, rules: dict | None = None, types: list[str] | None = None) -> list[
             (f"{_family('state')} and ({starts('powered off')} or {v} = 'inactive')", "'off'", "canonicalized", q("slot.state.off_family")),
         ]),
         ("normalize_material", [
-            *[(f"{is_material} and {v} = {q(k)}", q(x), "canonicalized", q("slot.material.base_material")) for k, x in (("metallic", "metal"), ("wooden", "wood"))],
+            *[(f"{is_material} and {v} = {q(k)}", q(x), "canonicalized", q("slot.material.base_material")) for k, x in BASE_MATERIALS],
             (f"{is_material} and (contains({v}, ' and ') or contains({v}, '/') or contains({v}, ',')) and {many(materials)}", d.plus.format(materials), "canonicalized", q("slot.material.separator_unify")),
         ]),
         ("normalize_color", [
-            *[(f"{is_color} and {v} = {q(k)}", q(x), "canonicalized", q("slot.color.base_color")) for k, x in (("grey", "gray"), ("golden", "gold"))],
+            *[(f"{is_color} and {v} = {q(k)}", q(x), "canonicalized", q("slot.color.base_color")) for k, x in BASE_COLORS],
             (f"{is_color} and (contains({v}, ' and ') or contains({v}, ',')) and {many(colors)}", d.plus.format(colors), "canonicalized", q("slot.color.separator_unify")),
         ]),
         ("normalize_type", [
             (f"{is_type} and {among('slot', anchors)} and {short} not in ('', {v})", short, "canonicalized", q("slot.anchor_type.from_class_name_first_item")),
             *[(f"{plain_type} and {v} = {q(k)}", q(x), "canonicalized", q("slot.type.canonicalize")) for k, x in r["type"].items() if k != x],
-            *[(f"{plain_type} and {v} = {q(k)}", q(x), "canonicalized", q("slot.type.singularize")) for k, x in (("golf balls", "golf ball"), ("crosses", "cross"), ("towers", "tower"))],
+            *[(f"{plain_type} and {v} = {q(k)}", q(x), "canonicalized", q("slot.type.singularize")) for k, x in SINGULARS],
         ]),
     ]
 

@@ -6,6 +6,7 @@ Spark's own JSON readers accept trailing text and single quotes, so strict parsi
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -93,18 +94,50 @@ def parse_bullets(text: Column) -> Column:
     return F.struct(archetype.alias("archetype"), F.when(error.isNull(), last).alias("attributes"), error.alias("error"))
 
 
+_HEAD, _BLOCK = re.compile(r'"archetype"\s*:\s*"([^"]+)"'), re.compile(r'"attributes"\s*:\s*\{(.*?)\}', re.DOTALL)
+_LINE = re.compile(r"-\s*([A-Za-z0-9_]+)\s*:\s*(.+)$")
+
+
+def bullet_object(text: str) -> tuple[str | None, str | None]:
+    """parse_bullets of one text: (payload, error)."""
+    head, block = _HEAD.search(text), _BLOCK.search(text)
+    if not head:
+        return None, "missing archetype"
+    if not block:
+        return None, "missing attributes block"
+    found = {}
+    for line in re.split(r"\r\n|\n|\r", block[1]):
+        line = line.strip().rstrip(",")
+        if not line:
+            continue
+        m = _LINE.match(line)
+        if not m:
+            return None, "unsupported attribute line"
+        found[m[1]] = m[2].strip().strip('"')
+    return json.dumps({"archetype": head[1], "attributes": found}, ensure_ascii=False), None
+
+
+def parsed(text: str | None) -> tuple[str, str | None, str | None]:
+    """(method, payload, error) of one text without fences: strict JSON; if that is no JSON, the first object that closes; if none does, bullets."""
+    payload, error, broken = _strict(text)
+    if not broken:
+        return ("failed" if error else "strict"), payload, error
+    found = balanced_object(text)
+    if found is not None:
+        payload, error, _ = _strict(found)
+        return ("failed" if error else "salvage"), payload, error
+    payload, error = bullet_object(text)
+    return ("failed" if error else "bullets"), payload, error
+
+
+def _parsed_batch(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parsed(t) for t in texts], columns=["method", "payload", "error"])
+
+
 def parse_response(df: DataFrame, raw: str) -> DataFrame:
-    """df plus parse_method (strict, salvage, bullets, failed), payload (JSON text) and parse_error. Salvage sees only what isn't JSON, bullets
-    only what has no complete object."""
-    own = df.columns
-    first = df.withColumn("_t", strip_fences(F.col(raw))).withColumn("_p", parse_strict("_t"))
-    good = first.filter("not _p.broken").select(*own, F.when(F.col("_p.error").isNull(), "strict").otherwise("failed").alias("parse_method"), F.col("_p.payload").alias("payload"), F.col("_p.error").alias("parse_error"))
-    second = first.filter("_p.broken").drop("_p").withColumn("_s", salvage_object("_t"))
-    saved = second.filter("_s.found is not null").select(*own, F.when(F.col("_s.error").isNull(), "salvage").otherwise("failed").alias("parse_method"), F.col("_s.payload").alias("payload"), F.col("_s.error").alias("parse_error"))
-    third = second.filter("_s.found is null").withColumn("_b", parse_bullets(F.col("_t")))
-    payload = F.when(F.col("_b.error").isNull(), F.to_json(F.struct(F.col("_b.archetype").alias("archetype"), F.col("_b.attributes").alias("attributes"))))
-    listed = third.select(*own, F.when(F.col("_b.error").isNull(), "bullets").otherwise("failed").alias("parse_method"), payload.alias("payload"), F.col("_b.error").alias("parse_error"))
-    return good.unionByName(saved).unionByName(listed)
+    """df plus parse_method (strict, salvage, bullets, failed), payload (JSON text) and parse_error, in one pass over the texts: see `parsed`."""
+    made = df.withColumn("_p", F.pandas_udf(_parsed_batch, "method string, payload string, error string")(strip_fences(F.col(raw))))
+    return made.select(*df.columns, F.col("_p.method").alias("parse_method"), F.col("_p.payload").alias("payload"), F.col("_p.error").alias("parse_error"))
 
 
 def extract_attributes(payload: Column) -> Column:
@@ -219,6 +252,62 @@ RESPONDERS.add("mock", _mock)
 RESPONDERS.add("table", _table)
 
 
-def respond(samples: DataFrame, backend: str) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema) + ", raw_response string, error_message string"
-    return samples.mapInPandas(RESPONDERS.create(backend), schema)
+def wrong_values(payload: str, slots) -> str | None:
+    """Errors of a parsed payload against the expected slots, as validate_payload tells them; absent slots are none."""
+    body = json.loads(payload)
+    body = body["attributes"] if "attributes" in body else body
+    if not isinstance(body, dict):
+        return "attributes must be an object"
+    kind = lambda v: "list" if isinstance(v, list) else "object" if isinstance(v, dict) else "boolean" if isinstance(v, bool) else "number"
+    found = [f"{kind(v)} in {s}" if not isinstance(v, str) else f"empty {s}" for s in slots if (v := body.get(s)) is not None and not (isinstance(v, str) and v.strip())]
+    return "; ".join(found) or None
+
+
+_FENCES = (re.compile(r"^\s*```(?:json)?\s*", re.IGNORECASE), re.compile(r"\s*```\s*$"))
+
+
+def response_error(raw: str | None, slots) -> str | None:
+    """Why a response is no valid answer for a sample with these slots; null if it is one."""
+    if raw is None:
+        return "no text"
+    _, payload, error = parsed(_FENCES[1].sub("", _FENCES[0].sub("", raw.strip())).strip())
+    return error or wrong_values(payload, slots)
+
+
+def respond(samples: DataFrame, backend: str, retries: int = 0) -> DataFrame:
+    """samples (with slot_schema, if retries > 0) plus raw_response, error_message and, with retries, attempts.
+
+    Answers come from the backend's responder, a function over batches that gives a frame for each it takes. With retries, rows of a batch whose answer is an
+    error, doesn't parse or holds a wrong value go round again by themselves, `retries` times at most, and the last error and raw text are kept. The
+    responder runs on in its worker, so a model is loaded once however often rows go round.
+    """
+    responder = RESPONDERS.create(backend)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema) + ", raw_response string, error_message string"
+    if not retries:
+        return samples.mapInPandas(responder, kinds)
+
+    def rounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+
+        def feed() -> Iterator[pd.DataFrame]:
+            while waiting:
+                yield waiting.pop()
+
+        answers = None
+        for b in batches:
+            b = b.reset_index(drop=True)
+            out, left = None, b
+            for attempt in range(1, retries + 2):
+                waiting.append(left)
+                answers = answers or responder(feed())
+                got = next(answers).assign(attempts=attempt)
+                got.index = left.index
+                told = [e if isinstance(e, str) else response_error(r if isinstance(r, str) else None, s) for e, r, s in zip(got["error_message"], got["raw_response"], got["slot_schema"], strict=True)]
+                got["error_message"] = pd.Series(told, dtype=object, index=got.index)
+                out = got if out is None else pd.concat([out.drop(left.index), got])
+                left = b.loc[got.index[got["error_message"].notna()]]
+                if not len(left):
+                    break
+            yield out.sort_index()
+
+    return samples.mapInPandas(rounds, f"{kinds}, attempts int")

@@ -35,6 +35,12 @@ VIEWS = {
     "close-up view": "close-up view", "ground level": "ground-level view", "ground level view": "ground-level view", "interior": "interior view",
 }
 SHAPES = ["body_trait", "shape_or_structure", "shape_or_growth_form", "architectural_style_or_form"]
+WORN_SUPPRESSED = ["face", "arms", "wet hair", "formal attire", "underwater"]
+PERSON_CONTEXT = ["coral reef", "ocean water", "underwater shipwreck", "wedding setting", "wedding reception", "outdoor garden setting"]
+PERSON_EQUIPMENT = ["scuba tank", "bouquet of flowers", "wine bottle"]
+SCENE_FEATURES = ["mountain", "mountains", "geothermal area", "sea"]
+CONTAINER_FILLS = ["partially filled with white powder", "green smoke", "closed jar", "empty"]
+BUSY_HABITAT = "(side|setting)$"
 
 
 def select_value(c: Column) -> Column:
@@ -58,16 +64,16 @@ def drop_reason(archetype: Column, slot: Column, value: Column, review: Column)
         ((slot == "viewpoint") & story, "narrative_viewpoint"),
         (place & low.isin(*LOW_BACKGROUND), "low_value_background"),
         (place & story, "narrative_background"),
-        (is_("animal") & (slot == "background_or_habitat") & low.rlike("(side|setting)$"), "complex_background"),
+        (is_("animal") & (slot == "background_or_habitat") & low.rlike(BUSY_HABITAT), "complex_background"),
         (is_("animal") & (slot == "pose_or_state") & (low == "stationary"), "animal_pose_suppressed"),
         (state & low.isin("on", "off"), "bare_on_off_state"),
         (archetype.isin(*OBJECTS) & state & (low == "inactive"), "low_value_state"),
         (is_("food_and_drink") & (slot == "preparation_or_serving_style") & story, "food_style_suppressed"),
-        (is_("human_or_person") & (slot == "background_or_activity_context") & low.isin("coral reef", "ocean water", "underwater shipwreck", "wedding setting", "wedding reception", "outdoor garden setting"), "human_context_suppressed"),
-        (is_("human_or_person") & (slot == "held_object_or_equipment") & low.isin("scuba tank", "bouquet of flowers", "wine bottle"), "human_equipment_suppressed"),
+        (is_("human_or_person") & (slot == "background_or_activity_context") & low.isin(*PERSON_CONTEXT), "human_context_suppressed"),
+        (is_("human_or_person") & (slot == "held_object_or_equipment") & low.isin(*PERSON_EQUIPMENT), "human_equipment_suppressed"),
         (is_("natural_scene_or_landform") & slot.isin("vegetation_or_natural_context", "salient_geographic_feature") & story, "narrative_scene_slot"),
-        (is_("natural_scene_or_landform") & (slot == "salient_geographic_feature") & low.isin("mountain", "mountains", "geothermal area", "sea"), "scene_feature_suppressed"),
-        (is_("container") & (slot == "fill_state_or_contents_visibility") & low.isin("partially filled with white powder", "green smoke", "closed jar", "empty"), "container_fill_suppressed"),
+        (is_("natural_scene_or_landform") & (slot == "salient_geographic_feature") & low.isin(*SCENE_FEATURES), "scene_feature_suppressed"),
+        (is_("container") & (slot == "fill_state_or_contents_visibility") & low.isin(*CONTAINER_FILLS), "container_fill_suppressed"),
         (slot.isin("body_trait", "shape_or_structure", "architectural_style_or_form") & low.isin(*LOW_TRAIT), "low_value_trait"),
         (slot.isin("shape_or_structure", "architectural_style_or_form") & story, "narrative_shape"),
     ]
@@ -84,7 +90,7 @@ def clean_pre_anchor(slot: Column, value: Column) -> Column:
     joined = F.replace(F.regexp_replace(F.replace(value, F.lit(","), F.lit(" and")), r"\s+and\s+", " and "), F.lit(" and and "), F.lit(" and "))
     plus = lambda c: squash(F.replace(c, F.lit("+"), F.lit(" and ")))
     out = (
-        F.when(worn & low.isin("face", "arms", "wet hair", "formal attire", "underwater"), F.lit(None))
+        F.when(worn & low.isin(*WORN_SUPPRESSED), F.lit(None))
         .when(worn, F.trim(F.split(value, ",")[0]))
         .when(slot.isin(*SHAPES) & low.isin(*LOW_TRAIT), F.lit(None))
         .when(slot.isin(*SHAPES), plus(joined))

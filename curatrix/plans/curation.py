@@ -33,8 +33,7 @@ _add(
     f"{_S} select record_id, 'train' split, sample_id relative_image_path, string_split(sample_id, '/')[-1] file_name, archetype from samples",
 )
 _ARCH = "case " + " ".join(f"when regexp_matches(lower(class_name), '{'|'.join(w)}') then '{a}'" for a, w in dims.KEYWORDS.items()) + f" else '{dims.DEFAULT_ARCHETYPE}' end"
-_add("infer_archetype_whole", lambda s, d: table(s, d, "documents").select("doc_id", E.infer_archetype(C("text")).alias("archetype")), "select doc_id, " + _ARCH.replace("class_name", "text") + " archetype from documents")
-_add("infer_archetype", QUERIES["infer_archetype_whole"], SQL["infer_archetype_whole"])
+_add("infer_archetype", lambda s, d: table(s, d, "documents").select("doc_id", E.infer_archetype(C("text")).alias("archetype")), "select doc_id, " + _ARCH.replace("class_name", "text") + " archetype from documents")
 _MAP = "(values ('Brand#11', 'Lamp'), ('Brand#12', 'Chair'), ('Brand#31', 'Desk'))"
 
 
@@ -107,18 +106,16 @@ _add("parse_strict", lambda s, d: _raw(s, d).withColumn("p", P.parse_strict(T.st
 _BODY = """'{"archetype": "animal", "attributes": {"color": "' || string_split(p_name, ' ')[1] || '"}}'"""
 _BULLETS = """'{' || chr(10) || '"archetype": "animal",' || chr(10) || '"attributes": {' || chr(10) || ' - color: ' || string_split(p_name, ' ')[1] || ',' || chr(10) || ' - type: x' || chr(10) || case when p_partkey % 4 = 0 then '}' else 'bad line }' end"""
 _add(
-    "strip_fences_whole",
+    "strip_fences",
     lambda s, d: _raw(s, d).select("record_id", T.strip_fences(C("raw_response")).alias("t")),
     f"""{_S} select record_id, case p_partkey % 6 when 0 then {_BODY} when 1 then {_BODY} when 2 then '[' || {_BODY} || ', 1]' when 3 then '[' || {_BODY} || ', {{"archetype": "an' when 4 then {_BULLETS} else 'no json' end t from samples""",
 )
-_add("salvage_object_whole", lambda s, d: _raw(s, d).withColumn("p", P.salvage_object("raw_response")).select("record_id", F.get_json_object("p.payload", "$.attributes.color").alias("color")), f"{_S} select record_id, case when p_partkey % 6 < 4 then string_split(p_name, ' ')[1] end color from samples")
+_add("salvage_object", lambda s, d: _raw(s, d).withColumn("p", P.salvage_object("raw_response")).select("record_id", F.get_json_object("p.payload", "$.attributes.color").alias("color")), f"{_S} select record_id, case when p_partkey % 6 < 4 then string_split(p_name, ' ')[1] end color from samples")
 _add(
-    "parse_bullets_whole",
+    "parse_bullets",
     lambda s, d: _raw(s, d).withColumn("p", P.parse_bullets(C("raw_response"))).select("record_id", C("p.attributes")["color"].alias("color"), C("p.error").alias("error")),
     f"{_S} select record_id, case when p_partkey % 6 = 4 and p_partkey % 4 = 0 then string_split(p_name, ' ')[1] end color, case when p_partkey % 6 = 5 then 'missing archetype' when p_partkey % 6 < 4 or p_partkey % 4 <> 0 then 'unsupported attribute line' end error from samples",
 )
-for _name in ("strip_fences", "salvage_object", "parse_bullets"):
-    _add(_name, QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"])
 _add(
     "parse_response",
     lambda s, d: P.parse_response(_raw(s, d), "raw_response").select("record_id", "parse_method", F.get_json_object("payload", "$.attributes.color").alias("color")),
@@ -218,10 +215,28 @@ _add("render_captions", lambda s, d: _flat(_rendered(s, d)), f"{_RENDER} select
 _add("render_failures", lambda s, d: _rendered(s, d).filter("render_status = 'failed'").select("record_id", "error_message"), f"{_RENDER} select record_id, error_message from rendered where error_message is not null")
 _add("select_value", lambda s, d: attributes(s, d).select("record_id", "slot", R.select_value(C("raw_value")).alias("v")), f"{_RENDER} select record_id, slot, v from z")
 _add("drop_rule", lambda s, d: attributes(s, d).select("record_id", "slot", R.drop_reason(C("archetype"), C("slot"), R.select_value(C("raw_value")), (C("p_partkey") + C("slot_pos")) % 17 == 0).alias("why")), f"{_RENDER} select record_id, slot, why from z")
-_add("format_post", lambda s, d: attributes(s, d).filter("raw_value is not null").select("record_id", "slot", R.format_post(C("slot"), T.squash(C("raw_value"))).alias("p")), f"with {ATTRIBUTES_SQL}, y as (select *, {sql_squash('raw_value')} v, lower({sql_squash('raw_value')}) lo from attributes where raw_value is not null) select record_id, slot, case when slot = 'viewpoint' then {_VIEW} when {_in('slot', R.PLACE_SLOTS)} then 'in ' || v when {_in('slot', _WITH)} then 'with ' || v when slot = 'visible_part' then 'showing ' || v when slot = 'preparation_or_serving_style' and lo = 'raw' then 'raw' else v end p from y")
-_add("clean_pre_anchor", lambda s, d: attributes(s, d).filter("raw_value is not null and slot in ('shape_or_structure', 'color')").select("record_id", "slot", R.clean_pre_anchor(C("slot"), T.squash(C("raw_value"))).alias("p")), f"with {ATTRIBUTES_SQL}, y as (select *, {sql_squash('raw_value')} v, lower({sql_squash('raw_value')}) lo from attributes where raw_value is not null and slot in ('shape_or_structure', 'color')) select record_id, slot, nullif(case when slot = 'color' then {_COLORED} when {_in('lo', R.LOW_TRAIT)} then null else {_SHAPED} end, '') p from y")
+_add(
+    "format_post",
+    lambda s, d: attributes(s, d).select("record_id", "slot", R.format_post(C("slot"), T.squash(C("raw_value"))).alias("p")),
+    f"with {ATTRIBUTES_SQL}, y as (select *, {sql_squash('raw_value')} v, lower({sql_squash('raw_value')}) lo from attributes) select record_id, slot, case when slot = 'viewpoint' then {_VIEW} when {_in('slot', R.PLACE_SLOTS)} then 'in ' || v when {_in('slot', _WITH)} then 'with ' || v when slot = 'visible_part' then 'showing ' || v when slot = 'preparation_or_serving_style' and lo = 'raw' then 'raw' else v end p from y",
+)
+# every value in every slot that has a rule of its own, those of archetypes without samples too
+_SLOTS = ["visible_body_trait", "clothing_or_gear", "color", "color_or_pattern", *R.SHAPES]
+
+
+def _every_slot(s, d):
+    return attributes(s, d).select("record_id", C("slot").alias("own"), F.explode(F.array(*map(F.lit, _SLOTS), C("slot"))).alias("slot"), "raw_value").distinct()
+
+
+_add(
+    "clean_pre_anchor",
+    lambda s, d: _every_slot(s, d).select("record_id", "own", "slot", R.clean_pre_anchor(C("slot"), T.squash(C("raw_value"))).alias("p")),
+    f"""with {ATTRIBUTES_SQL}, y as (select distinct record_id, slot own, unnest([{", ".join(f"'{x}'" for x in _SLOTS)}, slot]) slot, {sql_squash("raw_value")} v, lower({sql_squash("raw_value")}) lo from attributes)
+select record_id, own, slot, nullif(case when slot in ('visible_body_trait', 'clothing_or_gear') then case when {_in("lo", R.WORN_SUPPRESSED)} then null else trim(string_split(v, ',')[1]) end
+  when slot in ('color', 'color_or_pattern') then {_COLORED} when {_in("slot", R.SHAPES)} then case when {_in("lo", R.LOW_TRAIT)} then null else {_SHAPED} end else v end, '') p from y""",
+)
 _add("with_article", lambda s, d: samples(s, d).select("record_id", T.with_article(C("p_name")).alias("a")), f"{_S} select record_id, case when regexp_matches(lower(p_name), '^[aeiou]') then 'an ' else 'a ' end || p_name a from samples")
-_add("cleanup_caption", lambda s, d: attributes(s, d).filter("raw_value is not null").select("record_id", "slot", T.cleanup_caption(F.concat(C("raw_value"), F.lit(" , x . "))).alias("c")), f"with {ATTRIBUTES_SQL} select record_id, slot, trim(replace(replace({sql_squash(chr(40) + 'raw_value || ' + chr(39) + ' , x . ' + chr(39) + chr(41))}, ' ,', ','), ' .', '.'), ' ,.') c from attributes where raw_value is not null")
+_add("cleanup_caption", lambda s, d: attributes(s, d).select("record_id", "slot", T.cleanup_caption(F.concat(C("raw_value"), F.lit(" , x . "))).alias("c")), f"with {ATTRIBUTES_SQL} select record_id, slot, trim(replace(replace({sql_squash(chr(40) + 'raw_value || ' + chr(39) + ' , x . ' + chr(39) + chr(41))}, ' ,', ','), ' .', '.'), ' ,.') c from attributes")
 _add("slot_review_flag", lambda s, d: _records(s, d).select("record_id", (F.size("review") > 0).alias("flag")), f"with {ATTRIBUTES_SQL} select record_id, bool_or((p_partkey + slot_pos) % 17 = 0) flag from attributes group by record_id")
 _add(
     "render_summary",
@@ -289,20 +304,12 @@ union all select 'total', 'unmatched_right', count(*) from lost union all select
 )
 _add("resume_anti_join", lambda s, d: M.anti_join(samples(s, d).select("record_id"), samples(s, d).filter("p_partkey % 3 = 0"), "record_id"), f"{_S} select record_id from samples where p_partkey % 3 <> 0")
 _add("pair_index", lambda s, d: M.pair_index(_rendered(s, d), "p_partkey").select("idx", "record_id"), f"{_RENDER} select row_number() over (order by record_id) - 1 idx, record_id from rendered where canonical_caption is not null")
-_add("materialize_training_set", lambda s, d: training_set(_pair(s, d).pairs), f"{_CAPS} select printf('%06d_', cast(row_number() over (order by record_id) - 1 as int)) || replace(sample_id, '/', '__') as file_name, regexp_replace(caption, '#', '#') as text, record_id from pairs".replace("replace(sample_id, '/', '__')", "regexp_replace(replace(sample_id, '/', '__'), '[^A-Za-z0-9._-]', '_', 'g')"))
 
 
 def manifest(pairs):
     return pairs.withColumns({"text": C("match.canonical_caption"), "conditioning_text": C("match.canonical_caption"), "image": C("sample_id"), "conditioning_target": C("sample_id")})
 
 
-def training_set(pairs):
-    """file_name, text, record_id: numbered in order of record_id through counts of its ranges."""
-    rows = pairs.select("record_id", C("match.canonical_caption").alias("canonical_caption"), "sample_id", F.lit("success").alias("render_status"), C("match.line_no").alias("line_no"))
-    numbered = M.pair_index(rows).join(rows.select("record_id", "sample_id"), "record_id")
-    return numbered.select(F.concat(F.format_string("%06d_", "idx"), T.sanitize_copy_name(C("sample_id"))).alias("file_name"), C("canonical_caption").alias("text"), "record_id")
-
-
 # evaluation
 def _log(s, d):
     e = table(s, d, "events").select((C("user_id") % 3).alias("seed"), (C("event_id") % 5).alias("run"), "ts", "event_id", C("value").alias("acc1"))

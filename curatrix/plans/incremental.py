@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from curatrix.operators import match as M
 from curatrix.operators import render as R
 from curatrix.operators.enrich import taxonomy_prompt as taxonomy_prompts
-from curatrix.operators.parse import extraction_stats
 from curatrix.plans import curation
 from curatrix.plans.bindings import ATTRIBUTES_SQL, attributes, samples
 from curatrix.plans.normalization import CHAIN
@@ -18,6 +18,9 @@ QUERIES, SQL = {}, {}
 C = F.col
 
 
+_SOURCE = "record_id string, class_name_raw string, archetype string, p_partkey long, attempt int"
+
+
 def _folder(spark) -> str:
     return shared_folder(spark, "incremental")
 
@@ -33,17 +36,19 @@ def extract_incremental(s, d):
     rows = samples(s, d).select("record_id", "class_name_raw", "archetype", "p_partkey")
     for attempt in (0, 1):
         rows.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{at}/in")
-        I.run_incremental(s, f"{at}/in", "record_id string, class_name_raw string, archetype string, p_partkey long, attempt int", f"{at}/out", f"{at}/cp", _extract, "record_id", "extraction_status", extraction_stats, f"{at}/stats")
+        I.run_incremental(s, f"{at}/in", _SOURCE, f"{at}/out", f"{at}/cp", _extract, "record_id", "extraction_status", I.counted_stats, f"{at}/stats", by=("class_name_raw", "archetype"), order=("attempt",))
     out = I.read_sink(s, f"{at}/out", _extract(rows.withColumn("attempt", F.lit(0))).schema)
     return I.latest(out, "record_id").select("record_id", "extraction_status", "attempt")
 
 
 def running_stats(s, d):
+    """After two drops, of which the second mends the first's failures: the counts must have been carried on."""
     at = _folder(s)
-    rows = samples(s, d).select("record_id", "class_name_raw", "archetype", "p_partkey").withColumn("attempt", F.lit(1))
-    rows.write.parquet(f"{at}/in")
-    I.run_incremental(s, f"{at}/in", "record_id string, class_name_raw string, archetype string, p_partkey long, attempt int", f"{at}/out", f"{at}/cp", _extract, "record_id", "extraction_status", extraction_stats, f"{at}/stats")
-    return s.read.schema("total long, success long, failed long, classes long, archetypes string").json(f"{at}/stats")
+    rows = samples(s, d).select("record_id", "class_name_raw", "archetype", "p_partkey")
+    for attempt in (0, 1):
+        rows.filter(C("p_partkey") % 3 <= attempt).withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{at}/in")
+        I.run_incremental(s, f"{at}/in", _SOURCE, f"{at}/out", f"{at}/cp", _extract, "record_id", "extraction_status", I.counted_stats, f"{at}/stats", by=("class_name_raw", "archetype"), order=("attempt",))
+    return I.read_current(s, f"{at}/stats")
 
 
 def normalize_stream(s, d):
@@ -59,7 +64,7 @@ def atomic_replace(s, d):
     rows = samples(s, d).select("record_id", "archetype")
     I.replace_atomically(rows.limit(1), f"{at}/t")
     I.replace_atomically(rows, f"{at}/t")
-    return s.read.parquet(f"{at}/t")
+    return I.read_current(s, f"{at}/t")
 
 
 def read_jsonl(s, d):
@@ -157,15 +162,73 @@ def render_incremental(s, d):
     return I.latest(s.read.option("basePath", at).parquet(at), "record_id").select("record_id", "render_status", "canonical_caption")
 
 
-QUERIES = {"read_jsonl": read_jsonl, "write_pairing_artifacts": write_pairing_artifacts, "render_incremental": render_incremental, "extract_incremental": extract_incremental, "running_stats": running_stats, "normalize_stream": normalize_stream, "atomic_replace": atomic_replace,
+def _image(kind, w, h):
+    """An image file that is all header: PNG, BMP, lossless WebP or JPEG, of w x h (16 bits each)."""
+    hex4 = lambda x: F.lpad(F.hex(x), 4, "0")
+    low = lambda x: F.concat(F.substring(hex4(x), 3, 2), F.substring(hex4(x), 1, 2))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D494844520000"), hex4(w), F.lit("0000"), hex4(h), F.lit("0802000000"))
+    bmp = F.concat(F.lit("424D" + "00" * 12 + "28000000"), low(w), F.lit("0000"), low(h), F.lit("0000010018000000"))
+    webp = F.concat(F.lit("52494646000000005745425056503858" + "0A000000" + "00000000"), low(w - 1), F.lit("00"), low(h - 1), F.lit("00"))
+    jpeg = F.concat(F.lit("FFD8FFE00010" + "4A46494600010100000100010000" + "FFFFDB0004" + "C0FF" + "FFC2001108"), hex4(h), hex4(w), F.lit("03" + "00" * 9 + "FFD9"))
+    return F.unhex(F.when(kind == 0, png).when(kind == 1, bmp).when(kind == 2, webp).otherwise(jpeg))
+
+
+def _pictures(s, d):
+    """(sample_id, class_name_raw, content): an image a supplier, of its own size; every 50th is damaged."""
+    key = C("s_suppkey")
+    content = _image(key % 4, (key * 7 % 3000 + 1).cast("int"), (key * 13 % 2000 + 1).cast("int"))
+    rel = F.concat(F.lit("n"), "s_nationkey", F.lit("/"), "s_name", F.element_at(F.array(*map(F.lit, (".png", ".bmp", ".webp", ".JPG"))), (key % 4 + 1).cast("int")))
+    return table(s, d, "supplier").select("s_suppkey", F.replace(rel, F.lit("#"), F.lit("_")).alias("sample_id"), F.concat(F.lit("n"), "s_nationkey").alias("class_name_raw"), F.when(key % 50 == 49, F.lit("no image").cast("binary")).otherwise(content).alias("content"))
+
+
+def image_size(s, d):
+    at = _folder(s)
+    written_files(_pictures(s, d), at)
+    found = files.image_size(s, at)
+    return found.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("sample_id"), "width", "height", C("error").isNotNull().alias("broken"))
+
+
+def written_files(pictures, at):
+    from curatrix.sources.blobs import write_files
+
+    write_files(pictures.select(F.concat(F.lit(f"{at}/"), "sample_id").alias("target"), "content")).write.format("noop").mode("overwrite").save()
+
+
+def materialize_training_set(s, d):
+    """The metadata of copied images, read back, with the size of each copy and what the summary says."""
+    at = _folder(s)
+    rows = _pictures(s, d)
+    written_files(rows, f"{at}/from")
+    path = F.concat(F.lit(f"{at}/from/"), "sample_id")
+    pairs = rows.select(path.alias("image_path"), F.concat(F.lit("picture "), "s_suppkey").alias("canonical_caption"), F.concat(F.lit("p"), "s_suppkey").alias("pair_id"), F.concat_ws("::", "class_name_raw", "sample_id").alias("record_id"), "sample_id", C("sample_id").alias("relative_image_path"), F.lit(None).cast("string").alias("class_name"), "class_name_raw", F.lit("tool").alias("archetype"))
+    summary = files.materialize_training_set(pairs, f"{at}/to")
+    made = s.read.schema("file_name string, text string, pair_id string, record_id string, sample_id string, relative_image_path string, class_name string, class_name_raw string, archetype string").json(f"{at}/to/metadata.jsonl")
+    copies = s.read.format("binaryFile").load(f"{at}/to/images").select(F.concat(F.lit("images/"), F.element_at(F.split("path", "/"), -1)).alias("file_name"), "length")
+    facts = summary.select("num_examples", F.size("copied_file_samples").alias("shown"), "truncated_copied_file_samples")
+    return made.join(copies, "file_name", "left").join(facts, F.lit(True))
+
+
+def pair_index_files(s, d):
+    """Images that are there lie at the id's path; every fourth isn't and is found by its sample_id, or kept as it is without one."""
+    rows = samples(s, d).select("record_id", F.when(C("p_partkey") % 8 != 0, F.concat(F.lit("alt/"), "sample_id")).alias("sample_id"), C("p_name").alias("canonical_caption"), "archetype", F.when(C("p_partkey") % 5 == 0, "failed").otherwise("success").alias("render_status"), C("p_partkey").alias("line_no"))
+    there = samples(s, d).filter("p_partkey % 4 <> 0").select("sample_id")
+    return M.pair_index(rows, inventory=there, root="/data")
+
+
+QUERIES = {"image_size": image_size, "materialize_training_set": materialize_training_set, "pair_index_files": pair_index_files, "read_jsonl": read_jsonl, "write_pairing_artifacts": write_pairing_artifacts, "render_incremental": render_incremental, "extract_incremental": extract_incremental, "running_stats": running_stats, "normalize_stream": normalize_stream, "atomic_replace": atomic_replace,
     "append_jsonl": append_jsonl, "scan_labeled_files": scan_labeled_files, "write_summary": write_summary, "load_string_map": load_string_map, "load_taxonomy": load_taxonomy, "taxonomy_prompt": taxonomy_prompt, "load_rules": load_rules}
 _S = "with " + ATTRIBUTES_SQL
+_PICTURES = """pictures as (select s_suppkey k, 'n' || s_nationkey class_name_raw, 'n' || s_nationkey || '/' || replace(s_name, '#', '_') || ['.png', '.bmp', '.webp', '.JPG'][1 + s_suppkey % 4] sample_id from supplier)"""
 SQL = {
+    "image_size": f"with {_PICTURES} select sample_id, cast(case when k % 50 <> 49 then k * 7 % 3000 + 1 end as int) width, cast(case when k % 50 <> 49 then k * 13 % 2000 + 1 end as int) height, k % 50 = 49 broken from pictures",
+    "materialize_training_set": f"""with {_PICTURES} select printf('images/%06d_', cast(row_number() over (order by class_name_raw || '::' || sample_id) - 1 as int)) || replace(sample_id, '/', '__') as file_name, 'picture ' || k as text, 'p' || k pair_id, class_name_raw || '::' || sample_id record_id,
+sample_id, sample_id relative_image_path, '' class_name, class_name_raw, 'tool' archetype, cast(case when k % 50 = 49 then 8 else [29, 32, 30, 48][1 + k % 4] end as bigint) as length, count(*) over () num_examples, cast(least(20, count(*) over ()) as int) shown, count(*) over () > 20 truncated_copied_file_samples from pictures""",
+    "pair_index_files": f"""{_S} select row_number() over (order by record_id) - 1 idx, record_id, '/data/' || case when p_partkey % 4 = 0 and p_partkey % 8 <> 0 then 'alt/' else '' end || sample_id image_path, p_name canonical_caption, class_name_raw class_name, class_name_raw, cast(0 as int) class_id, archetype from samples where p_partkey % 5 <> 0""",
     "read_jsonl": f"{_S} select record_id, slot, raw_value from attributes",
     "write_pairing_artifacts": f"{curation._CAPS} select 'train_manifest' artifact, count(*) n from pairs union all select 'unmatched_images', count(*) from m where line_no is null union all select 'unmatched_render_records', count(*) from lost",
     "render_incremental": f"{curation._RENDER} select record_id, case when canonical_caption is null then 'failed' else 'success' end render_status, canonical_caption from rendered",
     "extract_incremental": f"{_S} select record_id, 'success' extraction_status, cast(p_partkey % 5 = 0 as int) attempt from samples",
-    "running_stats": f"{_S} select count(*) total, count(*) success, cast(0 as bigint) failed, count(distinct class_name_raw) classes, array_to_string(list_sort(list(distinct archetype)), ',') archetypes from samples",
+    "running_stats": f"{_S} select count(*) total, count(*) success, cast(0 as bigint) failed, count(distinct class_name_raw) classes, array_to_string(list_sort(list(distinct archetype)), ',') archetypes from samples where p_partkey % 3 <= 1",
     "normalize_stream": f"{CHAIN} select record_id, slot, value, status from fields",
     "append_jsonl": "select c_custkey, c_name, c_mktsegment from customer",
     "scan_labeled_files": f"{_S} select 'cls=' || replace(class_name_raw, '#', '_') class_name_raw, cast(row_number() over (order by class_name_raw) - 1 as int) class_id, cast(1 as bigint) n from samples group by class_name_raw",

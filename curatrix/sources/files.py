@@ -108,7 +108,66 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_size(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select("image.origin", "image.width", "image.height")
+    """(path, width, height, error) of the files below path; only their headers are read. Empty files are no rows, as Spark lists none."""
+    from curatrix.sources.blobs import image_sizes, plain_path
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(plain_path(F.col("path")).alias("path"))
+    return image_sizes(found)
+
+
+#: Names that a summary lists.
+SHOWN = 20
+
+
+def materialize_training_set(pairs: DataFrame, folder: str, subdir: str = "images") -> DataFrame:
+    """Copies each pair's image under a numbered safe name and writes metadata.jsonl and dataset_summary.json into folder; returns the summary's one row.
+
+    pairs: image_path, canonical_caption, pair_id, record_id, sample_id, relative_image_path, class_name, class_name_raw, archetype (nulls are written as
+    empty texts), numbered in order of record_id, then image_path. Tasks copy files in streams, each to a name of its own that is moved into place when it
+    is whole. Missing sources are collected; if there is any, an error names the first of them and neither metadata nor summary is written.
+    """
+    from curatrix.functions.text import sanitize_copy_name
+    from curatrix.operators.match import numbered
+    from curatrix.session import written
+    from curatrix.sources.blobs import copy_files, plain_path
+
+    spark, folder = pairs.sparkSession, folder.rstrip("/")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = pairs.select(plain_path(F.col("image_path")).alias("source"), text("canonical_caption").alias("text"), *[text(c).alias(c) for c in ("pair_id", "record_id", "sample_id", "relative_image_path", "class_name", "class_name_raw", "archetype")])
+    base = F.element_at(F.split(F.coalesce("source", F.lit("")), "/"), -1)
+    suffix = F.coalesce(F.nullif(F.regexp_extract(base, r"[^.](\.[^.]+)$", 1), F.lit("")), F.lit(".png"))
+    name = F.concat(F.format_string("%06d_", "idx"), sanitize_copy_name(F.when(F.col("relative_image_path") == "", base).otherwise(F.col("relative_image_path"))))
+    name = F.when(F.lower(name).endswith(F.lower(suffix)), name).otherwise(F.concat(name, suffix))
+    rows = numbered(rows, ["record_id", "source"]).withColumn("file_name", F.concat(F.lit(f"{subdir}/"), name))
+    done = written(copy_files(rows.withColumn("target", F.concat(F.lit(f"{folder}/"), "file_name"))), "copied")
+    bad = done.filter("error is not null")
+    if first := bad.orderBy("idx").head():
+        raise FileNotFoundError(f"{bad.count()} images can't be copied, the first is {first['source']}: {first['error']}")
+    columns = ["file_name", "text", "pair_id", "record_id", "sample_id", "relative_image_path", "class_name", "class_name_raw", "archetype"]
+    ordered = done.repartitionByRange("idx").sortWithinPartitions("idx").select(*columns)
+    _one_file(ordered, f"{folder}/metadata.jsonl")
+    head = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("idx") < SHOWN, F.struct("idx", "target")))), 1, SHOWN), lambda x: x["target"])
+    summary = done.agg(F.count("*").alias("num_examples"), head.alias("copied_file_samples"))
+    summary = summary.select("num_examples", F.lit(subdir).alias("image_subdir"), F.lit(f"{folder}/metadata.jsonl").alias("metadata_path"), F.lit(f"{folder}/{subdir}").alias("images_dir"), F.col("num_examples").alias("copied_file_count"), "copied_file_samples", (F.col("num_examples") > SHOWN).alias("truncated_copied_file_samples"))
+    _one_file(summary, f"{folder}/dataset_summary.json")
+    kept = spark.read.schema(summary.schema).json(f"{folder}/dataset_summary.json")
+    return kept
+
+
+def _one_file(df: DataFrame, path: str) -> None:
+    """df as JSON lines in one file of that name; its one task reads the partitions one after the other. The file is written beside it and moved."""
+    spark = df.sparkSession
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}.parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    parts, target = hadoop(f"{path}.parts"), hadoop(path)
+    fs = parts.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next((f.getPath() for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-")), None)
+    fs.delete(target, True)
+    if part is None:
+        fs.create(target, True).close()
+    elif not fs.rename(part, target):
+        raise OSError(f"{part} can't be moved to {path}")
+    fs.delete(parts, True)
 
 
 def write_pairing(pairing, folder: str) -> None:
