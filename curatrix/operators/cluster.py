@@ -1,4 +1,4 @@
-"""Per-group clustering as Spark jobs: K-Means over all groups at once, PCA by group covariances, density modes from a spanning tree."""
+"""Per-group clustering as Spark jobs: K-Means over all groups at once, PCA by blocks; density modes are in their own module."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.operators.density import condensed_labels, density_modes, tree_edges
+from curatrix.operators.forest import spanning_forest
 from curatrix.operators.vectors import centroids, distance, medoids
 from curatrix.session import written
 
@@ -248,187 +250,4 @@ def group_pca(df: DataFrame, group: str, idx: str, dim: int, vec: str = "embeddi
     return rows.groupBy(group, "_block").cogroup(seats.groupBy("_g", "_b")).applyInPandas(project, f"{idx} {kinds[idx]}, {group} {kinds[group]}, {vec} array<double>")
 
 
-def neighbour_edges(df: DataFrame, group: str, idx: str, vec: str = "embedding", k: int = 15, cells: int = 8, visits: int = 3) -> DataFrame:
-    """(group, a, b, d): each row's k nearest rows of its group among the cells it belongs to.
-
-    A group is cut into cells around rows of lowest hash; every row stands in its `visits` nearest cells, so a pair meets if they share
-    one: a k-nearest-neighbour graph whose work is rows times cell size. visits = cells makes it exact.
-    """
-    rows = df.select(idx, group, F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    seeds = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group, F.pmod(F.xxhash64(idx, F.lit(2)), F.lit(64))).orderBy(F.xxhash64(idx)))).filter("_r = 1")
-    seeds = seeds.withColumn("cell", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(idx)))).filter(F.col("cell") <= cells).select(group, "cell", F.col("v").alias("c"))
-    near = rows.join(seeds, group).groupBy(idx, group).agg(F.slice(F.array_sort(F.collect_list(F.struct(distance(F.col("v"), F.col("c")).alias("d"), "cell"))), 1, visits).alias("s"), F.first("v").alias("v"))
-    placed = near.select(idx, group, "v", F.explode("s.cell").alias("cell"))
-    b = placed.select(F.col(idx).alias("b"), group, "cell", F.col("v").alias("w"))
-    pairs = placed.withColumnRenamed(idx, "a").join(b, [group, "cell"]).filter("a <> b").select(group, "a", "b", F.round(distance(F.col("v"), F.col("w")), 9).alias("d")).distinct()
-    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, k)
-    return pairs.groupBy(group, "a").agg(best.alias("s")).select(group, "a", F.inline("s")).select(group, "a", "b", "d")
-
-
-def tree_edges(rows: DataFrame, group: str, block: int = 1024) -> DataFrame:
-    """rows (a, group, v, core) -> (group, a, b, w): edges that hold a minimum spanning tree of each group's whole mutual-reachability graph.
-
-    A group is cut into blocks by a hash; every pair of blocks is one task's work and gives a spanning tree of its rows. Each pair of rows
-    meets in a task, and a tree connects its rows under every height as all their edges do, so the trees together lose nothing.
-    """
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    own = F.pmod(F.xxhash64("a"), F.col("_n")).cast("int")
-    seats = rows.join(F.broadcast(sizes), rows[group].eqNullSafe(sizes[group])).drop(sizes[group]).withColumn("_own", own)
-    seats = seats.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).filter("_o <> _own or _n = 1")
-    seats = seats.select(group, "a", "v", "core", F.least("_own", "_o").alias("_lo"), F.greatest("_own", "_o").alias("_hi"))
-    kinds = dict(rows.dtypes)
-
-    def prim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("a")
-        v, core, n = np.stack(pdf["v"].to_numpy()), pdf["core"].to_numpy(), len(pdf)
-        best, near, todo, at, out = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool), 0, []
-        for _ in range(n - 1):
-            todo[at] = False
-            w = np.maximum(np.maximum(np.round(np.sqrt(((v - v[at]) ** 2).sum(1)), 9), core), core[at])
-            closer = todo & (w < best)
-            best[closer], near[closer] = w[closer], at
-            at = int(np.where(todo, best, np.inf).argmin())
-            out.append((near[at], at, best[at]))
-        ids, ends = pdf["a"].to_numpy(), np.array(out, float).reshape(-1, 3)
-        return pd.DataFrame({group: pdf[group].iloc[0], "a": ids[ends[:, 0].astype(int)], "b": ids[ends[:, 1].astype(int)], "w": ends[:, 2]})
-
-    return seats.groupBy(group, "_lo", "_hi").applyInPandas(prim, f"{group} {kinds[group]}, a {kinds['a']}, b {kinds['a']}, w double")
-
-
-def spanning_forest(edges: DataFrame, group: str, rounds: int = 40) -> DataFrame:
-    """edges (group, a, b, w) -> (a, b, w) of a minimum spanning forest, by Boruvka rounds: each component's lightest outgoing edge, then
-    the smallest label along the chosen edges. Lineage is cut every round."""
-    e = _cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").distinct())
-    label = _cut(e.select(F.col("a").alias("id")).union(e.select("b")).distinct().withColumn("root", F.col("id")))
-    kept = None
-    for _ in range(rounds):
-        la, lb = label.select(F.col("id").alias("a"), F.col("root").alias("ra")), label.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        out = _cut(e.join(la, "a").join(lb, "b").filter("ra <> rb"))
-        if out.isEmpty():
-            break
-        both = out.select("a", "b", "w", "ra", "rb").union(out.select("a", "b", "w", F.col("rb"), F.col("ra")))
-        pick = _cut(both.groupBy("ra").agg(F.min(F.struct("w", "a", "b", "rb")).alias("p")).select("ra", "p.*"))
-        kept = pick.select("a", "b", "w").distinct() if kept is None else _cut(kept.union(pick.select("a", "b", "w")).distinct())
-        up = _cut(pick.select("ra", F.when((F.col("rb") < F.col("ra")), F.col("rb")).otherwise(F.col("rb")).alias("to")))
-        # two components that chose each other: the smaller stays
-        back = up.select(F.col("ra").alias("to"), F.col("to").alias("ra2"))
-        up = _cut(up.join(back, "to", "left").select("ra", F.when((F.col("ra2") == F.col("ra")) & (F.col("ra") < F.col("to")), F.col("ra")).otherwise(F.col("to")).alias("to")).groupBy("ra").agg(F.min("to").alias("to")))
-        for _ in range(20):  # pointer jumping
-            two = up.select(F.col("ra").alias("to"), F.col("to").alias("to2"))
-            new = _cut(up.join(two, "to", "left").select("ra", F.coalesce("to2", "to").alias("to")))
-            done = new.join(up.withColumnRenamed("to", "old"), "ra").filter("to <> old").isEmpty()
-            up = new
-            if done:
-                break
-        else:
-            raise RuntimeError("labels did not settle")
-        label = _cut(label.join(up.withColumnRenamed("ra", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
-    else:
-        raise RuntimeError(f"the forest did not settle in {rounds} rounds")
-    return kept if kept is not None else e.limit(0)
-
-
-def condensed_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int) -> np.ndarray:
-    """Labels of a single-linkage tree by excess of mass (Campello, Moulavi, Sander 2013): -1 is noise. Edges of a spanning forest over
-    points 0 .. n - 1; a cluster has at least `least` points; the whole set is no cluster."""
-    kids, height, size = {}, {}, [1] * n
-    top, node_of = list(range(n)), list(range(n))
-
-    def head(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    def merge(x: int, y: int, d: float) -> None:
-        kids[len(size)], height[len(size)] = (node_of[x], node_of[y]), max(d, 1e-12)
-        top[x], node_of[y] = y, len(size)
-        size.append(size[kids[len(size)][0]] + size[kids[len(size)][1]])
-
-    for k in np.argsort(w, kind="stable"):
-        x, y = head(int(a[k])), head(int(b[k]))
-        if x != y:
-            merge(x, y, float(w[k]))
-    apart = [i for i in range(n) if top[i] == i]
-    for x, y in zip(apart, apart[1:], strict=False):  # trees that no edge joins stand infinitely far apart
-        merge(head(x), head(y), 1e12)
-
-    def points(v: int) -> list[int]:
-        out, todo = [], [v]
-        while todo:
-            v = todo.pop()
-            if v < n:
-                out.append(v)
-            else:
-                todo += kids[v]
-        return out
-
-    labels = np.full(n, -1)
-    root = len(size) - 1
-    if root >= n and size[root] >= 2 * least:
-        # walk down, collecting clusters with births, deaths and the points that leave them
-        clusters, stack, members = [], [(root, -1, 0.0)], {}
-        while stack:
-            v, up, birth = stack.pop()
-            me = len(clusters)
-            clusters.append({"up": up, "birth": birth, "mass": 0.0, "kids": []})
-            members[me] = []
-            if up >= 0:
-                clusters[up]["kids"].append(me)
-            while v >= n:
-                lam = 1 / height[v]
-                big = [c for c in kids[v] if size[c] >= least]
-                for c in kids[v]:
-                    if size[c] < least:
-                        leaves = points(c)
-                        members[me] += leaves
-                        clusters[me]["mass"] += len(leaves) * (lam - birth)
-                if len(big) == 1:
-                    v = big[0]
-                    continue
-                if len(big) == 2:
-                    clusters[me]["mass"] += sum(size[c] for c in big) * (lam - birth)
-                    stack += [(c, me, lam) for c in big]
-                break
-            else:
-                members[me].append(v)
-        chosen: dict[int, bool] = {}
-        for me in range(len(clusters) - 1, -1, -1):
-            below = sum(clusters[c]["best"] for c in clusters[me]["kids"])
-            chosen[me] = clusters[me]["up"] >= 0 and clusters[me]["mass"] >= below
-            clusters[me]["best"] = clusters[me]["mass"] if chosen[me] else below
-        owner = {}
-        for me in range(len(clusters)):
-            above = owner.get(clusters[me]["up"])
-            owner[me] = above if above is not None else me if chosen[me] else None
-            if owner[me] is not None:
-                labels[members[me]] = owner[me]
-    _, dense = np.unique(labels[labels >= 0], return_inverse=True)
-    labels[labels >= 0] = dense
-    return labels
-
-
-def density_modes(df: DataFrame, group: str, idx: str, ipc: int, vec: str = "embedding", min_cluster_size: int = 15, min_samples: int = 3, cells: int = 8, visits: int = 8, k: int = 15) -> DataFrame:
-    """(idx, group, label), label -1 for noise: density clusters of each group.
-
-    Core distances (the min_samples-th neighbour, the row itself counted), are joins and aggregates over all groups;
-    the mutual-reachability tree is taken over all pairs of a group, block by block, so it is exact if the core distances are (visits = cells); only a group's tree edges, one a row, go to one task, where the condensed tree is cut.
-    """
-    near = _cut(neighbour_edges(df, group, idx, vec, max(k, min_samples), cells, visits))
-    core = near.groupBy("a").agg(F.element_at(F.array_sort(F.collect_list("d")), max(1, min_samples - 1)).alias("core"))
-    rows = df.select(F.col(idx).alias("a"), group, F.transform(vec, lambda x: x.cast("double")).alias("v")).join(core, "a", "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
-    tree = spanning_forest(tree_edges(rows, group), group).join(df.select(F.col(idx).alias("a"), group), "a")
-    nodes = df.select(group, F.col(idx).alias("a"), F.col(idx).alias("b"), F.lit(-1.0).alias("w"))
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf.loc[pdf["w"] < 0, "a"].unique())
-        t = pdf[pdf["w"] >= 0].sort_values(["w", "a", "b"])
-        least = min(min_cluster_size, max(len(ids) // ipc, 5))
-        labels = condensed_labels(len(ids), np.searchsorted(ids, t["a"]), np.searchsorted(ids, t["b"]), t["w"].to_numpy(), least)
-        return pd.DataFrame({idx: ids, group: pdf[group].iloc[0], "label": labels})
-
-    kinds = dict(df.dtypes)
-    return tree.select(group, "a", "b", "w").unionByName(nodes).groupBy(group).applyInPandas(cut, f"{idx} {kinds[idx]}, {group} {kinds[group]}, label long")
-
-
-__all__ = ["density_modes", "group_kmeans", "group_pca", "inertia", "medoids", "subcluster"]
+__all__ = ["condensed_labels", "density_modes", "group_kmeans", "group_pca", "inertia", "medoids", "spanning_forest", "subcluster", "tree_edges"]
