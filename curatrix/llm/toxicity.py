@@ -1,6 +1,6 @@
 """Operator 4: toxicity by multiple-instance learning.
 
-A sentence's score is a logistic function of the hashed words, their character n-grams and beginnings; a document is toxic if any sentence is, so
+A sentence's score is a logistic function of the hashed words and their character n-grams; a document is toxic if any sentence is, so
 its score is the noisy-or 1 - prod(1 - p). Only documents carry labels: the gradient of their log-loss flows through the noisy-or to
 the sentences, which afterwards show where the toxicity stands.
 """
@@ -21,8 +21,8 @@ from curatrix.llm.features import SENTENCE, Lexicon, Scores
 
 #: Labelled documents of each class that the model is fitted on at most.
 PER_CLASS = 1500
-#: Four characters, and beginnings (negative) of 3 to 8: words of one family share one. Taken by cross-validation over learnable rows.
-BUCKETS, GRAMS = 1 << 18, (4, -3, -4, -5, -6, -7, -8)
+#: Character n-grams of words (negative: beginnings). Taken by cross-validation over learnable rows, see README.
+BUCKETS, GRAMS = 1 << 18, (3, 4, 5)
 #: Adam's rounds and rate, quadratic and absolute shrinkage of weights, and the least documents of a feature.
 ROUNDS, RATE, DECAY, LASSO, LEAST_DOCS = 200, 0.08, 1e-5, 0.02, 5
 THRESHOLD = 0.7
