@@ -154,6 +154,8 @@ def core_distances(rows: DataFrame, group: str, need: int, block: int = BLOCK) -
         v, reach, cell = np.stack(mine["v"].to_numpy()), mine["reach"].to_numpy(), to["to"].to_numpy()
         d = np.concatenate([_apart(v[s], np.stack(to["center"].to_numpy())) for s in _slices(len(v), v.shape[1] * len(to))]) - to["far"].to_numpy()
         i, j = np.nonzero(d - 1e-6 < reach[:, None])
+        if not len(i):
+            return _empty(_names(visit))
         made = pd.DataFrame({"i": i, "_u": cell[j] >> NEAR, "cells": cell[j]}).groupby(["i", "_u"])["cells"].agg(list).reset_index()
         return pd.DataFrame({"_g": mine[group].iloc[0], "_u": made["_u"], "a": mine["a"].to_numpy()[made["i"]], "v": mine["v"].to_numpy()[made["i"]], "cells": made["cells"]})
 
@@ -169,6 +171,8 @@ def core_distances(rows: DataFrame, group: str, need: int, block: int = BLOCK) -
             who = np.array(asked.get(cell, []), int)
             v, n = np.stack(home["v"].to_numpy()), home["n"].to_numpy()
             out += [(k, x) for s in _slices(len(who), v.size) for k, x in zip(who[s], nearest(_apart(w[who[s]], v), n), strict=True)]
+        if not out:
+            return _empty(_names(seen))
         at = [k for k, _ in out]
         return pd.DataFrame({group: mine[group].iloc[0], "a": guest["a"].to_numpy()[at], "near": [x for _, x in out]})
 

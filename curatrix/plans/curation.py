@@ -159,6 +159,13 @@ case attempt when 0 then 'unknown' when 1 then 'from above' end viewpoint, case
 )
 _add("mock_extract", lambda s, d: samples(s, d).select("record_id", F.explode(P.mock_extract(C("class_name"), E.slot_schema(C("archetype")))).alias("e")).select("record_id", "e.slot", "e.value"), f"with {ATTRIBUTES_SQL} select record_id, slot, case when slot_pos = 0 then lower(class_name) else 'unknown' end as value from attributes")
 _add("respond_mock", lambda s, d: P.respond(samples(s, d).select("record_id", "class_name", E.slot_schema(C("archetype")).alias("slot_schema")), "mock").select("record_id", F.get_json_object("raw_response", "$.attributes.viewpoint").alias("v"), F.length("raw_response").alias("n")).select("record_id", "v"), f"{_S} select record_id, 'unknown' v from samples")
+_add(
+    "respond_table",
+    lambda s, d: P.respond(_raw(s, d).select("record_id", F.array(F.lit("color")).alias("slot_schema"), C("raw_response").alias("response")), "table", retries=1).select("record_id", C("error_message").isNull().alias("valid"), "attempts", F.md5("raw_response").alias("raw")),
+    f"""{_S}, f as (select record_id, p_partkey % 6 k, p_partkey % 4 = 0 whole, {_BODY} body, {_BULLETS} bullets from samples)
+select record_id, k < 4 or (k = 4 and whole) valid, cast(case when k < 4 or (k = 4 and whole) then 1 else 2 end as int) attempts,
+  md5(case k when 0 then body when 1 then '```json' || chr(10) || body || chr(10) || '```' when 2 then '[' || body || ', 1]' when 3 then '[' || body || ', {{"archetype": "an' when 4 then bullets else 'no json' end) raw from f""",
+)
 _add("extraction_stats", lambda s, d: P.extraction_stats(samples(s, d).withColumn("extraction_status", F.when(C("p_partkey") % 9 == 0, "failed").otherwise("success"))), f"{_S} select count(*) total, count(*) filter (p_partkey % 9 <> 0) success, count(*) filter (p_partkey % 9 = 0) failed, count(distinct class_name_raw) classes, array_to_string(list_sort(list(distinct archetype)), ',') archetypes from samples")
 _add(
     "classify_with_fallback",

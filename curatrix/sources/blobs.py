@@ -35,7 +35,11 @@ def _put(target: str, write) -> int:
     with fs.open_output_stream(part) as out:
         write(out)
         size = out.tell()
-    fs.move(part, name)
+    try:
+        fs.move(part, name)
+    except OSError:  # some file systems move onto nothing that is there
+        fs.delete_file(name)
+        fs.move(part, name)
     return size
 
 

@@ -130,3 +130,17 @@ def test_bands_and_blocks_change_no_label(spark, band):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "vec_id long, cls int, embedding array<double>")
     assert D.density_modes(df, "cls", "vec_id", 3).count() == 0
+
+
+def test_registered_query_against_plain(spark):
+    from curatrix.plans import condensation as C
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.vec_id: r.label for r in C.QUERIES["density_modes"](spark, sf).collect()}
+    rows = [(r.vec_id, r.cls, np.array(r.embedding, float)) for r in C._rows(spark, sf).orderBy("vec_id").collect()]
+    assert set(got) == {r[0] for r in rows}
+    for cls in {r[1] for r in rows}:
+        v = np.stack([x for _, c, x in rows if c == cls])
+        label = np.array([got[i] for i, c, _ in rows if c == cls])
+        edges = sorted(((min(a, b), max(a, b), w) for a, b, w in D.prim(v, plain_core(v, 2)).tolist()), key=lambda e: (e[2], e[0], e[1]))  # equal heights in order of ends
+        assert sets_of(label) == plain_condensed(len(v), edges, min(15, max(len(v) // C.IPC, 5)))

@@ -176,3 +176,31 @@ def test_a_group_that_never_settles_is_told():
             K._solve(np.random.default_rng(0).normal(size=(200, 2)), np.arange(20), None, 0.0)
         finally:
             K.MOST = monkey
+
+
+def test_registered_kmeans_against_lloyd(spark):
+    from curatrix.plans import condensation as C
+
+    sf = "/root/testdata/sf0.001"
+    rows = C._rows(spark, sf)
+    got = {r.vec_id: r.label for r in C.QUERIES["group_kmeans"](spark, sf).collect()}
+    v = {r.vec_id: (r.cls, np.array(r.embedding, float)) for r in rows.collect()}
+    seeds = K.kmeans_starts(rows.withColumn("k", F.lit(C.IPC)), "cls", "vec_id", "k", 10).collect()
+    assert set(got) == set(v)
+    for cls in {c for c, _ in v.values()}:
+        ids = sorted(i for i in v if v[i][0] == cls)
+        x, runs = np.stack([v[i][1] for i in ids]), []
+        for start in range(10):
+            c = np.stack([v[r.vec_id][1] for r in sorted(seeds, key=lambda r: r.label) if (r.cls, r.start) == (cls, start)])
+            names = np.arange(len(c))
+            while True:
+                at = np.round(np.linalg.norm(x[:, None] - c, axis=2), 6).argmin(1)
+                used = np.unique(at)
+                new = np.stack([x[at == j].mean(0) for j in used])
+                moved = ((new - c[used]) ** 2).sum()
+                c, names = new, names[used]
+                if moved <= 1e-4 * x.var(0).mean():
+                    break
+            d = np.round(np.linalg.norm(x[:, None] - c, axis=2), 6)
+            runs.append((round(float((d.min(1) ** 2).sum()), 6), names[d.argmin(1)].tolist()))
+        assert [got[i] for i in ids] == min(runs, key=lambda r: r[0])[1]
