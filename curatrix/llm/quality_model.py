@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import held_out, labelled_sample, table, unused
+from curatrix.llm.common import held_out, labelled_sample, release_memory, table, unused
 from curatrix.llm.features import Lexicon, Scores
 
 #: Labelled documents of each class that the model is fitted on at most.
@@ -95,6 +95,8 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thr
     """
     sample = labelled_sample(docs if learn_from is None else learn_from, labels, "quality", per_class).toPandas().sort_values("doc_id")
     numbers, again, bias = train(list(sample["text"]), sample["y"].to_numpy(np.int64))
+    del sample
+    release_memory()
     model = docs.sparkSession.sparkContext.broadcast((numbers.astype(np.float32), again, bias))
 
     @F.pandas_udf("double")

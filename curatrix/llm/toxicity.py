@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import held_out, labelled_sample, table, unused
+from curatrix.llm.common import held_out, labelled_sample, release_memory, table, unused
 from curatrix.llm.features import SENTENCE, Lexicon, Scores
 
 #: Labelled documents of each class that the model is fitted on at most.
@@ -125,6 +125,8 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thr
     """
     sample = labelled_sample(docs, labels, "toxic", per_class).toPandas().sort_values("doc_id")
     weights, bias = train(list(sample["text"]), sample["y"].to_numpy(np.int64))
+    del sample
+    release_memory()
     model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
 
     @F.pandas_udf("score double, offending array<struct<start:int,end:int,score:double>>")
