@@ -26,7 +26,8 @@ def clean_value(c: Column) -> Column:
     """Null becomes 'unknown'; underscores become spaces, slashes and commas get their usual spacing, case is folded."""
     t = squash(F.replace(trim(c), F.lit("_"), F.lit(" ")))
     t = F.regexp_replace(F.regexp_replace(t, rf"{SPACE}*/{SPACE}*", "/"), rf"{SPACE}*,{SPACE}*", ", ")
-    return F.coalesce(fold(t), F.lit("unknown"))
+    plain = ~c.rlike(r"(?U)[\s_/,]")  # nothing to space
+    return F.coalesce(F.when(plain, fold(c)).otherwise(fold(t)), F.lit("unknown"))
 
 
 def clean_key(c: Column) -> Column:

@@ -6,7 +6,7 @@ mapped to unknown is left alone by the later ones. Ladders are written once, as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import dims
@@ -50,18 +50,27 @@ class Spark:
 
     size, plus, at, tags = "size({})", "array_join({}, '+')", "{}[{}]", "array_compact(array({}))"
 
+    def family(self, name: str) -> str:
+        return f"(_families & {1 << list(dims.FAMILIES).index(name)}) <> 0"
 
-def _family(name: str) -> str:
-    return among("slot", dims.FAMILIES[name])
+    def mapped(self, cond: str, col: str, table: dict[str, str], tag: str) -> list[Rung]:
+        """The rungs of a table as one: a hashed set of its keys decides, the map is only read where it acts."""
+        pairs = ", ".join(f"{q(k)}, {q(x)}" for k, x in table.items())
+        return [(f"{cond} and {among(col, table)}", f"element_at(map({pairs}), {col})", "canonicalized", q(tag))] if table else []
+
+
+def families() -> str:
+    """The slot's families as bits, so that rungs ask for them without comparing texts again."""
+    return " | ".join(f"case when {among('slot', slots)} then {1 << i} else 0 end" for i, slots in enumerate(dims.FAMILIES.values()))
 
 
 def steps(d, rules: dict | None = None, types: list[str] | None = None) -> list[tuple[str, list[Rung]]]:
     """The ladders in their order. d: spellings; types: slots whose value is taken from the class name (default: all anchors)."""
-    r, v = rules or dims.RULES, "value"
+    r, v, _family = rules or dims.RULES, "value", d.family
     anchors = dims.TYPE_SLOTS if types is None else types
 
     def mapped(family: str, tag: str, table: dict[str, str]) -> list[Rung]:
-        return [(f"{_family(family)} and {v} = {q(k)}", q(x), "canonicalized", q(tag)) for k, x in table.items() if k != x]
+        return d.mapped(_family(family), v, {k: x for k, x in table.items() if k != x}, tag)
 
     def unknown(cond: str, tag: str) -> Rung:
         return cond, "'unknown'", UNKNOWN, tag
@@ -108,24 +117,24 @@ def steps(d, rules: dict | None = None, types: list[str] | None = None) -> list[
             (f"{_family('state')} and ({starts('powered off')} or {v} = 'inactive')", "'off'", "canonicalized", q("slot.state.off_family")),
         ]),
         ("normalize_material", [
-            *[(f"{is_material} and {v} = {q(k)}", q(x), "canonicalized", q("slot.material.base_material")) for k, x in BASE_MATERIALS],
+            *d.mapped(is_material, v, dict(BASE_MATERIALS), "slot.material.base_material"),
             (f"{is_material} and (contains({v}, ' and ') or contains({v}, '/') or contains({v}, ',')) and {many(materials)}", d.plus.format(materials), "canonicalized", q("slot.material.separator_unify")),
         ]),
         ("normalize_color", [
-            *[(f"{is_color} and {v} = {q(k)}", q(x), "canonicalized", q("slot.color.base_color")) for k, x in BASE_COLORS],
+            *d.mapped(is_color, v, dict(BASE_COLORS), "slot.color.base_color"),
             (f"{is_color} and (contains({v}, ' and ') or contains({v}, ',')) and {many(colors)}", d.plus.format(colors), "canonicalized", q("slot.color.separator_unify")),
         ]),
         ("normalize_type", [
             (f"{is_type} and {among('slot', anchors)} and {short} not in ('', {v})", short, "canonicalized", q("slot.anchor_type.from_class_name_first_item")),
-            *[(f"{plain_type} and {v} = {q(k)}", q(x), "canonicalized", q("slot.type.canonicalize")) for k, x in r["type"].items() if k != x],
-            *[(f"{plain_type} and {v} = {q(k)}", q(x), "canonicalized", q("slot.type.singularize")) for k, x in SINGULARS],
+            *d.mapped(plain_type, v, {k: x for k, x in r["type"].items() if k != x}, "slot.type.canonicalize"),
+            *d.mapped(plain_type, v, dict(SINGULARS), "slot.type.singularize"),
         ]),
     ]
 
 
 def reason_tags(d, rules: dict | None = None) -> str:
     """The six detectors as one array, in order."""
-    r, v = rules or dims.RULES, "value"
+    r, v, _family = rules or dims.RULES, "value", d.family
     has = lambda markers: "(" + " or ".join(f"contains({v}, {q(m)})" for m in markers) + ")"
     anchor = " or ".join(f"(archetype = {q(a)} and slot = {q(s)} and {among(v, vs)})" for (a, s), vs in r["archetype_review"].items()) or "false"
     found = [
@@ -148,20 +157,21 @@ def case(rungs: list[Rung], part: int, otherwise: str) -> str:
 
 
 def begin(long: DataFrame) -> DataFrame:
-    """long (archetype, slot, class_name, raw_value, ..) plus cleaned, value, status, rules."""
-    out = long.withColumn("cleaned", clean_value(F.col("raw_value"))).withColumn("class_clean", clean_value(F.col("class_name")))
+    """long (archetype, slot, class_name, raw_value, ..) plus cleaned, value, status, rules. The class name is only cleaned for anchors."""
+    out = long.withColumn("cleaned", clean_value(F.col("raw_value"))).withColumn("_families", F.expr(families()))
+    out = out.withColumn("class_clean", F.when(F.expr(Spark().family("type")), clean_value(F.col("class_name"))))
     return out.withColumns({"value": F.col("cleaned"), "status": F.lit("unchanged"), "rules": F.array().cast("array<string>")})
 
 
 def apply_step(df: DataFrame, name: str, rules: dict | None = None, types: list[str] | None = None) -> DataFrame:
-    """One ladder over value, status and rules."""
+    """One ladder over value, status and rules: its conditions are looked at once and give the number of the rung that acts."""
     rungs = dict(steps(Spark(), rules, types))[name]
-    live = [(f"status <> '{UNKNOWN}' and ({c})", v, s, t) for c, v, s, t in rungs]
-    struct = f"struct({case(live, 1, 'value')} as value, {case(live, 2, 'status')} as status, {case(live, 3, 'cast(null as string)')} as tag)"
-    rest = [c for c in df.columns if c not in ("value", "status", "rules")]
-    # out of a generator of one row, so that the optimizer doesn't write the ladders into each other
-    done = df.select(*rest, F.col("rules").alias("_rules"), F.expr(f"inline(array({struct}))"))
-    return done.withColumn("rules", F.concat("_rules", F.array_compact(F.array("tag")))).drop("_rules", "tag")
+    rung = f"case when status = '{UNKNOWN}' then -1 " + " ".join(f"when {r[0]} then {i}" for i, r in enumerate(rungs)) + " else -1 end"
+    # out of a generator of one row, which compiles to a method of its own; one with a lambda would be interpreted as a whole
+    at = df.withColumn("_rung", F.expr(rung)) if "->" in rung else df.select("*", F.expr(f"inline(array(struct({rung} as _rung)))"))
+    pick = lambda part, otherwise: F.expr(case([(f"_rung = {i}", *r[1:]) for i, r in enumerate(rungs)], part, otherwise))
+    tag = F.when(F.col("_rung") >= 0, F.concat("rules", F.array(pick(3, "cast(null as string)")))).otherwise(F.col("rules"))
+    return at.withColumns({"value": pick(1, "value"), "status": pick(2, "status"), "rules": tag}).drop("_rung")
 
 
 def settle(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -175,7 +185,9 @@ def detect_reasons(df: DataFrame, rules: dict | None = None) -> DataFrame:
     found = F.when(F.col("status") != UNKNOWN, F.expr(reason_tags(Spark(), rules))).otherwise(F.array().cast("array<string>"))
     out = df.withColumn("reasons", found)
     any_ = F.size("reasons") > 0
-    return out.withColumns({"status": F.when(any_, "review_required").otherwise(F.col("status")), "rules": F.array_distinct(F.concat("rules", F.array_sort(F.array_distinct("reasons"))))})
+    once = F.when(F.size("rules") > 1, F.array_distinct("rules")).otherwise(F.col("rules"))
+    rules_ = F.when(any_, F.array_distinct(F.concat("rules", F.array_sort(F.array_distinct("reasons"))))).otherwise(once)
+    return out.withColumns({"status": F.when(any_, "review_required").otherwise(F.col("status")), "rules": rules_})
 
 
 def field_result(df: DataFrame) -> DataFrame:
@@ -188,7 +200,7 @@ def normalize_fields(long: DataFrame, rules: dict | None = None, types: list[str
     df = begin(long)
     for name, _ in steps(Spark(), rules, types):
         df = apply_step(df, name, rules, types)
-    out = field_result(detect_reasons(df, rules)).drop("class_clean")
+    out = field_result(detect_reasons(df, rules)).drop("class_clean", "_families")
     return settle(out, ["cleaned", "value", "status", "rules", "reasons", "changed"])
 
 
@@ -197,33 +209,35 @@ def _tokens(c: Column) -> Column:
 
 
 def consistency_review(fields: DataFrame) -> DataFrame:
-    """Cross-slot checks of food, buildings and weapons: one aggregate a record gathers the slots that they compare, and its findings
-    join back by record. Findings follow the row's reasons and rules."""
-    of = lambda s: F.coalesce(F.max(F.when(F.col("slot") == s, F.col("value"))), F.lit("")).alias(s)
-    looked_at = ["food_or_drink_type", "shape_or_structure", "container_or_context", "structure_or_building_type", "architectural_style_or_form", "weapon_type", "background_or_context"]
-    wide = fields.filter(F.col("archetype").isin("food_and_drink", "structure_or_building", "weapon")).groupBy("record_id", "archetype").agg(*map(of, looked_at))
-    known = lambda s: ~F.col(s).isin("", "unknown")
-    meets = lambda s, words: F.arrays_overlap(_tokens(F.col(s)), F.array(*map(F.lit, words)))
-    same = lambda a, b: F.col(a) == F.col(b)
-    food, kind, style, gun = "food_or_drink_type", "structure_or_building_type", "architectural_style_or_form", "weapon_type"
-    is_ = lambda a: F.col("archetype") == a
+    """Cross-slot checks of food, buildings and weapons: a window over the record gives each row the slots that they compare, so fields are
+    worked out and shuffled once. Findings follow the row's reasons and rules; a row without a record id has none."""
+    looked_at = {
+        "food_and_drink": ["food_or_drink_type", "shape_or_structure", "container_or_context"],
+        "structure_or_building": ["structure_or_building_type", "architectural_style_or_form"],
+        "weapon": ["weapon_type", "background_or_context"],
+    }
+    record, name = Window.partitionBy("record_id"), "_of_{}".format
+    of = {name(s): F.max(F.when((F.col("archetype") == a) & (F.col("slot") == s), F.col("value"))).over(record) for a, slots in looked_at.items() for s in slots}
+    wide = fields.withColumns(of)
+    at = lambda s: F.coalesce(F.col(name(s)), F.lit(""))
+    known = lambda s: ~at(s).isin("", "unknown")
+    meets = lambda s, words: F.arrays_overlap(_tokens(at(s)), F.array(*map(F.lit, words)))
+    same = lambda a, b: at(a) == at(b)
+    food, shape, box, kind, style, gun, back = (s for slots in looked_at.values() for s in slots)
     conflict, drift, mixed, near = "review.cross_slot_value_conflict", "review.food_anchor_context_drift", "review.structure_type_style_conflict", "review.weapon_anchor_related_object"
-    found = [
-        (food, drift, is_("food_and_drink") & known(food) & meets(food, dims.VESSELS)),
-        (food, conflict, is_("food_and_drink") & known(food) & (same(food, "shape_or_structure") | same(food, "container_or_context"))),
-        ("container_or_context", drift, is_("food_and_drink") & known(food) & same(food, "container_or_context")),
-        (style, mixed, is_("structure_or_building") & known(style) & meets(style, dims.BUILDINGS)),
-        (kind, mixed, is_("structure_or_building") & known(kind) & meets(kind, dims.STYLES)),
-        (kind, conflict, is_("structure_or_building") & known(kind) & same(kind, style)),
-        (style, conflict, is_("structure_or_building") & known(kind) & same(kind, style)),
-        (gun, near, is_("weapon") & known(gun) & meets(gun, dims.NEAR_WEAPONS)),
-        (gun, conflict, is_("weapon") & known(gun) & same(gun, "background_or_context")),
-        ("background_or_context", near, is_("weapon") & known(gun) & same(gun, "background_or_context")),
-    ]
-    adds = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(s).alias("slot"), F.lit(t).alias("reason"))) for s, t, c in found]))
-    extra = wide.select("record_id", F.explode(adds).alias("x")).groupBy("record_id", F.col("x.slot").alias("slot")).agg(F.array_sort(F.collect_list("x.reason")).alias("more"))
-    out = fields.join(extra, ["record_id", "slot"], "left")
-    any_ = F.col("more").isNotNull()
+    found = {  # by slot, reasons in their order
+        food: [(conflict, known(food) & (same(food, shape) | same(food, box))), (drift, known(food) & meets(food, dims.VESSELS))],
+        box: [(drift, known(food) & same(food, box))],
+        kind: [(conflict, known(kind) & same(kind, style)), (mixed, known(kind) & meets(kind, dims.STYLES))],
+        style: [(conflict, known(kind) & same(kind, style)), (mixed, known(style) & meets(style, dims.BUILDINGS))],
+        gun: [(conflict, known(gun) & same(gun, back)), (near, known(gun) & meets(gun, dims.NEAR_WEAPONS))],
+        back: [(near, known(gun) & same(gun, back))],
+    }
+    more = F.when(F.col("record_id").isNull(), None)
+    for slot, checks in found.items():
+        more = more.when(F.col("slot") == slot, F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in checks])))
+    out = wide.withColumn("more", more).drop(*of)
+    any_ = F.coalesce(F.size("more") > 0, F.lit(False))
     both = lambda c: F.when(any_, F.array_distinct(F.concat(c, "more"))).otherwise(F.col(c))
     changed = F.col("changed") | any_
     return out.withColumns({"status": F.when(any_, "review_required").otherwise(F.col("status")), "rules": both("rules"), "reasons": both("reasons"), "changed": changed}).drop("more")

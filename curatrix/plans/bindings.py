@@ -40,8 +40,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """record_id, .., slot_pos, slot, raw_value: one row a sample and slot."""
-    s = samples(spark, sf_dir)
+    """record_id, .., slot_pos, slot, raw_value: one row a sample and slot. Samples are spread by record first: a file of them is small for the
+    work that its rows make, and what looks at a record's slots then needs no further shuffle."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    s = samples(spark, sf_dir).repartition(parts, "record_id")
     slots = F.create_map(*[x for a in ARCHETYPES for x in (F.lit(a), F.array(*map(F.lit, dims.SLOTS[a])))])
     pool = F.array(*[F.lit(v).cast("string") for v in POOL])
     long = s.select("record_id", "sample_id", "class_name", "class_name_raw", "archetype", "p_partkey", "p_size", F.posexplode(slots[F.col("archetype")]).alias("slot_pos", "slot"))

@@ -32,6 +32,12 @@ class Duck:
 
     size, plus, at, tags = "len({})", "array_to_string({}, '+')", "{}[{}]", "list_filter([{}], lambda x: x is not null)"
 
+    def family(self, name: str) -> str:
+        return N.among("slot", dims.FAMILIES[name])
+
+    def mapped(self, cond: str, col: str, table: dict[str, str], tag: str) -> list[N.Rung]:
+        return [(f"{cond} and {col} = {N.q(k)}", N.q(x), "canonicalized", N.q(tag)) for k, x in table.items()]
+
 
 def _chain() -> tuple[str, str]:
     """CTEs of all steps, and the name of the last."""
