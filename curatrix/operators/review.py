@@ -72,6 +72,7 @@ def apply_review(fields: DataFrame, decisions: DataFrame) -> DataFrame:
     """fields plus effective_value and review_status: not_needed where no slot of the record was looked at, else completed. decisions:
     one row a record and slot; failed calls come as deferred ones."""
     d = decisions.select("record_id", "slot", "applied", "reviewed_value", F.lit(True).alias("_seen"))
+    d = d.hint("merge")  # as many as there are slots to look at: never one table at the driver, however small the files say it is
     out = fields.join(d, ["record_id", "slot"], "left")
     seen = F.max("_seen").over(Window.partitionBy("record_id"))
     out = out.withColumn("review_status", F.when(seen.isNull(), "not_needed").otherwise("completed"))
