@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import dims
@@ -44,9 +44,10 @@ def build_prompt(class_name: Column, archetype: Column, guidance: dict[str, str]
 
 
 def build_review_prompt(fields: DataFrame) -> DataFrame:
-    """fields (record_id, slot, value, reasons, ..) plus prompt: the value in question and the other slots of its record as context."""
-    ctx = fields.groupBy("record_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "value")))).alias("_all"))
-    out = fields.join(ctx, "record_id")
+    """fields (record_id, slot, value, reasons, ..) plus prompt: the value in question and the other slots of its record as context, from a
+    window over the record. Rows without a record id have no context and are left out."""
+    pairs = F.collect_list(F.struct("slot", "value")).over(Window.partitionBy("record_id"))
+    out = fields.filter(F.col("record_id").isNotNull()).withColumn("_all", F.map_from_entries(F.array_sort(pairs)))
     head = F.when(F.array_contains("reasons", dims.RECOVERY), "Recover a value for ").otherwise("Check the value of ")
     other = F.array_join(F.transform(F.map_entries(F.map_filter("_all", lambda k, v: k != F.col("slot"))), lambda e: F.concat_ws("=", e["key"], e["value"])), "; ")
     return out.withColumn("prompt", F.concat(head, F.col("slot"), F.lit(": "), F.col("value"), F.lit("\nContext: "), other)).drop("_all")

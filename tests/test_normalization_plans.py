@@ -60,3 +60,11 @@ def test_large_tables_of_rules_and_spacing(spark):
     got = N.normalize_fields(long_rows(spark, *[("r", "tool", "usage_state", v) for v in values]), rules).orderBy("slot_pos").collect()
     assert [(r.value, r.rules[:1]) for r in got[:3]] == [("s499", ["slot.state.canonicalize"]), ("s0", ["slot.state.canonicalize"]), ("same", [])]
     assert [r.cleaned for r in got[3:]] == ["a/b, c", "in use", "strassess"]
+
+
+def test_review_prompts_need_no_table_at_the_driver(spark):
+    fields = spark.createDataFrame([("r", "b", "2", ["x"]), ("r", "a", "1", [dims.RECOVERY]), ("s", "a", "3", ["x"]), (None, "a", "4", ["x"])], "record_id string, slot string, value string, reasons array<string>")
+    out = E.build_review_prompt(fields)
+    assert "Join" not in physical(out) and "Broadcast" not in physical(out)
+    got = {(r.record_id, r.slot): r.prompt for r in out.collect()}
+    assert got == {("r", "a"): "Recover a value for a: 1\nContext: b=2", ("r", "b"): "Check the value of b: 2\nContext: a=1", ("s", "a"): "Check the value of a: 3\nContext: "}
