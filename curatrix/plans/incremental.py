@@ -42,11 +42,11 @@ def extract_incremental(s, d):
 
 
 def running_stats(s, d):
-    """After two drops, of which the second mends the first's failures: the counts must have been carried on."""
+    """After two drops, a third of the rows and then all of them, which mends the first's failures: the counts must have been carried on."""
     at = _folder(s)
     rows = samples(s, d).select("record_id", "class_name_raw", "archetype", "p_partkey")
     for attempt in (0, 1):
-        rows.filter(C("p_partkey") % 3 <= attempt).withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{at}/in")
+        rows.filter(C("p_partkey") % 3 <= 2 * attempt).withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{at}/in")
         I.run_incremental(s, f"{at}/in", _SOURCE, f"{at}/out", f"{at}/cp", _extract, "record_id", "extraction_status", I.counted_stats, f"{at}/stats", by=("class_name_raw", "archetype"), order=("attempt",))
     return I.read_current(s, f"{at}/stats")
 
@@ -228,7 +228,7 @@ sample_id, sample_id relative_image_path, '' class_name, class_name_raw, 'tool'
     "write_pairing_artifacts": f"{curation._CAPS} select 'train_manifest' artifact, count(*) n from pairs union all select 'unmatched_images', count(*) from m where line_no is null union all select 'unmatched_render_records', count(*) from lost",
     "render_incremental": f"{curation._RENDER} select record_id, case when canonical_caption is null then 'failed' else 'success' end render_status, canonical_caption from rendered",
     "extract_incremental": f"{_S} select record_id, 'success' extraction_status, cast(p_partkey % 5 = 0 as int) attempt from samples",
-    "running_stats": f"{_S} select count(*) total, count(*) success, cast(0 as bigint) failed, count(distinct class_name_raw) classes, array_to_string(list_sort(list(distinct archetype)), ',') archetypes from samples where p_partkey % 3 <= 1",
+    "running_stats": f"{_S} select count(*) total, count(*) success, cast(0 as bigint) failed, count(distinct class_name_raw) classes, array_to_string(list_sort(list(distinct archetype)), ',') archetypes from samples",
     "normalize_stream": f"{CHAIN} select record_id, slot, value, status from fields",
     "append_jsonl": "select c_custkey, c_name, c_mktsegment from customer",
     "scan_labeled_files": f"{_S} select 'cls=' || replace(class_name_raw, '#', '_') class_name_raw, cast(row_number() over (order by class_name_raw) - 1 as int) class_id, cast(1 as bigint) n from samples group by class_name_raw",

@@ -243,3 +243,10 @@ def test_only_what_failed_goes_round_again(spark):
             assert r.raw_response is None and r.error_message == "out of order"
     plain = P.respond(df, "flaky").collect()
     assert sum(r.error_message is None and r.raw_response == '{"attributes": {"a": "x"}}' for r in plain) == 8 and not hasattr(plain[0], "attempts")
+
+
+def test_running_stats_count_every_sample(spark):
+    from curatrix.plans import bindings, incremental
+
+    sf = "/root/testdata/sf0.001"
+    assert incremental.QUERIES["running_stats"](spark, sf).first().total == bindings.samples(spark, sf).count()
