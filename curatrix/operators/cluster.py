@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from curatrix.operators.density import condensed_labels, density_modes, tree_edges
 from curatrix.operators.forest import spanning_forest
 from curatrix.operators.vectors import centroids, distance, medoids
-from curatrix.session import written
+from curatrix.session import large, written
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def kmeans_starts(df: DataFrame, group: str, idx: str, k: str, starts: int) -> D
 def _by_block(blocks: DataFrame, sizes: DataFrame, live: DataFrame, group: str, found: str, work) -> DataFrame:
     """work(ids, vectors, labels, centers) -> columns of `found`, for each block of rows and start of its group. A task holds one
     block and its group's centers; blocks (group, _id, _block, _v) are placed by (group, _block) already, sizes (_g, _n) counts a group's."""
-    seats = live.join(sizes, F.col(group) == F.col("_g")).select("_g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), "start", "centers")
+    seats = live.join(large(sizes), F.col(group) == F.col("_g")).select("_g", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), "start", "centers")
     kind = dict(blocks.dtypes)[group]
 
     def run(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +152,7 @@ def _rounds(rows: DataFrame, sizes: DataFrame, group: str, idx: str, vec: str, r
         new = _packed(part.groupBy(group, "start", "label", "_i").agg((F.sum("_x") / F.sum("n")).alias("_m")), group)
         old = live.select(group, "start", "_still", F.map_from_entries("centers").alias("_old"))
         move = F.aggregate("centers", F.lit(0.0), lambda s, c: s + F.pow(distance(c["centroid"], F.col("_old")[c["label"]]), F.lit(2)))
-        moved = new.join(old, [group, "start"]).withColumn("_go", F.nanvl(move, F.lit(0.0)) > F.col("_still"))  # moves that are no numbers settle too
+        moved = new.join(large(old), [group, "start"]).withColumn("_go", F.nanvl(move, F.lit(0.0)) > F.col("_still"))  # moves that are no numbers settle too
         moved = _cut(moved.select(group, "start", "centers", "_still", "_go"))
         kinds = {r["_go"] for r in moved.select("_go").distinct().collect()}
         settled += [moved.filter("not _go").drop("_go")] if False in kinds else []
@@ -185,7 +185,7 @@ def subcluster(df: DataFrame, quotas: DataFrame, group: str, label: str, idx: st
     split = rows.filter("quota > 1").join(sizes, [group, label]).withColumn("_mode", F.to_json(F.struct(group, label))).withColumn("_want", F.least("quota", "_n").cast("int"))
     parts = group_kmeans(split, "_mode", idx, "_want", vec).select(F.col(idx).alias("_i"), F.col("label").alias("_part"))
     whole = rows.filter("quota = 1").select(idx, group, label, F.lit(0).alias("_part"))
-    out = _cut(whole.unionByName(split.join(parts, F.col(idx) == F.col("_i")).select(idx, group, label, "_part")))
+    out = _cut(whole.unionByName(split.join(large(parts), F.col(idx) == F.col("_i")).select(idx, group, label, "_part")))
     turn = F.row_number().over(Window.partitionBy(group).orderBy(label, "_part")) - 1
     number = out.select(group, label, "_part").distinct().withColumn("_to", turn)
     return out.join(number, [group, label, "_part"]).select(idx, group, F.col("_to").alias("label"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.operators.forest import spanning_forest
-from curatrix.session import written
+from curatrix.session import large, written
 
 #: Rows of a task: a ball holds a quarter of them on average, and balls of more than twice as many are parted by a hash. Small balls around rows of
 #: every cluster, those with a quarter of a block's rows at least, rule out more than few wide ones.
@@ -145,7 +145,7 @@ def core_distances(rows: DataFrame, group: str, need: int, block: int = BLOCK) -
         return pd.DataFrame({"cell": own["cell"].to_numpy()[i], "to": every["cell"].to_numpy()[j], "center": every["center"].to_numpy()[j], "far": every["far"].to_numpy()[j]})
 
     hops = _by_cells(cells, group, "cell long, to long, center array<double>, far double", reached).withColumnRenamed(group, "_g").withColumnRenamed("cell", "_c")
-    able = balls.select(group, "cell", "a", "v").join(home.select(F.col("a").alias("_a"), F.col(group).alias("_ag"), "reach"), (F.col("a") == F.col("_a")) & (F.col(group) == F.col("_ag"))).drop("_a", "_ag")
+    able = balls.select(group, "cell", "a", "v").join(large(home.select(F.col("a").alias("_a"), F.col(group).alias("_ag"), "reach")), (F.col("a") == F.col("_a")) & (F.col(group) == F.col("_ag"))).drop("_a", "_ag")
     visit = f"_g {kinds[group]}, _u long, a {kinds['a']}, v array<double>, cells array<long>"
 
     def visits(mine: pd.DataFrame, to: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +180,7 @@ def core_distances(rows: DataFrame, group: str, need: int, block: int = BLOCK) -
     away = homes.groupBy(group, "_u").cogroup(guests.groupBy("_g", "_u")).applyInPandas(look, seen)
     all_near = home.select(group, "a", "near").unionByName(away).select(group, "a", F.explode("near").alias("x")).groupBy(F.col(group).alias("_g"), F.col("a").alias("_a")).agg(F.array_sort(F.collect_list("x")).alias("_x"))
     upto = F.aggregate("_x", F.struct((F.col("n") - 1).alias("seen"), F.when(F.col("n") > need, 0.0).cast("double").alias("core")), lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when(s["seen"] >= need, s["core"]).otherwise(x["d"]).alias("core")))
-    out = balls.join(all_near, (F.col("a") == F.col("_a")) & (F.col(group) == F.col("_g")), "left").withColumn("core", F.coalesce(upto["core"], F.lit(0.0)))
+    out = balls.join(large(all_near), (F.col("a") == F.col("_a")) & (F.col(group) == F.col("_g")), "left").withColumn("core", F.coalesce(upto["core"], F.lit(0.0)))
     return written(out.select(*balls.columns, "core"), "cores")
 
 
@@ -457,7 +457,7 @@ def banded_labels(tree: DataFrame, nodes: DataFrame, group: str, band: int = BAN
     for number in range(-1 if last is None else last + 1):
         now = edges.filter(F.col("band") == number)
         at = lambda c: seat.select(F.col(group).alias(f"_g{c}"), F.col("x").alias(f"_x{c}"), F.col("top").alias(f"_{c}"))
-        now = now.join(at("a"), (F.col(group) == F.col("_ga")) & (F.col("a") == F.col("_xa"))).join(at("b"), (F.col(group) == F.col("_gb")) & (F.col("b") == F.col("_xb")))
+        now = now.join(large(at("a")), (F.col(group) == F.col("_ga")) & (F.col("a") == F.col("_xa"))).join(large(at("b")), (F.col(group) == F.col("_gb")) & (F.col("b") == F.col("_xb")))
         now = written(now.join(least, F.col(group) == F.col("_g")).select(group, F.col("_a").alias("a"), F.col("_b").alias("b"), "w", "rank", "least"), "band")
         touched = now.select(group, F.explode(F.array("a", "b")).alias("x")).distinct()
         known = parts.join(touched, [group, "x"], "left_semi")
@@ -471,9 +471,9 @@ def banded_labels(tree: DataFrame, nodes: DataFrame, group: str, band: int = BAN
         parts = written(parts.join(touched, [group, "x"], "left_anti").unionByName(fresh), "parts")
         # what a node's bag joined is settled here, once
         now_in = joined[-1].select(F.col(group).alias("_jg"), F.col("bag"), F.col("cluster").alias("_jc"))
-        seat = seat.join(now_in, (F.col(group) == F.col("_jg")) & (F.col("top") == F.col("bag")), "left")
+        seat = seat.join(large(now_in), (F.col(group) == F.col("_jg")) & (F.col("top") == F.col("bag")), "left")
         owner = F.coalesce("owner", "_jc") if "owner" in seat.columns else F.col("_jc")
-        seat = seat.join(went, (F.col(group) == F.col("_g")) & (F.col("top") == F.col("_x")), "left").select(group, "x", F.coalesce("_t", "top").alias("top"), owner.alias("owner"))
+        seat = seat.join(large(went), (F.col(group) == F.col("_g")) & (F.col("top") == F.col("_x")), "left").select(group, "x", F.coalesce("_t", "top").alias("top"), owner.alias("owner"))
         seat = written(seat, "seats")
     if not closed:
         return nodes.select("a", group, F.lit(-1).cast("long").alias("label"))
@@ -507,10 +507,10 @@ def density_modes(df: DataFrame, group: str, idx: str, ipc: int, vec: str = "emb
     cores = core_distances(classes.select(F.col("rep").alias("a"), group, "v", "n"), group, max(1, min_samples - 1), block)
     edges = tree_edges(cores, group)
     # equal rows hang on their first one, at its core
-    same = rows.join(classes.filter("n > 1").withColumnRenamed(group, "_g").withColumnRenamed("v", "_v"), (F.col(group) == F.col("_g")) & (F.col("v") == F.col("_v")) & (F.col("a") != F.col("rep")))
+    same = rows.join(large(classes.filter("n > 1").withColumnRenamed(group, "_g").withColumnRenamed("v", "_v")), (F.col(group) == F.col("_g")) & (F.col("v") == F.col("_v")) & (F.col("a") != F.col("rep")))
     core = cores.select(F.col("a").alias("_r"), F.col(group).alias("_cg"), "core")
-    hung = same.select(group, "a", "rep").join(core, (F.col("rep") == F.col("_r")) & (F.col(group) == F.col("_cg"))).select(group, F.col("rep").alias("a"), F.col("a").alias("b"), F.col("core").alias("w"))
-    forest = spanning_forest(edges, group).join(cores.select("a", group), "a").select(group, "a", "b", "w")
+    hung = same.select(group, "a", "rep").join(large(core), (F.col("rep") == F.col("_r")) & (F.col(group) == F.col("_cg"))).select(group, F.col("rep").alias("a"), F.col("a").alias("b"), F.col("core").alias("w"))
+    forest = spanning_forest(edges, group).join(large(cores.select("a", group)), "a").select(group, "a", "b", "w")
     mst = written(forest.unionByName(hung), "tree")
     sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
     sizes = written(sizes.withColumn("least", F.least(F.lit(min_cluster_size), F.greatest(F.floor(F.col("_n") / ipc), F.lit(5))).cast("int")), "sizes")
@@ -528,6 +528,6 @@ def density_modes(df: DataFrame, group: str, idx: str, ipc: int, vec: str = "emb
 
     out = both.groupBy(group).applyInPandas(cut, f"a {kinds[idx]}, {group} {kinds[group]}, label long")
     if not sizes.filter(F.col("_n") > band).isEmpty():
-        large = mst.join(sizes.filter(F.col("_n") > band).select("_g"), F.col(group) == F.col("_g"), "left_semi")
-        out = out.unionByName(banded_labels(large, many.select("a", group, "least"), group, band))
+        tall = mst.join(sizes.filter(F.col("_n") > band).select("_g"), F.col(group) == F.col("_g"), "left_semi")
+        out = out.unionByName(banded_labels(tall, many.select("a", group, "least"), group, band))
     return out.select(F.col("a").alias(idx), group, "label")

@@ -6,25 +6,30 @@ there are more than IPC, shares of IPC by size otherwise. The ways are filters o
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.operators.cluster import density_modes, group_kmeans, group_pca, subcluster
 from curatrix.operators.vectors import centroids, farthest_point, nearest, quota_allocation
-from curatrix.session import written
+from curatrix.session import large, written
 
 #: Names of the ways (fixed values of the results).
 FALLBACK, CHOSEN, SHARED = "hdbscan_fallback_kmeans", "hdbscan_farthest_point", "hdbscan_proportional"
 
 
-@dataclass(frozen=True)
 class Modes:
-    """labels: (idx, group, label), consecutive from 0 in each group, at most IPC of them. diagnostics: a row a group, see `assign_modes`."""
+    """labels: (idx, group, label), consecutive from 0 in each group, at most IPC of them; worked out and written when first asked for.
+    diagnostics: a row a group, see `assign_modes`; they don't depend on labels."""
 
-    labels: DataFrame
-    diagnostics: DataFrame
+    def __init__(self, make: Callable[[], DataFrame], diagnostics: DataFrame):
+        self._make, self.diagnostics = make, diagnostics
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return self._make()
 
 
 def assign_modes(df: DataFrame, found: DataFrame, group: str, idx: str, ipc: int, vec: str = "embedding", reduced: DataFrame | None = None) -> Modes:
@@ -38,16 +43,16 @@ def assign_modes(df: DataFrame, found: DataFrame, group: str, idx: str, ipc: int
     """
     rows = df.filter(F.col(vec).isNotNull() & F.col(group).isNotNull()).select(idx, group, vec)
     lean = rows if reduced is None else reduced.select(idx, group, vec)
-    found = written(found.join(rows.select(idx, group), [idx, group], "left_semi").select(idx, group, F.col("label").cast("long").alias("label")), "found")
+    found = written(found.join(large(rows.select(idx, group)), [idx, group], "left_semi").select(idx, group, F.col("label").cast("long").alias("label")), "found")
     sizes = written(found.groupBy(group, "label").agg(F.count("*").alias("n")), "mode-sizes")
     pairs = F.array_sort(F.collect_list(F.when(F.col("label") >= 0, F.struct("label", "n"))))
     facts = sizes.groupBy(group).agg(F.count_if(F.col("label") >= 0).alias("discovered"), F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("n"))), F.lit(0)).alias("noise"), F.sum("n").alias("rows"), F.transform(pairs, lambda p: p["n"]).alias("discovered_sizes"))
     facts = written(facts.withColumn("branch", F.when(F.col("discovered") < 2, FALLBACK).when(F.col("discovered") > ipc, CHOSEN).otherwise(SHARED)), "mode-facts")
 
     dense = found.join(facts.filter(F.col("branch") != FALLBACK).select(group), group, "left_semi")
-    lean = dense.join(lean, [idx, group])
+    lean = dense.join(large(lean), [idx, group])
     lost = nearest(lean.filter("label < 0"), centroids(lean.filter("label >= 0"), [group, "label"], vec), group, "label", idx, vec)
-    placed = written(dense.filter("label >= 0").unionByName(lost.select(idx, group, "label")).join(rows, [idx, group]), "placed")
+    placed = written(dense.filter("label >= 0").unionByName(lost.select(idx, group, "label")).join(large(rows), [idx, group]), "placed")
     centers = written(centroids(placed, [group, "label"], vec).join(facts.select(group, "branch"), group), "mode-centers")
 
     crowded = centers.filter(F.col("branch") == CHOSEN)
@@ -61,10 +66,11 @@ def assign_modes(df: DataFrame, found: DataFrame, group: str, idx: str, ipc: int
 
     turned = placed.withColumnRenamed("label", "_from").join(turns, [group, "_from"]).select(idx, group, "turn", vec)
     quotas = written(quota_allocation(turned.groupBy(group, "turn").agg(F.count("*").alias("n")), group, "turn", "n", ipc), "quotas")
-    labels = subcluster(turned, quotas, group, "turn", idx, vec)
     few = facts.filter(F.col("branch") == FALLBACK).select(group, F.least(F.lit(ipc), F.col("rows")).cast("int").alias("kmeans_k"))
-    plain = group_kmeans(rows.join(few, group), group, idx, "kmeans_k", vec)
-    labels = written(labels.unionByName(_dense(plain, group)), "mode-labels")
+
+    def labels() -> DataFrame:
+        plain = group_kmeans(rows.join(few, group), group, idx, "kmeans_k", vec)
+        return written(subcluster(turned, quotas, group, "turn", idx, vec).unionByName(_dense(plain, group)), "mode-labels")
 
     shares = quotas.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("turn", "n", "quota"))).alias("_q"))
     seen = facts.join(shares, group, "left").join(few, group, "left")

@@ -27,6 +27,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
+def large(df: DataFrame) -> DataFrame:
+    """df as a join's side of as many rows as the data: sorted and merged, never sent to the driver as a broadcast table. Files of ids and labels are
+    so small for their rows that Spark's sizes would let them pass; and in rounds each broadcast takes the driver a page of memory, however few its rows."""
+    return df.hint("merge")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder, so that several readers work it out once."""
     path = shared_folder(df.sparkSession, label)

@@ -204,3 +204,28 @@ def test_registered_kmeans_against_lloyd(spark):
             d = np.round(np.linalg.norm(x[:, None] - c, axis=2), 6)
             runs.append((round(float((d.min(1) ** 2).sum()), 6), names[d.argmin(1)].tolist()))
         assert [got[i] for i in ids] == min(runs, key=lambda r: r[0])[1]
+
+
+def test_diagnostics_run_no_kmeans(spark, monkeypatch):
+    """Labels are worked out when first asked for, once."""
+    from curatrix.operators import modes
+
+    df = spark.range(60).selectExpr("id", "cast(0 as int) g", "array(double(id % 3), double(id)) embedding")
+    found = df.selectExpr("id", "g", "id % 3 label")
+    asked, split = [], modes.subcluster
+    monkeypatch.setattr(modes, "subcluster", lambda *a: asked.append(a) or split(*a))
+    m = modes.assign_modes(df, found, "g", "id", 4)
+    assert m.diagnostics.count() == 1 and not asked
+    assert m.labels.count() == 60 and len(asked) == 1 and m.labels is m.labels
+
+
+def test_rounds_of_kmeans_merge_their_joins(spark, monkeypatch):
+    """A round's joins are merged: each broadcast would take the driver a page of memory, round after round."""
+    from curatrix.operators import cluster
+
+    plans, cut = [], cluster._cut
+    monkeypatch.setattr(cluster, "_cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    df = spark.range(90).selectExpr("id", "cast(0 as int) g", "array(double(id % 3) * 100 + id / 90, double(id)) embedding", "3 k")
+    assert cluster.group_kmeans(df, "g", "id", "k", block=30, starts=2).count() == 90
+    rounds = [p for p in plans if "nanvl" in p]
+    assert rounds and all(p.count("SortMergeJoin") >= 2 for p in rounds)
