@@ -17,8 +17,9 @@ from curatrix.llm import bpe, mixing, quality_model, rules, simhash
 from curatrix.llm.common import materialize, table, unused
 
 #: Near-duplicates share 0.8 of their different five-word shingles or more. For sets of alike size that is a cosine of 8/9, an angle of 27.3 degrees
-#: and, of 256 bits, 39 that differ on average (deviation 5.7), or 48 (6.2) for the smallest sets, 4 of 5 shingles. A band in common, fingerprints
-#: within the radius and counts that agree to 0.8 only name candidates (by those binomial laws 1e-5 of pairs are missed at worst); the sets decide.
+#: and, of 256 bits, 39 that differ on average (deviation 5.7), or 48 (6.2) for the smallest sets, 4 of 5 shingles. The vantage-point
+#: tree's links, fingerprints within the radius and counts that agree to 0.8, only name candidates (by those binomial laws 1e-5 of pairs are missed at
+#: worst); the sets decide.
 NEAR_WORDS, NEAR_RULE = 5, simhash.Rule(bits=256, radius=76, ratio=0.8, exact=True)
 
 

@@ -5,8 +5,9 @@ its distances to vantage points; where a point lies so near a split that the tri
 side, it also visits that side. Leaves join independently, exactly, and the links' connected components are the groups. A leaf of more
 points than the sample can part gets a tree of its own, fitted on a sample of the leaf.
 
-A rule of similarity between sets of shingles (deduplicate) allows so many differing bits that no split of a tree keeps partners out.
-There, points meet in the bands of a min-hash sketch, fingerprints within the radius name candidates, and the sets decide.
+A rule of similarity between sets of shingles (deduplicate) takes the same way: the tree's links, fingerprints within the radius, are
+candidates, and the sets decide. It allows so many differing bits that on unrelated texts only splits by size, which are distances from
+the smallest set, keep partners out; its work then grows with the square of the points of alike size, in chunks that many tasks share.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from curatrix.llm.rangejoin import CHUNK, link
 WORDS, BITS, RADIUS = 3, 64, 2
 #: Points that a level of the tree is fitted on (about, twice as many at most); it has at most SAMPLE / 16 leaves.
 SAMPLE = 32_768
+#: Pairs whose bits are counted at a time; homes that a chunk of an exact rule holds at most (about 200 bytes each).
+TILE, LARGEST = 1 << 16, 131_072
 
 
 def fingerprint(text: str, words: int = WORDS, bits: int = BITS) -> tuple[bytes, int]:
@@ -73,24 +76,9 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-#: Bands of a sketch and minima in each. Sets that share 0.8 of their union agree in no band with probability (1 - 0.8 ** 5) ** 36 = 6e-7.
-BANDS, MINIMA = 36, 5
-_MASKS, _FACTORS = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * MINIMA, 1), np.uint64) | np.uint64(1)
-
-
-def bands(h: np.ndarray) -> list[int]:
-    """A number for each band of the min-hash sketch of different hashes h; one for no hashes."""
-    if not len(h):
-        return [0]
-    low = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 1 << 12):
-        np.minimum(low, ((h[at : at + (1 << 12)] ^ _MASKS) * _FACTORS).min(1), out=low)
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(low.reshape(BANDS, MINIMA))]
-
-
 def fingerprints(docs: DataFrame, text: str, words: int = WORDS, bits: int = BITS, exact: bool = False) -> DataFrame:
     """docs plus fp binary and shingles long, without the text column. Null text counts as empty. exact: a shingle votes and counts once
-    however often it stands, digest binary holds 16 bytes of their set and bands array<long> the sketch's."""
+    however often it stands, and digest binary holds 16 bytes of their set."""
     rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,9 +86,9 @@ def fingerprints(docs: DataFrame, text: str, words: int = WORDS, bits: int = BIT
             hashes = [_hashes(t.encode("utf-8", "surrogatepass"), words, exact) for t in b.pop(text)]
             made = [_votes(h, bits) for h in hashes]
             b = b.assign(fp=[m[0] for m in made], shingles=[m[1] for m in made])
-            yield b.assign(digest=[xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], bands=[bands(h) for h in hashes]) if exact else b
+            yield b.assign(digest=[xxhash.xxh3_128_digest(h.tobytes()) for h in hashes]) if exact else b
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + ", fp binary, shingles long" + ", digest binary, bands array<long>" * exact
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + ", fp binary, shingles long" + ", digest binary" * exact
     return docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).mapInPandas(run, schema)
 
 
@@ -124,8 +112,8 @@ class Points:
 class Rule:
     """Two points link if at most `radius` bits differ and, where ratio is given, the smaller shingle count is at least ratio times the
     larger. Both are metric balls: of Hamming distance and of the distance between logarithms of counts. leaf: points of a leaf. exact
-    (deduplicate only): shingles are taken once each, such pairs are candidates where they share a band, and they link if their sets of
-    shingles share ratio of their union or more."""
+    (deduplicate only): shingles are taken once each, such pairs are candidates, and they link if their sets of shingles share ratio of
+    their union or more."""
 
     bits: int = BITS
     radius: int = RADIUS
@@ -155,8 +143,29 @@ class Rule:
         return d
 
     def near(self, homes: Points, points: Points) -> np.ndarray:
-        hit = self.hamming(homes, points) <= self.radius
-        return hit & (np.abs(homes.size[None, :] - points.size[:, None]) <= self.spread) if self.ratio else hit
+        """Points x homes. Three words' bits, which fit a byte, rule out most pairs; the rest and the sizes are looked at where they don't."""
+        hit, step = np.zeros((len(points), len(homes)), bool), max(1, TILE // max(1, len(points)))
+        first, rest = homes.words[:, :3].T.copy(), range(3, homes.words.shape[1])
+        for at in range(0, len(homes), step):
+            d = np.bitwise_count(first[0, at : at + step] ^ points.words[:, :1])
+            for k in range(1, len(first)):
+                d += np.bitwise_count(first[k, at : at + step] ^ points.words[:, k : k + 1])
+            np.less_equal(d, self.radius, out=hit[:, at : at + step])
+        if rest or self.ratio:
+            p, h = np.nonzero(hit)
+            ok = self.far(homes.words[h], points.words[p]) <= self.radius
+            if self.ratio:
+                ok &= np.abs(homes.size[h] - points.size[p]) <= self.spread
+            hit[p, h] = ok
+        return hit
+
+    def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a ^ b).sum(1, dtype=np.uint16)
+
+    def chunk(self, points: int) -> int:
+        """Homes of a chunk. Leaves that the radius leaves whole are cut in about 64 chunks together, so that a point visits as many whatever
+        their number, until a chunk is as large as memory should hold."""
+        return max(self.leaf, min(-(-points // 64), LARGEST)) if self.exact else self.leaf
 
     def same(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -264,18 +273,8 @@ def seats(points: DataFrame, rule: Rule, sample: int = SAMPLE) -> DataFrame:
 def linked(points: DataFrame, rule: Rule, sample: int = SAMPLE) -> DataFrame:
     """points (id binary, data binary: fingerprint and 8 bytes of shingle count; all different) -> (id, component): the ids that have a link,
     with the smallest id reachable."""
-    return components(link(seats(points, rule, sample), rule.parse, rule.near, "binary", chunk=rule.leaf).select("a", "b"))
-
-
-def met(points: DataFrame, rule: Rule) -> DataFrame:
-    """points (id, data, bands) -> (id, component) of candidates: points that share a band and whose fingerprints are near, and the points
-    reachable so. Of bands that the same points share one is looked at."""
-    rows = points.select("id", "data", F.explode("bands").alias("cell"))
-    sums = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    shared = rows.groupBy("cell").agg(F.count("*").alias("n"), *sums).filter("n > 1")
-    shared = materialize(shared.groupBy("n", "x1", "x2").agg(F.min("cell").alias("cell")).select("cell"), "bands")
-    placed = rows.join(shared, "cell", "left_semi").select("cell", F.lit(False).alias("visitor"), "id", "data", F.lit(1).cast("long").alias("weight"))
-    return components(link(materialize(placed, "banded"), rule.parse, rule.near, "binary").select("a", "b"))
+    placed = seats(points, rule, sample)
+    return components(link(placed, rule.parse, rule.near, "binary", chunk=rule.chunk(points.count())).select("a", "b"))
 
 
 def verified(found: DataFrame, points: DataFrame, texts: DataFrame, rule: Rule, words: int) -> DataFrame:
@@ -312,14 +311,11 @@ def key_id(key: Column) -> Column:
 
 def groups(keyed: DataFrame, rule: Rule, texts: DataFrame | None = None, words: int = WORDS) -> DataFrame:
     """keyed (fp, shingles, key: binary) -> (data, low, copies): every point with the smallest key of its component and the number of its
-    rows. An exact rule needs keyed's digest and bands, and texts (id: a key, text), a row a key."""
-    found = [F.min("key").alias("id"), F.count("*").alias("copies")] + [F.any_value("bands").alias("bands")] * rule.exact
-    points = materialize(keyed.groupBy(point(rule).alias("data")).agg(*found), "points")
+    rows. An exact rule needs keyed's digest, and texts (id: a key, text), a row a key."""
+    points = materialize(keyed.groupBy(point(rule).alias("data")).agg(F.min("key").alias("id"), F.count("*").alias("copies")), "points")
+    near = materialize(linked(points.select("id", "data"), rule), "links")
     if rule.exact:
-        near = materialize(met(points, rule), "links")
         near = materialize(verified(near, points, texts, rule, words), "links")
-    else:
-        near = materialize(linked(points.select("id", "data"), rule), "links")
     return points.join(near.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("data", F.coalesce("component", "id").alias("low"), "copies")
 
 

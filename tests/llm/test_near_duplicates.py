@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+from curatrix.llm import simhash  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
 
@@ -95,3 +98,32 @@ def test_documents(spark):
     for a, b in links:
         root[max(find(a), find(b))] = min(find(a), find(b))
     assert len(links) > 20 and kept(spark, rows) == {rows[i][0] for i in range(len(rows)) if find(i) == i}
+
+
+def test_no_link_is_lost_to_min_hash_bands(spark):
+    """Two long texts of similarity 0.88 that differ in a minimum of each of 36 bands of five: an index of such bands never lets them meet."""
+    rng = random.Random(8)
+    w = words(rng, 3000)
+    grams = [xxhash.xxh64_intdigest(" ".join(w[i : i + 5]), 42) for i in range(len(w) - 4)]
+    masks, factors = np.random.default_rng(5).integers(0, 2**64, (2, 36 * 5, 1), np.uint64) | np.uint64(1)
+    lowest_at = ((np.array(grams, np.uint64) ^ masks) * factors).argmin(1)
+    other = list(w)
+    for at in lowest_at[::5]:  # a word of the first minimum's shingle
+        other[at] = words(rng, 1)[0]
+    rows = [(0, " ".join(w)), (1, " ".join(other))]
+    assert 0.85 < alike(*(shingles(t) for _, t in rows)) < 0.92
+    assert kept(spark, rows) == lowest(rows) == {0}
+
+
+def test_candidates_come_out_of_the_tree(spark, monkeypatch):
+    """Texts of many sizes in leaves of a few points: splits by size and chunks lose no link."""
+    rng, rows, trees = random.Random(9), [], []
+    for n in range(8, 320, 2):
+        w = words(rng, n)
+        for cut in rng.sample([0, 0, n // 40, n // 8, n // 5], 2):
+            rows.append((len(rows), " ".join(w[: n - cut] + words(rng, rng.choice([0, cut])))))
+    grow = simhash.VantageTree.__init__
+    monkeypatch.setattr(simhash.VantageTree, "__init__", lambda self, *a: (grow(self, *a), trees.append(self.leaves))[0])
+    rule = simhash.Rule(bits=256, radius=76, ratio=0.8, leaf=16, exact=True)
+    got = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA), 5, rule).collect()}
+    assert got == lowest(rows) and len(rows) / 2 < len(got) < len(rows) and max(trees) > 4
