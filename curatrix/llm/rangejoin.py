@@ -2,8 +2,9 @@
 
 Every point has one home cell; a pair that lies in two cells meets because one of its points also visits the other's cell. Cells of
 more than `chunk` homes are cut into chunks by a hash: visitors, and homes of lower chunks, go to each. A task loads a chunk's homes
-(about `chunk` of them) and streams whatever visits it, so memory is bounded however dense a cell is. Within a chunk, links are
-folded into a spanning forest as they are found: a group of copies gives one edge a point, never all its pairs.
+(about `chunk` of them) and streams whatever visits it, so memory is bounded however dense a cell is. Where the caller knows which
+chunks can hold a point's partners (`meets`), it goes to those only. Within a chunk, links are folded into a spanning forest as they
+are found: a group of copies gives one edge a point, never all its pairs.
 """
 
 from __future__ import annotations
@@ -77,21 +78,41 @@ class _Chunk:
         return self.out + [(self.ids[k], None, int(self.links[k])) for k in np.flatnonzero(self.links)]
 
 
-def link(placed: DataFrame, parse: Callable[[pd.Series], np.ndarray], near: Callable[[np.ndarray, np.ndarray], np.ndarray], id_type: str, count: bool = False, chunk: int = CHUNK, sure: Callable | None = None) -> DataFrame:
+def chunks(placed: DataFrame, chunk: int = CHUNK, meets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """placed (cell, visitor, id, data, weight) -> (cell, chunk, visitor, id, data, weight): each home in its chunk, and in or with every
+    other chunk of its cells that it has to meet. meets, if given, takes homes (id, data, cell, chunk) to (id, cell, chunk), each once: the chunks
+    that can hold a point's partners."""
+    size = placed.filter("not visitor").groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    seats = placed.join(materialize(size, "cells"), "cell")
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    seats = seats.withColumn("own", F.when(F.col("visitor"), F.lit(-1)).otherwise(own))
+    if meets is None:
+        seats = seats.withColumn("chunk", F.explode(F.sequence(F.when(F.col("visitor"), F.lit(0)).otherwise(F.col("own")), F.col("chunks") - 1)))
+    else:
+        homes = seats.filter("not visitor").withColumn("chunk", F.col("own"))
+        visits = seats.join(meets(homes.select("id", "data", "cell", "chunk")), ["id", "cell"]).filter("chunk > own")
+        seats = homes.unionByName(visits)
+    return seats.select("cell", "chunk", (F.col("chunk") != F.col("own")).alias("visitor"), "id", "data", "weight")
+
+
+def link(
+    placed: DataFrame,
+    parse: Callable[[pd.Series], np.ndarray],
+    near: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    id_type: str,
+    count: bool = False,
+    chunk: int = CHUNK,
+    sure: Callable | None = None,
+    meets: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """placed (cell, visitor, id, data binary, weight long) -> (a, b, n): edges of a spanning forest of each chunk's links with n = 0
     and, if count, rows with null b whose n sum, by a, to the weights of the points linked to a.
 
     parse turns data into rows of an array; near(homes, points) says, as a matrix of points x homes, which pairs are links.
     sure(homes, i, points, k), if given (without count), decides about a pair that near names; it is asked only while the pair's ends are apart.
+    meets, if given, names the chunks in which a point can have partners (see chunks).
     """
-    size = placed.filter("not visitor").groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    size = materialize(size, "cells")
-    last = F.col("chunks") - 1
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    seats = placed.join(size, "cell")
-    seats = seats.withColumn("own", F.when(F.col("visitor"), F.lit(-1)).otherwise(own))
-    seats = seats.withColumn("chunk", F.explode(F.sequence(F.when(F.col("visitor"), F.lit(0)).otherwise(F.col("own")), last)))
-    seats = seats.select("cell", "chunk", (F.col("chunk") != F.col("own")).alias("visitor"), "id", "data", "weight")
+    seats = chunks(placed, chunk, meets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, homes, open_chunk = None, [], None

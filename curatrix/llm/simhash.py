@@ -7,12 +7,15 @@ points than the sample can part gets a tree of its own, fitted on a sample of th
 
 A rule of similarity between sets of shingles (deduplicate) takes the same way: the tree's links, fingerprints within the radius, are
 candidates, and the sets decide. It allows so many differing bits that on unrelated texts only splits by size, which are distances from
-the smallest set, keep partners out; its work then grows with the square of the points of alike size, in chunks that many tasks share.
+the smallest set, keep partners out. So a second bound prunes what is left of a point's visits: two sets can only share the ratio of
+their union if they have a shingle in common among their first ones (prefix), in an order that takes common shingles last; a point goes to
+those chunks of the leaves that the tree sends it to where such a shingle is at home.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,15 +24,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import hot_join, materialize, row_hash, table, unused
+from curatrix.llm.common import hot_join, materialize, partitions, row_hash, table, unused
 from curatrix.llm.graph import components
 from curatrix.llm.rangejoin import CHUNK, link
 
 WORDS, BITS, RADIUS = 3, 64, 2
 #: Points that a level of the tree is fitted on (about, twice as many at most); it has at most SAMPLE / 16 leaves.
 SAMPLE = 32_768
-#: Pairs whose bits are counted at a time; homes that a chunk of an exact rule holds at most (about 200 bytes each).
-TILE, LARGEST = 1 << 16, 131_072
+#: Pairs whose bits are counted at a time.
+TILE = 1 << 16
+#: Texts (about) in which shingles are counted for the order of an exact rule, and shingles found common at most.
+COUNTED, COMMON = 8_192, 131_072
 
 
 def fingerprint(text: str, words: int = WORDS, bits: int = BITS) -> tuple[bytes, int]:
@@ -76,19 +81,50 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, text: str, words: int = WORDS, bits: int = BITS, exact: bool = False) -> DataFrame:
-    """docs plus fp binary and shingles long, without the text column. Null text counts as empty. exact: a shingle votes and counts once
-    however often it stands, and digest binary holds 16 bytes of their set."""
-    rest = [c for c in docs.columns if c != text]
+def common(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """Hashes of shingles that stand in two or more of about COUNTED different texts, the least common first. They only order the shingles of
+    a set: the prefixes keep what they promise whatever the sample is."""
+    share = COUNTED / max(1, docs.count())
+    some = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if share < 1:
+        some = some.filter(F.shiftrightunsigned(F.xxhash64("text"), 32) < int(share * 2**32))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["text"]:
+                yield pd.DataFrame({"h": _hashes(t.encode("utf-8", "surrogatepass"), words, True).view(np.int64)})
+
+    found = some.distinct().mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    return found.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()["h"].to_numpy(np.int64).view(np.uint64)[::-1]
+
+
+def prefix(h: np.ndarray, last: tuple[np.ndarray, np.ndarray], ratio: float) -> np.ndarray:
+    """The first of a set's sorted hashes: by hash, but those of last (sorted hashes and the rank of each) after all others, by rank. Sets that
+    share `ratio` of their union share that part of the larger one; a prefix is one more than the rest, so their prefixes have one in common."""
+    known, rank = last
+    n = len(h) - math.ceil(ratio * len(h) - 1e-9) + 1 if len(h) else 0
+    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+    late = known[at] == h if len(known) else np.zeros(len(h), bool)
+    return np.concatenate([h[~late], h[late][np.argsort(rank[at[late]])]])[:n]
+
+
+def fingerprints(docs: DataFrame, text: str, words: int = WORDS, bits: int = BITS, ratio: float | None = None) -> DataFrame:
+    """docs plus fp binary and shingles long, without the text column. Null text counts as empty. ratio, of an exact rule: a shingle votes and
+    counts once however often it stands, digest binary holds 16 bytes of their set and prefix array<long> its first hashes."""
+    rest, exact = [c for c in docs.columns if c != text], ratio is not None
+    order = common(docs, text, words) if exact else np.zeros(0, np.uint64)
+    last = np.sort(order), np.argsort(order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             hashes = [_hashes(t.encode("utf-8", "surrogatepass"), words, exact) for t in b.pop(text)]
             made = [_votes(h, bits) for h in hashes]
             b = b.assign(fp=[m[0] for m in made], shingles=[m[1] for m in made])
-            yield b.assign(digest=[xxhash.xxh3_128_digest(h.tobytes()) for h in hashes]) if exact else b
+            if exact:
+                b = b.assign(digest=[xxhash.xxh3_128_digest(h.tobytes()) for h in hashes], prefix=[prefix(h, last, ratio).view(np.int64) for h in hashes])
+            yield b
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + ", fp binary, shingles long" + ", digest binary" * exact
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + ", fp binary, shingles long" + ", digest binary, prefix array<long>" * exact
     return docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).mapInPandas(run, schema)
 
 
@@ -162,11 +198,6 @@ class Rule:
     def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(a ^ b).sum(1, dtype=np.uint16)
 
-    def chunk(self, points: int) -> int:
-        """Homes of a chunk. Leaves that the radius leaves whole are cut in about 64 chunks together, so that a point visits as many whatever
-        their number, until a chunk is as large as memory should hold."""
-        return max(self.leaf, min(-(-points // 64), LARGEST)) if self.exact else self.leaf
-
     def same(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both >= self.ratio * (len(a) + len(b) - both) - 1e-9
@@ -270,11 +301,51 @@ def seats(points: DataFrame, rule: Rule, sample: int = SAMPLE) -> DataFrame:
     return out
 
 
-def linked(points: DataFrame, rule: Rule, sample: int = SAMPLE) -> DataFrame:
+def linked(points: DataFrame, rule: Rule, sample: int = SAMPLE, meets: Callable | None = None) -> DataFrame:
     """points (id binary, data binary: fingerprint and 8 bytes of shingle count; all different) -> (id, component): the ids that have a link,
-    with the smallest id reachable."""
-    placed = seats(points, rule, sample)
-    return components(link(placed, rule.parse, rule.near, "binary", chunk=rule.chunk(points.count())).select("a", "b"))
+    with the smallest id reachable. meets (see rangejoin.chunks) may keep points out of chunks where they have no partner."""
+    return components(link(seats(points, rule, sample), rule.parse, rule.near, "binary", chunk=rule.leaf, meets=meets).select("a", "b"))
+
+
+def lists(prefixes: DataFrame) -> DataFrame:
+    """prefixes (point long, prefix array<long>) -> (list, point): for every shingle in the prefixes of two or more points, the points that
+    have it. Shingles of the same points make one list; a list's number comes from its points, and lists that share one are united."""
+
+    def made(h: np.ndarray, points: np.ndarray) -> pd.DataFrame:
+        new = np.append(True, (h[1:] != h[:-1]) | (points[1:] != points[:-1]))  # copies of one point stand next to each other
+        h, points = h[new], points[new]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        n = np.diff(np.append(start, len(h)))
+        return pd.DataFrame({"list": np.repeat(np.bitwise_xor.reduceat(points, start), n), "point": points})[np.repeat(n > 1, n)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # what the last shingle, which may go on in the next batch, stands in
+        for b in batches:
+            h, points = b["h"].to_numpy(np.int64), b["point"].to_numpy(np.int64)
+            if len(h) == 0:
+                continue
+            if held and h[-1] != held[0][0][0]:
+                cut = int(np.searchsorted(h, h[-1]))
+                held.append((h[:cut], points[:cut]))
+                yield made(*map(np.concatenate, zip(*held, strict=True)))
+                held, h, points = [], h[cut:], points[cut:]
+            held.append((h, points))
+        if held:
+            yield made(*map(np.concatenate, zip(*held, strict=True)))
+
+    rows = prefixes.select("point", F.explode("prefix").alias("h"))
+    return rows.repartition(partitions(prefixes.sparkSession), "h").sortWithinPartitions("h", "point").mapInPandas(run, "list long, point long").distinct()
+
+
+def sharing(met: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """met (list, point: hash of a point's data) -> where a point can have partners: chunks in which a point of one of its lists is at home."""
+
+    def meets(homes: DataFrame) -> DataFrame:
+        seated = materialize(met.join(homes.withColumn("point", F.xxhash64("data")), "point").select("list", "id", "cell", "chunk"), "listed")
+        chunks = seated.groupBy("list").agg(F.collect_set(F.struct("cell", "chunk")).alias("chunks")).filter(F.size("chunks") > 1)
+        return seated.select("list", "id").join(chunks, "list").select("id", F.inline("chunks")).distinct()
+
+    return meets
 
 
 def verified(found: DataFrame, points: DataFrame, texts: DataFrame, rule: Rule, words: int) -> DataFrame:
@@ -311,9 +382,10 @@ def key_id(key: Column) -> Column:
 
 def groups(keyed: DataFrame, rule: Rule, texts: DataFrame | None = None, words: int = WORDS) -> DataFrame:
     """keyed (fp, shingles, key: binary) -> (data, low, copies): every point with the smallest key of its component and the number of its
-    rows. An exact rule needs keyed's digest, and texts (id: a key, text), a row a key."""
+    rows. An exact rule needs keyed's digest and prefix, and texts (id: a key, text), a row a key."""
     points = materialize(keyed.groupBy(point(rule).alias("data")).agg(F.min("key").alias("id"), F.count("*").alias("copies")), "points")
-    near = materialize(linked(points.select("id", "data"), rule), "links")
+    meets = sharing(materialize(lists(keyed.select(F.xxhash64(point(rule)).alias("point"), "prefix")), "lists")) if rule.exact else None
+    near = materialize(linked(points.select("id", "data"), rule, meets=meets), "links")
     if rule.exact:
         near = materialize(verified(near, points, texts, rule, words), "links")
     return points.join(near.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("data", F.coalesce("component", "id").alias("low"), "copies")
@@ -350,7 +422,7 @@ def deduplicate(docs: DataFrame, words: int = WORDS, rule: Rule | None = None) -
     own, (k_key,) = docs.columns, unused(docs, "_key")
     with_key = docs.withColumn(k_key, sort_key(F.col("doc_id"), row_hash(docs)))
     keyed = with_key.select(F.col(k_key).alias("key"), F.col("text").alias("text"))
-    prints = materialize(fingerprints(keyed, "text", words, rule.bits, rule.exact), "prints")
+    prints = materialize(fingerprints(keyed, "text", words, rule.bits, rule.ratio if rule.exact else None), "prints")
     repeats = materialize(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_k")), "repeats")
     several = not repeats.isEmpty()
     texts = (keyed.dropDuplicates(["key"]) if several else keyed).withColumnRenamed("key", "id")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from curatrix.llm import simhash  # noqa: E402
+from curatrix.llm import rangejoin, simhash  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
 
@@ -127,3 +127,58 @@ def test_candidates_come_out_of_the_tree(spark, monkeypatch):
     rule = simhash.Rule(bits=256, radius=76, ratio=0.8, leaf=16, exact=True)
     got = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA), 5, rule).collect()}
     assert got == lowest(rows) and len(rows) / 2 < len(got) < len(rows) and max(trees) > 4
+
+
+def test_prefixes_of_like_sets_meet():
+    """Sets of similarity 0.8 or little more that differ in the very shingles which the order takes first."""
+    rng = np.random.default_rng(10)
+    for n in (*range(1, 40), 99, 400):
+        for _ in range(20):
+            h = np.sort(rng.integers(0, 2**63, n + n // 4 + 1).astype(np.uint64))
+            order = rng.permutation(h)[: rng.integers(0, len(h) + 1)]
+            last = np.sort(order), np.argsort(order)
+            ranked = [x for x in h if x not in set(order)] + list(order)
+            most = n - int(np.ceil(0.8 * n))  # of n shingles
+            a, b = np.sort(ranked[:n]), np.sort(ranked[most:n])
+            assert len(a) and len(b) >= 0.8 * len(a) and set(simhash.prefix(a, last, 0.8)) & set(simhash.prefix(b, last, 0.8))
+            more = n // 9  # both ways: n - more in common, more of each alone
+            a, b = np.sort(ranked[:more] + ranked[2 * more : n + more]), np.sort(ranked[more : n + more])
+            assert alike(set(a), set(b)) >= 0.8 and set(simhash.prefix(a, last, 0.8)) & set(simhash.prefix(b, last, 0.8))
+
+
+def seats(spark, monkeypatch, rows, leaf):
+    """What deduplicate keeps, and the seats (homes, visits) that its leaves were joined on."""
+    made, chunks = [], rangejoin.chunks
+    monkeypatch.setattr(rangejoin, "chunks", lambda *a: made.append(chunks(*a)) or made[-1])
+    rule = simhash.Rule(bits=256, radius=76, ratio=0.8, leaf=leaf, exact=True)
+    got = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA), 5, rule).collect()}
+    monkeypatch.undo()
+    visits = made[0].filter("visitor").count()
+    return got, made[0].count() - visits, visits
+
+
+def test_visits_grow_as_the_links(spark, monkeypatch):
+    """Texts of one size, which no split of the tree keeps apart, a tenth of them with a near copy, all with one line: a point goes to the chunk of its
+    copy, not to all chunks, whose number grows with the points."""
+    rng, line = random.Random(11), words(random.Random(12), 12)
+    for n in (300, 1200):
+        rows = []
+        for k in range(n):
+            w = words(rng, 60) + line
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:-1] + words(rng, 1)))][: 2 if k % 10 == 0 else 1]
+        got, homes, visits = seats(spark, monkeypatch, rows, 16)
+        assert got == lowest(rows) and len(got) == n and homes == len(rows)
+        assert visits <= n // 10
+
+
+def test_near_copies_that_fill_chunks(spark, monkeypatch):
+    """A large group of near copies in many chunks, beside texts of one very frequent line: every link is found across chunks."""
+    rng, base, line = random.Random(13), words(random.Random(14), 80), words(random.Random(15), 20)
+    rows = []
+    for k in range(240):
+        w = list(base) if k % 2 else words(rng, 12) + line
+        w[rng.randrange(len(w))] = words(rng, 1)[0]
+        w[rng.randrange(len(w))] = words(rng, 1)[0]
+        rows.append((k, " ".join(w)))
+    got, homes, visits = seats(spark, monkeypatch, rows, 16)
+    assert got == lowest(rows) and homes == 240 and visits > 0
