@@ -80,8 +80,8 @@ class _Chunk:
 
 def chunks(placed: DataFrame, chunk: int = CHUNK, meets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """placed (cell, visitor, id, data, weight) -> (cell, chunk, visitor, id, data, weight): each home in its chunk, and in or with every
-    other chunk of its cells that it has to meet. meets, if given, takes homes (id, data, cell, chunk) to (id, cell, chunk), each once: the chunks
-    that can hold a point's partners."""
+    other chunk of its cells that it has to meet. meets, if given, takes seats (id, data, cell, own: a home's chunk, -1 for visitors) to (id, cell,
+    chunk), each once: the chunks above own that can hold a point's partners."""
     size = placed.filter("not visitor").groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     seats = placed.join(materialize(size, "cells"), "cell")
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
@@ -90,7 +90,7 @@ def chunks(placed: DataFrame, chunk: int = CHUNK, meets: Callable[[DataFrame], D
         seats = seats.withColumn("chunk", F.explode(F.sequence(F.when(F.col("visitor"), F.lit(0)).otherwise(F.col("own")), F.col("chunks") - 1)))
     else:
         homes = seats.filter("not visitor").withColumn("chunk", F.col("own"))
-        visits = seats.join(meets(homes.select("id", "data", "cell", "chunk")), ["id", "cell"]).filter("chunk > own")
+        visits = seats.join(meets(seats.select("id", "data", "cell", "own")), ["id", "cell"])
         seats = homes.unionByName(visits)
     return seats.select("cell", "chunk", (F.col("chunk") != F.col("own")).alias("visitor"), "id", "data", "weight")
 

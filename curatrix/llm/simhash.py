@@ -340,10 +340,11 @@ def lists(prefixes: DataFrame) -> DataFrame:
 def sharing(met: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """met (list, point: hash of a point's data) -> where a point can have partners: chunks in which a point of one of its lists is at home."""
 
-    def meets(homes: DataFrame) -> DataFrame:
-        seated = materialize(met.join(homes.withColumn("point", F.xxhash64("data")), "point").select("list", "id", "cell", "chunk"), "listed")
-        chunks = seated.groupBy("list").agg(F.collect_set(F.struct("cell", "chunk")).alias("chunks")).filter(F.size("chunks") > 1)
-        return seated.select("list", "id").join(chunks, "list").select("id", F.inline("chunks")).distinct()
+    def meets(seats: DataFrame) -> DataFrame:
+        seated = materialize(met.join(seats.withColumn("point", F.xxhash64("data")), "point").select("list", "id", "cell", "own"), "listed")
+        homes = seated.filter("own >= 0").groupBy("list", "cell").agg(F.collect_set("own").alias("chunks"))
+        visits = seated.join(homes, ["list", "cell"]).withColumn("chunks", F.filter("chunks", lambda c: c > F.col("own")))
+        return visits.select("id", "cell", F.explode("chunks").alias("chunk")).distinct()
 
     return meets
 
