@@ -112,7 +112,11 @@ def link(
     sure(homes, i, points, k), if given (without count), decides about a pair that near names; it is asked only while the pair's ends are apart.
     meets, if given, names the chunks in which a point can have partners (see chunks).
     """
-    seats = chunks(placed, chunk, meets)
+    return joined(chunks(placed, chunk, meets), parse, near, id_type, count, sure)
+
+
+def joined(seats: DataFrame, parse: Callable, near: Callable, id_type: str, count: bool = False, sure: Callable | None = None) -> DataFrame:
+    """What link gives, of seats that are dealt to chunks already (cell, chunk, visitor, id, data, weight)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, homes, open_chunk = None, [], None
@@ -150,6 +154,6 @@ def link(
         if key is not None and (open_chunk := open_chunk or start()):
             yield from frames(open_chunk.close())
 
-    n = partitions(placed.sparkSession)
+    n = partitions(seats.sparkSession)
     sorted_seats = seats.repartition(n, "cell", "chunk").sortWithinPartitions("cell", "chunk", "visitor")
     return sorted_seats.mapInPandas(run, f"a {id_type}, b {id_type}, n long")

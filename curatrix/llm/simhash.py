@@ -8,8 +8,8 @@ points than the sample can part gets a tree of its own, fitted on a sample of th
 A rule of similarity between sets of shingles (deduplicate) takes the same way: the tree's links, fingerprints within the radius, are
 candidates, and the sets decide. It allows so many differing bits that on unrelated texts only splits by size, which are distances from
 the smallest set, keep partners out. So a second bound prunes what is left of a point's visits: two sets can only share the ratio of
-their union if they have a shingle in common among their first ones (prefix), in an order that takes common shingles last; a point goes to
-those chunks of the leaves that the tree sends it to where such a shingle is at home.
+their union if they have a shingle in common among their first ones (prefix), in an order that takes common shingles last; points
+of a leaf that have such a shingle in common are compared in blocks, and a point visits only chunks where it has a candidate.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.common import hot_join, materialize, partitions, row_hash, table, unused
 from curatrix.llm.graph import components
-from curatrix.llm.rangejoin import CHUNK, link
+from curatrix.llm.rangejoin import CHUNK, chunks, joined, link
 
 WORDS, BITS, RADIUS = 3, 64, 2
 #: Points that a level of the tree is fitted on (about, twice as many at most); it has at most SAMPLE / 16 leaves.
@@ -337,14 +337,24 @@ def lists(prefixes: DataFrame) -> DataFrame:
     return rows.repartition(partitions(prefixes.sparkSession), "h").sortWithinPartitions("h", "point").mapInPandas(run, "list long, point long").distinct()
 
 
-def sharing(met: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """met (list, point: hash of a point's data) -> where a point can have partners: chunks in which a point of one of its lists is at home."""
+def sharing(met: DataFrame, rule: Rule) -> Callable[[DataFrame], DataFrame]:
+    """met (list, point: hash of a point's data) -> where a point has partners that the rule's candidates need: the points of a leaf meet in blocks of
+    lists (about a quarter of rule.leaf together, so that blocks grow in number, not in size), each block's links are folded into a spanning forest, and
+    an edge sends one of its ends to the other's home. So visits are at most as many as points in blocks, however many links a group has."""
 
     def meets(seats: DataFrame) -> DataFrame:
-        seated = materialize(met.join(seats.withColumn("point", F.xxhash64("data")), "point").select("list", "id", "cell", "own"), "listed")
-        homes = seated.filter("own >= 0").groupBy("list", "cell").agg(F.collect_set("own").alias("chunks"))
-        visits = seated.join(homes, ["list", "cell"]).withColumn("chunks", F.filter("chunks", lambda c: c > F.col("own")))
-        return visits.select("id", "cell", F.explode("chunks").alias("chunk")).distinct()
+        leaves = max(1, seats.select("cell").distinct().count())
+        packs = max(1, -(-4 * met.count() // (rule.leaf * leaves)))
+        listed = seats.withColumn("point", F.xxhash64("data")).join(met, "point")
+        block = F.xxhash64("cell", F.pmod("list", F.lit(packs)))
+        listed = listed.select("point", block.alias("cell"), (F.col("own") < 0).alias("visitor"), "id", "data").distinct().drop("point")
+        blocks = chunks(materialize(listed.withColumn("weight", F.lit(1).cast("long")), "listed"), rule.leaf)
+        edges = joined(blocks, rule.parse, rule.near, "binary").filter("a <> b").select("a", "b")
+        both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "met")
+        home = seats.filter("own >= 0").select(F.col("id").alias("b"), "cell", F.col("own").alias("chunk"))
+        seat = seats.select(F.col("id").alias("a"), "cell", "own")
+        visits = both.join(home, "b").join(seat, ["a", "cell"]).filter(F.col("chunk") > F.col("own"))
+        return visits.select(F.col("a").alias("id"), "cell", "chunk").distinct()
 
     return meets
 
@@ -385,7 +395,7 @@ def groups(keyed: DataFrame, rule: Rule, texts: DataFrame | None = None, words:
     """keyed (fp, shingles, key: binary) -> (data, low, copies): every point with the smallest key of its component and the number of its
     rows. An exact rule needs keyed's digest and prefix, and texts (id: a key, text), a row a key."""
     points = materialize(keyed.groupBy(point(rule).alias("data")).agg(F.min("key").alias("id"), F.count("*").alias("copies")), "points")
-    meets = sharing(materialize(lists(keyed.select(F.xxhash64(point(rule)).alias("point"), "prefix")), "lists")) if rule.exact else None
+    meets = sharing(materialize(lists(keyed.select(F.xxhash64(point(rule)).alias("point"), "prefix")), "lists"), rule) if rule.exact else None
     near = materialize(linked(points.select("id", "data"), rule, meets=meets), "links")
     if rule.exact:
         near = materialize(verified(near, points, texts, rule, words), "links")

@@ -182,3 +182,13 @@ def test_near_copies_that_fill_chunks(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     got, homes, visits = seats(spark, monkeypatch, rows, 16)
     assert got == lowest(rows) and homes == 240 and visits > 0
+
+
+def test_visits_do_not_grow_with_shared_passages(spark, monkeypatch):
+    """Texts put together from passages that many have, so that prefixes hold shared shingles but few texts are candidates: a point visits where it
+    has one, not every chunk that holds its passage."""
+    rng = random.Random(16)
+    pool = [words(rng, 20) for _ in range(60)]
+    rows = [(k, " ".join(w for p in rng.sample(pool, 4) for w in p)) for k in range(400)]
+    got, homes, visits = seats(spark, monkeypatch, rows, 16)
+    assert got == lowest(rows) and homes == 400 and visits <= 400
