@@ -2,8 +2,10 @@
 
 Rows of a group are cut into balls around some of them. What the triangle inequality says about two balls decides whether their rows meet at all: for core
 distances a row visits only balls that reach into its present radius; for the tree two balls meet only if an edge between them could be lighter than the
-path that already joins them. Equal vectors count as one, with their number. A tree of more than BAND edges is cut into clusters band by band of its
-heights, from below, so that no task holds a whole large group.
+path that already joins them. Where vectors have no clusters all balls meet: then a task takes two stretches of balls at once, multiplies their vectors as
+matrices and keeps what can matter alone, the nearest rows and a forest, so what is shuffled grows as rows times stretches and never as pairs. Equal
+vectors count as one, with their number. A tree of more than BAND edges is cut into clusters band by band of its heights, from below, so that no task
+holds a whole large group.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from curatrix.session import large, written
 BLOCK, CENTERS = 1024, 4
 #: Balls of neighbouring numbers meet others in one task: a ball's number less this many bits (8 centers, about 2 * BLOCK rows).
 NEAR = 28
-#: Tree edges that one task cuts into clusters.
-BAND = 1 << 20
+#: Balls next to each other form stretches of at most about SPAN rows; a task meets two of them. Groups of a few thousand rows have up to SPREAD stretches.
+SPAN, SPREAD = 1 << 15, 4
+#: Rows a task places into balls; bytes of vectors in a packed row; rows that a ball meets in one product; edges a task collects before it folds them.
+PLACED, PACK, MEET, FOLD = 1 << 14, 1 << 17, 1 << 11, 1 << 20
+#: Rows whose tree one task builds and cuts into clusters.
+BAND = 1 << 18
 #: Digits of distances that are compared.
 DIGITS = 9
 
@@ -35,8 +41,8 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _slices(n: int, width: int) -> Iterator[slice]:
-    """Runs of rows whose distances to `width` others fit in about 16 MB."""
-    step = max(1, (1 << 21) // max(1, width))
+    """Runs of rows whose distances to `width` others fit in about 8 MB."""
+    step = max(1, (1 << 20) // max(1, width))
     return (slice(i, i + step) for i in range(0, n, step))
 
 
@@ -48,6 +54,136 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def _squares(x: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Factors (left, right) whose products are squared distances, and how far such a product may be off, for rows about as far from `shift` as these."""
+    y = x - shift
+    n = (y**2).sum(1)
+    one = np.ones(len(y))
+    return np.column_stack([y, n, one]), np.column_stack([-2 * y, one, n]), 4e-15 * (y.shape[1] + 8) * float(np.nanmax(n, initial=0.0))
+
+
+def _below(h: np.ndarray, slack: float) -> np.ndarray:
+    """Squares up to which a rounded distance may be as small as h."""
+    return (h + 2 * 10.0**-DIGITS) ** 2 + slack
+
+
+def _between(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Rounded distances of rows i to rows j."""
+    parts = [np.round(np.sqrt(((v[i[s]] - v[j[s]]) ** 2).sum(1)), DIGITS) for s in _slices(len(i), v.shape[1])]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _first_of_each(key: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key, then by the others; place of each among those of its key)."""
+    order = np.lexsort((*by[::-1], key))
+    k = key[order]
+    new = np.append(True, k[1:] != k[:-1])[: len(k)]
+    start = np.flatnonzero(new)
+    return order, np.arange(len(k)) - np.repeat(start, np.diff(np.append(start, len(k))))
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Edges, in order of (w, a, b), of the minimum spanning forest over points 0 .. n - 1 that takes edges in that order; a < b. Boruvka's rounds."""
+    order = np.lexsort((b, a, w))
+    x, y, live = a[order], b[order], np.arange(len(order))
+    root, kept = np.arange(n), []
+    while True:
+        rx, ry = root[x[live]], root[y[live]]
+        apart = rx != ry
+        live, rx, ry = live[apart], rx[apart], ry[apart]
+        if not len(live):
+            break
+        one, two = np.full(n, len(order)), np.full(n, len(order))
+        one[rx[::-1]], two[ry[::-1]] = live[::-1], live[::-1]  # the last value given stays: the lightest
+        best = np.minimum(one, two)
+        has = np.flatnonzero(best < len(order))
+        pick = best[has]
+        kept.append(np.unique(pick))
+        to = np.arange(n)
+        to[has] = root[x[pick]] + root[y[pick]] - has
+        twice = to[to] == np.arange(n)  # two that chose each other: the smaller stays
+        to[twice & (np.arange(n) < to)] = np.flatnonzero(twice & (np.arange(n) < to))
+        while len(np.flatnonzero(to[to] != to)):
+            to = to[to]
+        root = to[root]
+    return order[np.sort(np.concatenate(kept))] if kept else order[:0]
+
+
+def heights(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, hub: int) -> np.ndarray:
+    """The heaviest edge of a tree on the way from each point to the hub; infinite without a way."""
+    ends, others, edge = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+    order = np.argsort(ends, kind="stable")
+    others, edge, stop = others[order], edge[order], np.cumsum(np.bincount(ends, minlength=n))
+    h, seen, at = np.full(n, np.inf), np.zeros(n, bool), np.array([hub])
+    h[hub], seen[hub] = 0.0, True
+    while len(at):
+        many = stop[at] - np.where(at > 0, stop[at - 1], 0)
+        e = np.arange(many.sum()) + np.repeat(stop[at] - np.cumsum(many), many)
+        up, e = np.repeat(h[at], many)[fresh := ~seen[others[e]]], e[fresh]
+        at = others[e]
+        h[at], seen[at] = np.maximum(up, edge[e]), True
+    return h
+
+
+def heart(n: int, a: np.ndarray, b: np.ndarray) -> int:
+    """The point one comes to from the top of a tree, given in order of height, by always going to the part of more points: most points join it low."""
+    head, size = list(range(n)), [1] * n
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        while head[x] != x:
+            head[x] = x = head[head[x]]
+        while head[y] != y:
+            head[y] = y = head[head[y]]
+        if size[x] < size[y]:
+            x, y = y, x
+        head[y] = x
+        size[x] += size[y]
+    return max(range(n), key=lambda i: size[i] if head[i] == i else 0)
+
+
+def _tasks(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys of tasks whose work is much for their bytes, so Spark doesn't put several into one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _packs(pdf: pd.DataFrame, v: np.ndarray, **columns) -> pd.DataFrame:
+    """Rows of a ball as a few packed ones; numbers as bytes."""
+    step = max(1, PACK // max(1, v.shape[1] * 8))
+    cuts = [slice(i, i + step) for i in range(0, len(v), step)]
+    made = {"part": range(len(cuts)), "a": [pdf["a"].to_numpy()[c] for c in cuts], "v": [v[c].tobytes() for c in cuts]}
+    return pd.DataFrame(made | {k: [np.ascontiguousarray(x[c]).tobytes() for c in cuts] for k, x in columns.items()})
+
+
+class _Stretch:
+    """The rows of packed balls, one ball after the other."""
+
+    def __init__(self, packs: pd.DataFrame, **columns):
+        packs = packs.sort_values(["cell", "part"])
+        self.a = np.concatenate(packs["a"].to_numpy())
+        joined = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in packs[c]])
+        self.v = joined("v", float).reshape(len(self.a), -1)
+        for c, kind in columns.items():
+            setattr(self, c, joined(c, kind))
+        n = packs["a"].map(len).groupby(packs["cell"], sort=True).sum()
+        stop = np.cumsum(n.to_numpy())
+        self.at = {int(c): slice(int(e - k), int(e)) for c, k, e in zip(n.index, n, stop, strict=True)}
+        self.left, self.right, self.slack = _squares(self.v, self.v[0])
+
+    def ball(self, cell: int) -> tuple[np.ndarray, float]:
+        """A ball around its rows' mean."""
+        v = self.v[self.at[cell]]
+        c = v.mean(0)
+        return c, float(np.sqrt(((v - c) ** 2).sum(1)).max())
+
+    def runs(self, cells: list[int]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Balls in turn, as many at once as make MEET rows: (their places in `cells`, their rows)."""
+        some, rows = [], 0
+        for k, c in enumerate(cells):
+            some, rows = [*some, k], rows + self.at[c].stop - self.at[c].start
+            if rows >= MEET or k == len(cells) - 1:
+                yield some, np.concatenate([np.arange(self.at[cells[i]].start, self.at[cells[i]].stop) for i in some])
+                some, rows = [], 0
+
+
 def _lowest(rows: DataFrame, group: str, counts: DataFrame) -> DataFrame:
     """The rows of lowest hash of each group, as many as counts (_g, _m) says; ranked in buckets before all at once."""
     r = rows.join(counts, F.col(group) == F.col("_g")).withColumn("_h", F.xxhash64("a"))
@@ -60,19 +196,21 @@ def into_balls(rows: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
     """rows (a, group, v and whatever else) plus cell (a number in the group), center, far (distance to it). Each row belongs to the nearest of CENTERS * rows /
     block centers, which are rows themselves; large balls are parted, all parts keep their center."""
     kinds = dict(rows.dtypes)
-    sizes = written(rows.groupBy(F.col(group).alias("_g")).agg(F.ceil(CENTERS * F.count("*") / block).cast("int").alias("_m")), "sizes")
-    packed = _lowest(rows.select("a", group, "v"), group, sizes).groupBy(F.col(group).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_j", "_c"))).alias("_centers"))
-    seats = packed.join(sizes, "_g").select("_g", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_b"), "_centers")
+    sizes = written(rows.groupBy(F.col(group).alias("_g")).agg(F.ceil(CENTERS * F.count("*") / block).cast("int").alias("_m"), F.ceil(F.count("*") / PLACED).cast("int").alias("_blocks")), "sizes")
+    packed = _lowest(rows.select("a", group, "v"), group, sizes.select("_g", "_m")).groupBy(F.col(group).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_j", "_c"))).alias("_centers"))
+    seats = packed.join(sizes, "_g").select("_g", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), "_centers")
     out = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", _j int, far double"
 
     def place(mine: pd.DataFrame, seat: pd.DataFrame) -> pd.DataFrame:
         if not len(mine):
             return _empty(_names(out))
         c, v = np.array([x["_c"] for x in seat["_centers"].iloc[0]]), np.stack(mine["v"].to_numpy())
-        near = [(d.argmin(1), d.min(1)) for d in (_apart(v[s], c) for s in _slices(len(v), c.size))]
-        return mine.drop(columns="_block").assign(_j=np.concatenate([x[0] for x in near]), far=np.concatenate([x[1] for x in near]))
+        right = _squares(c, c[0])[1]
+        near = np.concatenate([(_squares(v[s], c[0])[0] @ right.T).argmin(1) for s in _slices(len(v), len(c) + v.shape[1])])
+        far = np.concatenate([np.round(np.sqrt(((v[s] - c[near[s]]) ** 2).sum(1)), DIGITS) for s in _slices(len(v), v.shape[1])])
+        return mine.drop(columns="_block").assign(_j=near, far=far)
 
-    placed = rows.join(sizes, F.col(group) == F.col("_g")).withColumn("_block", F.pmod(F.xxhash64("a", F.lit(3)), "_m").cast("int")).drop("_g", "_m")
+    placed = rows.join(sizes, F.col(group) == F.col("_g")).withColumn("_block", F.pmod(F.xxhash64("a", F.lit(3)), "_blocks").cast("int")).drop("_g", "_m", "_blocks")
     placed = written(placed.groupBy(group, "_block").cogroup(seats.groupBy("_g", "_b")).applyInPandas(place, out), "placed")
     # a few far rows would make a ball wide, so they are a ball of their own
     half = placed.groupBy(F.col(group).alias("_g"), F.col("_j").alias("_k")).agg(F.percentile_approx("far", 0.5).alias("_half"))
@@ -101,99 +239,168 @@ def _by_cells(cells: DataFrame, group: str, out: str, work, stride: int = 256) -
     return seats.groupBy("_g", "_s").applyInPandas(run, f"{group} {dict(cells.dtypes)[group]}, {out}")
 
 
+def _in_order(cells: DataFrame, links: DataFrame, group: str) -> DataFrame:
+    """cells (group, cell, m: rows, and more) in the order of _separators by links (_g, lo, hi, w), plus pos, gap to the next and u, the stretch a ball lies
+    in. One task a group, one row a ball and link."""
+    out = ", ".join(f"{c} {t}" for c, t in cells.dtypes) + ", pos int, gap double, u int"
+
+    def run(pdf: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return _empty(_names(out))
+        pdf = pdf.sort_values("cell").reset_index(drop=True)
+        order, gap = _separators(pdf["cell"].to_numpy(), list(zip(links["lo"].tolist(), links["hi"].tolist(), links["w"].tolist(), strict=True)))
+        pdf = pdf.iloc[order]
+        return pdf.assign(pos=np.arange(len(order)), gap=np.append(gap, np.inf), u=_numbered(pdf["m"].to_numpy()))[_names(out)]
+
+    return cells.groupBy(group).cogroup(links.groupBy("_g")).applyInPandas(run, out)
+
+
+def _numbered(m: np.ndarray) -> np.ndarray:
+    """Stretches of balls of m rows each, in order."""
+    n = int(m.sum())
+    many = max(min(SPREAD, -(-n // (4 * BLOCK))), -(-n // SPAN))
+    return (np.cumsum(m) - m) // -(-n // many)
+
+
+def _met(packs: DataFrame, cells: DataFrame, todo: DataFrame, group: str, work, out: str) -> DataFrame:
+    """work(packed balls of two stretches, todo between them) for each pair of stretches x <= y of todo (group, x, y and more); cells (group, cell, u)."""
+    ends = todo.select(F.col(group).alias("_g"), "x", "y").distinct().select("_g", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("_u"))
+    seats = large(cells.select(F.col(group).alias("_cg"), F.col("cell").alias("_c"), "u").join(ends, (F.col("_cg") == F.col("_g")) & (F.col("u") == F.col("_u"))).select("_g", "_c", "x", "y"))
+    seats = packs.join(seats, (F.col(group) == F.col("_g")) & (F.col("cell") == F.col("_c"))).drop("_g", "_c")
+    todo = todo.select(F.col(group).alias("_g"), F.col("x").alias("_x"), F.col("y").alias("_y"), *[c for c in todo.columns if c not in (group, "x", "y")])
+    return _tasks(seats, group, "x", "y").groupBy(group, "x", "y").cogroup(_tasks(todo, "_g", "_x", "_y").groupBy("_g", "_x", "_y")).applyInPandas(work, out)
+
+
 def core_distances(rows: DataFrame, group: str, need: int, block: int = BLOCK) -> DataFrame:
     """rows (a, group, v, n: how many equal ones there are), in balls, plus core: the distance to the need-th other row of the group, n of a row counted; to
-    the farthest if there are fewer, 0 if there is none. Exact: a row first looks into its own ball, then into the others that its radius so far reaches."""
+    the farthest if there are fewer, 0 if there is none; and the nearest rows (near, apart: their distances), need + 2 of them. Exact: a row first looks into
+    its own ball, then into the others that its radius so far reaches."""
     balls = into_balls(rows, group, block)
-    kinds = dict(balls.dtypes)
-    near = "array<struct<d:double,n:long>>"
-
-    def nearest(d: np.ndarray, n: np.ndarray) -> list[list[dict]]:
-        """The need nearest of each row, with their numbers."""
-        k = min(need, d.shape[1])
-        at = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(d), 0), int)
-        return [[{"d": float(x), "n": int(m)} for x, m in zip(dr, nr, strict=True) if np.isfinite(x)] for dr, nr in zip(np.take_along_axis(d, at, 1), n[at], strict=True)]
-
-    def radius(found: list[dict], own: int) -> float:
-        seen = own - 1
-        if seen >= need:
-            return 0.0
-        for x in sorted(found, key=lambda x: x["d"]):
-            seen += x["n"]
-            if seen >= need:
-                return x["d"]
-        return float("inf")
-
-    first = f"{group} {kinds[group]}, cell long, a {kinds['a']}, near {near}, reach double"
+    kinds, keep = dict(balls.dtypes), need + 2
+    pack = f"{group} {kinds[group]}, cell long, reach double, center array<double>, part int, a array<{kinds['a']}>, v binary, n binary, far binary, d binary, at binary"
 
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, n, found = np.stack(pdf["v"].to_numpy()), pdf["n"].to_numpy(), []
-        for s in _slices(len(v), v.size):
+        pdf = pdf.sort_values("a")
+        v = np.stack(pdf["v"].to_numpy())
+        near, at = np.full((len(v), keep), np.inf), np.full((len(v), keep), -1, np.int32)
+        k = min(keep, len(v) - 1)
+        for s in _slices(len(v), v.size) if k else ():
             d = _apart(v[s], v)
             d[np.arange(len(d)), np.arange(len(v))[s]] = np.inf
-            found += nearest(d, n)
-        return pd.DataFrame({group: pdf[group].iloc[0], "cell": pdf["cell"].iloc[0], "a": pdf["a"], "near": found, "reach": [radius(f, m) for f, m in zip(found, n, strict=True)]})
-
-    home = written(balls.groupBy(group, "cell").applyInPandas(at_home, first), "home")
-    reach = home.groupBy(F.col(group).alias("_g"), F.col("cell").alias("_c")).agg(F.max("reach").alias("reach"))
-    cells = balls.groupBy(group, "cell").agg(F.first("center").alias("center"), F.max("far").alias("far"))
-    cells = written(cells.join(reach, (F.col(group) == F.col("_g")) & (F.col("cell") == F.col("_c"))).select(group, "cell", "center", "far", "reach"), "cells")
+            some = np.argpartition(d, k - 1, axis=1)[:, :k]
+            found = np.take_along_axis(d, some, 1)
+            near[s, :k], at[s, :k] = found, np.where(np.isfinite(found), some, -1)
+        made = _packs(pdf, v, n=pdf["n"].to_numpy().astype(np.int64), far=pdf["far"].to_numpy(), d=near, at=at)
+        return made.assign(**{group: pdf[group].iloc[0], "cell": pdf["cell"].iloc[0], "reach": near.max(), "center": [pdf["center"].iloc[0]] * len(made)})[_names(pack)]
+
+    home = written(balls.groupBy(group, "cell").applyInPandas(at_home, pack), "home")
+    cells = balls.groupBy(group, "cell").agg(F.first("center").alias("center"), F.max("far").alias("far"), F.count("*").alias("m"))
+    reach = home.filter("part = 0").select(F.col(group).alias("_g"), F.col("cell").alias("_c"), "reach")
+    cells = cells.join(reach, (F.col(group) == F.col("_g")) & (F.col("cell") == F.col("_c"))).select(group, "cell", "center", "far", "reach", "m")
+    cells = written(cells, "cells")
+    cells = written(_in_order(cells, _center_tree(cells, group).withColumnRenamed(group, "_g"), group), "stretches")
 
     def reached(own: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
-        d = _apart(np.stack(own["center"].to_numpy()), np.stack(every["center"].to_numpy())) - own["far"].to_numpy()[:, None] - every["far"].to_numpy()
+        one, two = np.stack(own["center"].to_numpy()), np.stack(every["center"].to_numpy())
+        d = np.concatenate([_apart(one[s], two) for s in _slices(len(one), two.size)]) - own["far"].to_numpy()[:, None] - every["far"].to_numpy()
         i, j = np.nonzero((d - 1e-6 < own["reach"].to_numpy()[:, None]) & (own["cell"].to_numpy()[:, None] != every["cell"].to_numpy()))
-        return pd.DataFrame({"cell": own["cell"].to_numpy()[i], "to": every["cell"].to_numpy()[j], "center": every["center"].to_numpy()[j], "far": every["far"].to_numpy()[j]})
-
-    hops = _by_cells(cells, group, "cell long, to long, center array<double>, far double", reached).withColumnRenamed(group, "_g").withColumnRenamed("cell", "_c")
-    able = balls.select(group, "cell", "a", "v").join(large(home.select(F.col("a").alias("_a"), F.col(group).alias("_ag"), "reach")), (F.col("a") == F.col("_a")) & (F.col(group) == F.col("_ag"))).drop("_a", "_ag")
-    visit = f"_g {kinds[group]}, _u long, a {kinds['a']}, v array<double>, cells array<long>"
-
-    def visits(mine: pd.DataFrame, to: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(to):
-            return _empty(_names(visit))
-        v, reach, cell = np.stack(mine["v"].to_numpy()), mine["reach"].to_numpy(), to["to"].to_numpy()
-        d = np.concatenate([_apart(v[s], np.stack(to["center"].to_numpy())) for s in _slices(len(v), v.shape[1] * len(to))]) - to["far"].to_numpy()
-        i, j = np.nonzero(d - 1e-6 < reach[:, None])
-        if not len(i):
-            return _empty(_names(visit))
-        made = pd.DataFrame({"i": i, "_u": cell[j] >> NEAR, "cells": cell[j]}).groupby(["i", "_u"])["cells"].agg(list).reset_index()
-        return pd.DataFrame({"_g": mine[group].iloc[0], "_u": made["_u"], "a": mine["a"].to_numpy()[made["i"]], "v": mine["v"].to_numpy()[made["i"]], "cells": made["cells"]})
-
-    guests = able.groupBy(group, "cell").cogroup(hops.groupBy("_g", "_c")).applyInPandas(visits, visit)
-    seen = f"{group} {kinds[group]}, a {kinds['a']}, near {near}"
-
-    def look(mine: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(guest):
-            return _empty(_names(seen))
-        w, out = np.stack(guest["v"].to_numpy()), []
-        asked = pd.DataFrame({"k": np.repeat(np.arange(len(guest)), guest["cells"].map(len)), "cell": np.concatenate(guest["cells"].to_numpy())}).groupby("cell")["k"].agg(list)
-        for cell, home in mine.groupby("cell"):
-            who = np.array(asked.get(cell, []), int)
-            v, n = np.stack(home["v"].to_numpy()), home["n"].to_numpy()
-            out += [(k, x) for s in _slices(len(who), v.size) for k, x in zip(who[s], nearest(_apart(w[who[s]], v), n), strict=True)]
-        if not out:
-            return _empty(_names(seen))
-        at = [k for k, _ in out]
-        return pd.DataFrame({group: mine[group].iloc[0], "a": guest["a"].to_numpy()[at], "near": [x for _, x in out]})
+        x, y = own["u"].to_numpy()[i], every["u"].to_numpy()[j]
+        return pd.DataFrame({"cell": own["cell"].to_numpy()[i], "to": every["cell"].to_numpy()[j], "x": np.minimum(x, y), "y": np.maximum(x, y)})
 
-    homes = balls.select(group, "cell", "a", "v", "n").withColumn("_u", F.shiftright("cell", NEAR))
-    away = homes.groupBy(group, "_u").cogroup(guests.groupBy("_g", "_u")).applyInPandas(look, seen)
-    all_near = home.select(group, "a", "near").unionByName(away).select(group, "a", F.explode("near").alias("x")).groupBy(F.col(group).alias("_g"), F.col("a").alias("_a")).agg(F.array_sort(F.collect_list("x")).alias("_x"))
-    upto = F.aggregate("_x", F.struct((F.col("n") - 1).alias("seen"), F.when(F.col("n") > need, 0.0).cast("double").alias("core")), lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when(s["seen"] >= need, s["core"]).otherwise(x["d"]).alias("core")))
-    out = balls.join(large(all_near), (F.col("a") == F.col("_a")) & (F.col(group) == F.col("_g")), "left").withColumn("core", F.coalesce(upto["core"], F.lit(0.0)))
-    return written(out.select(*balls.columns, "core"), "cores")
+    hops = written(_by_cells(cells, group, "cell long, to long, x int, y int", reached), "hops")
+    seen = f"{group} {kinds[group]}, cell long, i binary, d binary, n binary, b array<{kinds['a']}>"
+
+    def look(packs: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        if not len(packs) or not len(todo):
+            return _empty(_names(seen))
+        s, out = _Stretch(packs, n=np.int64, d=float), []
+        near = s.d.reshape(-1, keep)
+        near.sort(axis=1)
+        ball = {c: s.ball(c) for c in s.at}
+        for cell, to in todo.groupby("cell")["to"]:
+            own = np.arange(s.at[cell].start, s.at[cell].stop)
+            to = to.to_numpy()
+            centers, far = np.stack([ball[c][0] for c in to]), np.array([ball[c][1] for c in to])
+            first = np.argsort(((centers - ball[cell][0]) ** 2).sum(1), kind="stable")
+            to, far = to[first].tolist(), far[first]
+            spots = _squares(centers[first], s.v[0])
+            least = np.sqrt(np.maximum(s.left[own] @ spots[1].T - s.slack - spots[2], 0)) - far - 1e-6
+            best, what = near[own], np.full((len(own), keep), -1)
+            for places, rows in s.runs(to):
+                who = np.flatnonzero((least[:, places] < best[:, -1:]).any(1))
+                if not len(who):
+                    continue
+                r, c = [], []
+                for part in _slices(len(who), len(rows)):
+                    w = who[part]
+                    d = s.left[own[w]] @ s.right[rows].T
+                    close = d <= _below(best[w, -1], s.slack)[:, None]
+                    if np.count_nonzero(close) > 4 * keep * len(w) and len(rows) > keep:
+                        close &= d <= _below(np.sqrt(np.maximum(np.partition(d, keep - 1, axis=1)[:, keep - 1], 0)), 2 * s.slack)[:, None]
+                    i, j = np.nonzero(close)
+                    r.append(w[i])
+                    c.append(rows[j])
+                r, c = np.concatenate(r), np.concatenate(c)
+                if not len(r):
+                    continue
+                d = _between(s.v, own[r], c)
+                hit = np.unique(r)
+                key = np.concatenate([np.repeat(hit, keep), r])
+                d, c = np.concatenate([best[hit].ravel(), d]), np.concatenate([what[hit].ravel(), c])
+                order, place = _first_of_each(key, d)
+                order, place = order[place < keep], place[place < keep]
+                best[key[order], place], what[key[order], place] = d[order], c[order]
+            r, k = np.nonzero((what >= 0) & np.isfinite(best))
+            if len(r):
+                c = what[r, k]
+                out.append((cell, r.astype(np.int32).tobytes(), best[r, k].tobytes(), s.n[c].tobytes(), s.a[c]))
+        return pd.DataFrame([(packs[group].iloc[0], *x) for x in out], columns=_names(seen)) if out else _empty(_names(seen))
+
+    found = _met(home.select(group, "cell", "part", "a", "v", "n", "d"), cells, hops, group, look, seen)
+    done = f"a {kinds['a']}, {group} {kinds[group]}, v array<double>, n long, cell long, center array<double>, far double, core double, near array<{kinds['a']}>, apart array<double>"
+
+    def settled(packs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(packs):
+            return _empty(_names(done))
+        packs = packs.sort_values("part")
+        a = np.concatenate(packs["a"].to_numpy())
+        joined = lambda frame, c, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in frame[c]]])
+        n, at = joined(packs, "n", np.int64), joined(packs, "at", np.int32)
+        here = at >= 0
+        r = np.concatenate([np.repeat(np.arange(len(a)), keep)[here], joined(found, "i", np.int32)])
+        d = np.concatenate([joined(packs, "d", float)[here], joined(found, "d", float)])
+        many = np.concatenate([n[at[here]], joined(found, "n", np.int64)])
+        b = np.concatenate([a[at[here]], *found["b"].to_numpy()])
+        order, place = _first_of_each(r, d, b)
+        order, place = order[place < keep], place[place < keep]
+        r = r[order]
+        near, count = np.full((len(a), keep), np.inf), np.zeros((len(a), keep), np.int64)
+        near[r, place], count[r, place] = d[order], many[order]
+        reached = (n - 1)[:, None] + np.cumsum(count, 1) >= need
+        size = np.bincount(r, minlength=len(a))
+        last = np.where(reached.any(1), reached.argmax(1), size - 1)
+        core = np.where((n - 1 >= need) | (size == 0), 0.0, near[np.arange(len(a)), last])
+        stop = np.cumsum(size)[:-1]
+        v = joined(packs, "v", float).reshape(len(a), -1)
+        made = {"a": a, group: packs[group].iloc[0], "v": list(v), "n": n, "cell": packs["cell"].iloc[0], "center": [packs["center"].iloc[0]] * len(a), "far": joined(packs, "far", float), "core": core}
+        return pd.DataFrame(made | {"near": np.split(b[order], stop), "apart": np.split(d[order], stop)})[_names(done)]
+
+    found = found.withColumnRenamed(group, "_g").withColumnRenamed("cell", "_c")
+    return written(home.groupBy(group, "cell").cogroup(found.groupBy("_g", "_c")).applyInPandas(settled, done), "cores")
 
 
 def prim(v: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Edges (i, j, w) of a minimum spanning tree of mutual reachability: the greatest of two cores and the distance."""
+    """Edges (i, j, w) of a minimum spanning tree of mutual reachability: the greatest of two cores and the distance. Of equal ones those with the lower ends."""
     n = len(v)
     best, near, todo, at, out = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool), 0, []
     for _ in range(n - 1):
         todo[at] = False
         w = np.maximum(np.maximum(np.round(np.sqrt(((v - v[at]) ** 2).sum(1)), DIGITS), core), core[at])
-        closer = todo & (w < best)
+        closer = todo & ((w < best) | ((w == best) & (at < near)))
         best[closer], near[closer] = w[closer], at
-        at = int(np.where(todo, best, np.inf).argmin())
+        left = np.where(todo, best, np.inf)
+        same = np.flatnonzero((left == left.min()) & todo)
+        at = int(same[np.lexsort((np.maximum(same, near[same]), np.minimum(same, near[same])))[0]] if len(same) > 1 else same[0])
         out.append((near[at], at, best[at]))
     return np.array(out, float).reshape(-1, 3)
 
@@ -225,16 +432,15 @@ def _pair_trees(balls: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
 
 
 def _center_tree(cells: DataFrame, group: str) -> DataFrame:
-    """(group, lo, hi): pairs of cells along a spanning tree of a group's centers. One task a group sees its centers, one for about BLOCK rows."""
+    """(group, lo, hi, w): pairs of cells along a spanning tree of a group's centers. One task a group sees its centers, one for about BLOCK rows."""
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell")
-        e = prim(np.stack(pdf["center"].to_numpy()), np.zeros(len(pdf)))[:, :2].astype(int)
-        c = pdf["cell"].to_numpy()
-        ends = np.sort(np.stack([c[e[:, 0]], c[e[:, 1]]], 1), axis=1)
-        return pd.DataFrame({group: pdf[group].iloc[0], "lo": ends[:, 0], "hi": ends[:, 1]})
+        e = prim(np.stack(pdf["center"].to_numpy()), np.zeros(len(pdf)))
+        c, i, j = pdf["cell"].to_numpy(), e[:, 0].astype(int), e[:, 1].astype(int)
+        return pd.DataFrame({group: pdf[group].iloc[0], "lo": np.minimum(c[i], c[j]), "hi": np.maximum(c[i], c[j]), "w": e[:, 2]})
 
-    return cells.select(group, "cell", "center").groupBy(group).applyInPandas(tree, f"{group} {dict(cells.dtypes)[group]}, lo long, hi long")
+    return cells.select(group, "cell", "center").groupBy(group).applyInPandas(tree, f"{group} {dict(cells.dtypes)[group]}, lo long, hi long, w double")
 
 
 def _separators(cells: np.ndarray, edges: list[tuple[int, int, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,58 +472,155 @@ def _separators(cells: np.ndarray, edges: list[tuple[int, int, float]]) -> tuple
 
 
 def tree_edges(rows: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
-    """rows (a, group, v, core) -> (group, a, b, w): edges that hold a minimum spanning tree of each group's mutual-reachability graph.
+    """rows (a, group, v, core) -> (group, a, b, w): edges that hold a minimum spanning tree of each group's mutual-reachability graph, the one that takes
+    equal edges in order of their ends.
 
-    Each ball gives its own tree, and balls that are neighbours along a tree of centers give trees of their rows together. Then two balls are joined at some
-    height by edges that are there; if no row of one can be nearer to a row of the other than that, by their centers, radii and least cores, each edge
-    between them would close a circle as its heaviest edge, and they need not meet. All other pairs of balls give trees too.
+    Each ball gives its own tree, and balls that are neighbours along a tree of centers give trees of their rows together; with the nearest rows of each row
+    they hold a tree that is nearly the one looked for. Two balls are joined at some height by its edges; if no row of one can be nearer to a row of the
+    other than that, by their centers, radii and least cores, each edge between them would close a circle as its heaviest edge, and they need not meet. All
+    other pairs of balls meet, and of their rows those pairs that are no farther than the tree's way between them; a task folds these into a forest.
     """
     balls = rows if "cell" in rows.columns else into_balls(rows, group, block)
     edges, _ = _tree(balls, group)
     return edges
 
 
-def _tree(balls: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, pairs of cells that met: group, lo, hi)."""
-    cells = balls.groupBy(group, "cell").agg(F.first("center").alias("center"), F.max("far").alias("far"), F.min("core").alias("low"))
+def _grown(balls: DataFrame, first: DataFrame, few: DataFrame, group: str) -> DataFrame:
+    """(group, a, b, w, one, two, h) of the groups in few (_g): the minimum spanning tree of the edges of `first` and those to the nearest rows, and a row
+    for each row a (b is null) with the tree's greatest height on its way to one row, amid most others. One task a group, which holds no vectors."""
+    kinds = dict(balls.dtypes)
+    out = f"{group} {kinds[group]}, a {kinds['a']}, b {kinds['a']}, w double, one long, two long, h double"
+    lists = ["near", "apart"] if "near" in balls.columns else []
+
+    def grow(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("a")
+        a, core, cell = rows["a"].to_numpy(), rows["core"].to_numpy(), rows["cell"].to_numpy()
+        i, j, w = np.searchsorted(a, edges["a"].to_numpy()), np.searchsorted(a, edges["b"].to_numpy()), edges["w"].to_numpy()
+        if lists:
+            at = np.repeat(np.arange(len(a)), rows["near"].map(len))
+            to = np.searchsorted(a, np.concatenate(rows["near"].to_numpy()))
+            d = np.concatenate(rows["apart"].to_numpy())
+            i, j, w = np.append(i, at), np.append(j, to), np.append(w, np.maximum(d, np.maximum(core[at], core[to])))
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        kept = forest(len(a), i, j, w)
+        i, j, w = i[kept], j[kept], w[kept]
+        h = heights(len(a), i, j, w, heart(len(a), i, j))
+        tree = pd.DataFrame({"a": a[i], "b": a[j], "w": w, "one": cell[i], "two": cell[j]})
+        points = pd.DataFrame({"a": a, "one": cell, "h": h})
+        return pd.concat([tree, points.assign(b=None)]).assign(**{group: rows[group].iloc[0]}).astype({"one": "Int64", "two": "Int64"})[_names(out)]
+
+    rows = balls.select(group, "a", "core", "cell", *lists).join(few, F.col(group) == F.col("_g"), "left_semi")
+    edges = first.select(F.col(group).alias("_eg"), "a", "b", "w").join(few, F.col("_eg") == F.col("_g"), "left_semi")
+    return rows.groupBy(group).cogroup(edges.groupBy("_eg")).applyInPandas(grow, out)
+
+
+def _tree(balls: DataFrame, group: str, band: int = BAND) -> tuple[DataFrame, DataFrame]:
+    """(edges, pairs of cells that met: group, lo, hi). Groups of more than `band` rows go without the tree of nearest rows."""
+    cells = balls.groupBy(group, "cell").agg(F.first("center").alias("center"), F.max("far").alias("far"), F.min("core").alias("low"), F.count("*").alias("m"))
     cells = written(cells, "cells")
+    few = cells.groupBy(F.col(group).alias("_g")).agg(F.sum("m").alias("_m")).filter(F.col("_m") <= band).select("_g")
     alone = cells.select(group, F.col("cell").alias("lo"), F.col("cell").alias("hi"))
-    along = written(_center_tree(cells, group), "along")
+    along = written(_center_tree(cells, group).select(group, "lo", "hi"), "along")
     first = written(_pair_trees(balls, alone.unionByName(along), group), "trees")
+    grown = written(_grown(balls, first, few, group).unionByName(first.join(few, F.col(group) == F.col("_g"), "left_anti"), allowMissingColumns=True), "grown")
+    start = grown.filter("b is not null")
     inside = first.filter("one = two").groupBy(F.col(group).alias("_g"), F.col("one").alias("_c")).agg(F.max("w").alias("_h"))
-    heights = written(cells.select(group, "cell").join(inside, (F.col(group) == F.col("_g")) & (F.col("cell") == F.col("_c")), "left").select(group, "cell", F.coalesce("_h", F.lit(0.0)).alias("top")), "heights")
-    cross = first.filter("one <> two").groupBy(group, F.least("one", "two").alias("lo"), F.greatest("one", "two").alias("hi")).agg(F.min("w").alias("w"))
-    top = lambda c: heights.select(F.col(group).alias(f"_g{c}"), F.col("cell").alias(f"_c{c}"), F.col("top").alias(f"top_{c}"))
+    hub = grown.filter("b is null").groupBy(F.col(group).alias("_g2"), F.col("one").alias("_c2")).agg(F.max("h").alias("_h2"))
+    tops = cells.select(group, "cell").join(inside, (F.col(group) == F.col("_g")) & (F.col("cell") == F.col("_c")), "left").join(hub, (F.col(group) == F.col("_g2")) & (F.col("cell") == F.col("_c2")), "left")
+    tops = written(tops.select(group, "cell", F.least(F.coalesce("_h", F.lit(0.0)), "_h2").alias("top")), "heights")
+    cross = start.filter("one <> two").groupBy(group, F.least("one", "two").alias("lo"), F.greatest("one", "two").alias("hi")).agg(F.min("w").alias("w"))
+    top = lambda c: tops.select(F.col(group).alias(f"_g{c}"), F.col("cell").alias(f"_c{c}"), F.col("top").alias(f"top_{c}"))
     cross = cross.join(top("lo"), (F.col(group) == F.col("_glo")) & (F.col("lo") == F.col("_clo"))).join(top("hi"), (F.col(group) == F.col("_ghi")) & (F.col("hi") == F.col("_chi")))
-    links = cross.select(group, F.struct("lo", "hi", F.greatest("w", "top_lo", "top_hi").alias("w")).alias("e")).groupBy(F.col(group).alias("_g")).agg(F.collect_list("e").alias("links"))
-    made = cells.join(links, F.col(group) == F.col("_g"), "left").drop("_g")
-    numbered = made.groupBy(group).applyInPandas(_in_order(group), f"{group} {dict(cells.dtypes)[group]}, cell long, center array<double>, far double, low double, pos int, gap double")
+    links = cross.select(F.col(group).alias("_g"), "lo", "hi", F.greatest("w", "top_lo", "top_hi").alias("w"))
+    numbered = written(_in_order(cells, links, group).select(group, "pos", "cell", "center", "far", "low", "gap", "u"), "order")
     done = along.select(F.col(group).alias("_g"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    rest = _by_cells(written(numbered.select(group, "pos", "cell", "center", "far", "low", "gap"), "order"), group, "lo long, hi long", _open_pairs)
+    rest = _by_cells(numbered, group, "lo long, hi long, x int, y int, top double", _open_pairs)
     rest = written(rest.join(done, (F.col(group) == F.col("_g")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")), "left_anti"), "pairs")
-    edges = first.unionByName(_pair_trees(balls, rest, group)).select(group, "a", "b", "w")
-    return edges, along.unionByName(rest).unionByName(alone)
+    heard = grown.filter("b is null").select(F.col(group).alias("_g"), F.col("a").alias("_a"), "h")
+    rows = balls.select(group, "cell", "a", "v", "core").join(large(heard), (F.col(group) == F.col("_g")) & (F.col("a") == F.col("_a")), "left").drop("_g", "_a")
+    met = _met(_row_packs(rows, group), numbered.select(group, "cell", "u"), rest, group, *_meetings(dict(rows.dtypes), group))
+    ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = start.select(group, *ends, "w").unionByName(met.select(group, *ends, "w"))
+    return edges, along.unionByName(rest.select(group, "lo", "hi")).unionByName(alone)
 
 
-def _in_order(group: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell").reset_index(drop=True)
-        links = pdf["links"].iloc[0]
-        order, gap = _separators(pdf["cell"].to_numpy(), [(e["lo"], e["hi"], e["w"]) for e in links] if links is not None else [])
-        return pdf.iloc[order].drop(columns="links").assign(pos=np.arange(len(order)), gap=np.append(gap, np.inf))
+def _row_packs(rows: DataFrame, group: str) -> DataFrame:
+    kinds = dict(rows.dtypes)
+    out = f"{group} {kinds[group]}, cell long, part int, a array<{kinds['a']}>, v binary, core binary, h binary"
 
-    return run
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("a")
+        made = _packs(pdf, np.stack(pdf["v"].to_numpy()), core=pdf["core"].to_numpy(), h=pdf["h"].fillna(np.inf).to_numpy())
+        return made.assign(**{group: pdf[group].iloc[0], "cell": pdf["cell"].iloc[0]})[_names(out)]
+
+    return rows.groupBy(group, "cell").applyInPandas(pack, out)
+
+
+def _meetings(kinds: dict[str, str], group: str):
+    """(work, schema) for _met: a forest of the edges between balls that are no heavier than what joins their ends already. Rows are joined at the greater of
+    their ways to one row (h), and at `top` if that is known of their balls to be less."""
+    out = f"{group} {kinds[group]}, a {kinds['a']}, b {kinds['a']}, w double"
+
+    def meet(packs: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        if not len(packs) or not len(todo):
+            return _empty(_names(out))
+        s = _Stretch(packs, core=float, h=float)
+        turn = np.empty(len(s.a), np.int64)
+        turn[np.argsort(s.a, kind="stable")] = np.arange(len(s.a))
+        kept, held, full = [], 0, FOLD
+
+        def fold() -> None:
+            nonlocal kept, held, full
+            i, j, w = (np.concatenate([k[x] for k in kept]) for x in range(3))
+            e = forest(len(s.a), i, j, w)
+            kept, held = [(i[e], j[e], w[e])], len(e)
+            full = held + FOLD
+
+        for lo, to in todo.groupby("lo"):
+            own = np.arange(s.at[lo].start, s.at[lo].stop)
+            cells, tops = to["hi"].tolist(), to["top"].to_numpy()
+            mine = _below(s.h[own], s.slack)[:, None]
+            for places, rows in s.runs(cells):
+                tops_of = np.repeat(tops[places], [s.at[cells[k]].stop - s.at[cells[k]].start for k in places])
+                theirs, most = _below(s.h[rows], s.slack), _below(tops_of, s.slack)
+                for part in _slices(len(own), len(rows)):
+                    d = s.left[own[part]] @ s.right[rows].T
+                    close = d <= mine[part]
+                    close |= d <= theirs
+                    close &= d <= most
+                    r, c = np.nonzero(close)
+                    if not len(r):
+                        continue
+                    i, j, top = own[part][r], rows[c], tops_of[c]
+                    way = np.minimum(np.maximum(s.h[i], s.h[j]), top)
+                    able = np.maximum(s.core[i], s.core[j]) <= way
+                    i, j, way = i[able], j[able], way[able]
+                    w = np.maximum(np.maximum(_between(s.v, i, j), s.core[i]), s.core[j])
+                    able = w <= way
+                    i, j, w = turn[i[able]], turn[j[able]], w[able]
+                    kept.append((np.minimum(i, j), np.maximum(i, j), w))
+                    held += len(w)
+                    if held > full:
+                        fold()
+        if not held:
+            return _empty(_names(out))
+        fold()
+        a = np.sort(s.a)
+        return pd.DataFrame({group: packs[group].iloc[0], "a": a[kept[0][0]], "b": a[kept[0][1]], "w": kept[0][2]})
+
+    return meet, out
 
 
 def _open_pairs(own: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of cells, in order of pos, whose rows could be nearer than the height at which they are joined."""
-    c, far, low, gap, cell = np.stack(every["center"].to_numpy()), every["far"].to_numpy(), every["low"].to_numpy(), every["gap"].to_numpy(), every["cell"].to_numpy()
+    """Pairs of cells, in order of pos, whose rows could be as near as the height at which they are joined (top); and their stretches."""
+    c, far, low, gap, cell, u = np.stack(every["center"].to_numpy()), *(every[k].to_numpy() for k in ("far", "low", "gap", "cell", "u"))
     out = []
     for p in own["pos"].to_numpy():
         least = np.maximum(np.maximum(np.sqrt(((c[p + 1 :] - c[p]) ** 2).sum(1)) - far[p + 1 :] - far[p], low[p + 1 :]), low[p])
         joined = np.maximum.accumulate(gap[p:-1]) if len(gap) > p + 1 else np.zeros(0)
-        out += [(min(cell[p], x), max(cell[p], x)) for x in cell[p + 1 :][least - 1e-6 < joined]]
-    return pd.DataFrame(out, columns=["lo", "hi"], dtype=np.int64)
+        q = p + 1 + np.flatnonzero(least - 1e-6 < joined)
+        out.append(pd.DataFrame({"lo": np.minimum(cell[p], cell[q]), "hi": np.maximum(cell[p], cell[q]), "x": np.minimum(u[p], u[q]), "y": np.maximum(u[p], u[q]), "top": joined[q - p - 1]}))
+    return pd.concat(out)
 
 
 def condensed_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int) -> np.ndarray:
@@ -505,29 +808,33 @@ def density_modes(df: DataFrame, group: str, idx: str, ipc: int, vec: str = "emb
     rows = df.filter(F.col(vec).isNotNull() & F.col(group).isNotNull()).select(F.col(idx).alias("a"), group, F.transform(vec, lambda x: x.cast("double")).alias("v"))
     classes = written(rows.groupBy(group, "v").agg(F.min("a").alias("rep"), F.count("*").alias("n")), "classes")
     cores = core_distances(classes.select(F.col("rep").alias("a"), group, "v", "n"), group, max(1, min_samples - 1), block)
-    edges = tree_edges(cores, group)
+    edges = written(_tree(cores, group, band)[0], "tree")
     # equal rows hang on their first one, at its core
     same = rows.join(large(classes.filter("n > 1").withColumnRenamed(group, "_g").withColumnRenamed("v", "_v")), (F.col(group) == F.col("_g")) & (F.col("v") == F.col("_v")) & (F.col("a") != F.col("rep")))
     core = cores.select(F.col("a").alias("_r"), F.col(group).alias("_cg"), "core")
     hung = same.select(group, "a", "rep").join(large(core), (F.col("rep") == F.col("_r")) & (F.col(group) == F.col("_cg"))).select(group, F.col("rep").alias("a"), F.col("a").alias("b"), F.col("core").alias("w"))
-    forest = spanning_forest(edges, group).join(large(cores.select("a", group)), "a").select(group, "a", "b", "w")
-    mst = written(forest.unionByName(hung), "tree")
     sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
-    sizes = written(sizes.withColumn("least", F.least(F.lit(min_cluster_size), F.greatest(F.floor(F.col("_n") / ipc), F.lit(5))).cast("int")), "sizes")
-    nodes = rows.select("a", group).join(sizes, F.col(group) == F.col("_g")).select("a", group, "least", "_n")
-    few, many = nodes.filter(F.col("_n") <= band), nodes.filter(F.col("_n") > band)
-    both = mst.select(group, "a", "b", "w", F.lit(0).alias("least")).unionByName(few.select(group, "a", F.col("a").alias("b"), F.lit(-1.0).alias("w"), "least"))
-    both = both.join(sizes.filter(F.col("_n") <= band).select("_g"), F.col(group) == F.col("_g"), "left_semi")
+    sizes = sizes.join(edges.groupBy(F.col(group).alias("_eg")).agg(F.count("*").alias("_e")), F.col("_g") == F.col("_eg"), "left").drop("_eg")
+    many = (F.col("_n") > band) | (F.coalesce("_e", F.lit(0)) > 4 * max(band, FOLD))
+    sizes = written(sizes.select("_g", F.least(F.lit(min_cluster_size), F.greatest(F.floor(F.col("_n") / ipc), F.lit(5))).cast("int").alias("least"), many.alias("_many")), "sizes")
+    nodes = rows.select("a", group).join(sizes, F.col(group) == F.col("_g")).select("a", group, "least", "_many")
+    small, tall = sizes.filter("not _many").select("_g"), sizes.filter("_many").select("_g")
+    both = edges.unionByName(hung).join(small, F.col(group) == F.col("_g"), "left_semi").select(group, "a", "b", "w", F.lit(0).alias("least"))
+    both = both.unionByName(nodes.filter("not _many").select(group, "a", F.col("a").alias("b"), F.lit(-1.0).alias("w"), "least"))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["w"] < 0
         ids = np.sort(pdf.loc[own, "a"].to_numpy())
-        t = pdf[~own].sort_values(["w", "a", "b"])
-        labels = condensed_labels(len(ids), np.searchsorted(ids, t["a"]), np.searchsorted(ids, t["b"]), t["w"].to_numpy(), int(pdf["least"].max()))
+        t = pdf[~own]
+        a, b, w = np.searchsorted(ids, t["a"].to_numpy()), np.searchsorted(ids, t["b"].to_numpy()), t["w"].to_numpy()
+        e = forest(len(ids), a, b, w)
+        labels = condensed_labels(len(ids), a[e], b[e], w[e], int(pdf["least"].max()))
         return pd.DataFrame({"a": ids, group: pdf[group].iloc[0], "label": labels})
 
     out = both.groupBy(group).applyInPandas(cut, f"a {kinds[idx]}, {group} {kinds[group]}, label long")
-    if not sizes.filter(F.col("_n") > band).isEmpty():
-        tall = mst.join(sizes.filter(F.col("_n") > band).select("_g"), F.col(group) == F.col("_g"), "left_semi")
-        out = out.unionByName(banded_labels(tall, many.select("a", group, "least"), group, band))
+    if not tall.isEmpty():
+        mine = edges.join(tall, F.col(group) == F.col("_g"), "left_semi")
+        mst = spanning_forest(mine, group).join(large(cores.select("a", group)), "a").select(group, "a", "b", "w")
+        mst = written(mst.unionByName(hung.join(tall, F.col(group) == F.col("_g"), "left_semi")), "tree")
+        out = out.unionByName(banded_labels(mst, nodes.filter("_many").select("a", group, "least"), group, band))
     return out.select(F.col("a").alias(idx), group, "label")

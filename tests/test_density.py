@@ -144,3 +144,47 @@ def test_registered_query_against_plain(spark):
         label = np.array([got[i] for i, c, _ in rows if c == cls])
         edges = sorted(((min(a, b), max(a, b), w) for a, b, w in D.prim(v, plain_core(v, 2)).tolist()), key=lambda e: (e[2], e[0], e[1]))  # equal heights in order of ends
         assert sets_of(label) == plain_condensed(len(v), edges, min(15, max(len(v) // C.IPC, 5)))
+
+
+def test_rows_without_clusters_leave_few_edges_in_order_of_ends(spark):
+    """All balls meet there: each pair of them gave a whole tree of its rows, so edges grew with the square of the rows."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(600, 12))
+    v[300:] = np.round(v[300:])  # equal heights
+    v = np.unique(v, axis=0)
+    df = table(spark, [v]).withColumnRenamed("vec_id", "a").withColumnRenamed("embedding", "v").withColumn("n", F.lit(1).cast("long"))
+    core = plain_core(v, 2)
+    i, j = np.triu_indices(len(v), 1)
+    w = np.maximum(np.maximum(apart(v)[i, j], core[i]), core[j])
+    head, want = list(range(len(v))), []
+    for k in np.lexsort((j, i, w)):
+        if head[i[k]] != head[j[k]]:
+            gone = head[j[k]]
+            head = [head[i[k]] if h == gone else h for h in head]
+            want.append((int(i[k]), int(j[k]), float(w[k])))
+    for band in (1000, 100):
+        edges = D._tree(D.core_distances(df, "cls", 2, block=48), "cls", band)[0]
+        assert sorted(tuple(r) for r in D.spanning_forest(edges, "cls").collect()) == sorted(want)
+        assert band < len(v) or edges.count() < 6 * len(v)  # 30 times the rows before
+
+
+def test_forest_and_heights_against_plain():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 40):
+        a, b = rng.integers(0, n, 200), rng.integers(0, n, 200)
+        a, b, w = np.minimum(a, b), np.maximum(a, b), rng.integers(0, 6, 200).astype(float)
+        head, want = list(range(n)), []
+        for k in np.lexsort((b, a, w)):
+            if head[a[k]] != head[b[k]]:
+                gone = head[b[k]]
+                head = [head[a[k]] if h == gone else h for h in head]
+                want.append((a[k], b[k], w[k]))
+        e = D.forest(n, a, b, w)
+        assert [(a[k], b[k], w[k]) for k in e] == want
+        h, hub = D.heights(n, a[e], b[e], w[e], 0), {0: 0.0}
+        for _ in range(n):
+            for k in e:
+                for x, y in ((a[k], b[k]), (b[k], a[k])):
+                    if x in hub and y not in hub:
+                        hub[y] = max(hub[x], w[k])
+        assert h.tolist() == [hub.get(x, np.inf) for x in range(n)]
