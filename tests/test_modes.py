@@ -229,3 +229,24 @@ def test_rounds_of_kmeans_merge_their_joins(spark, monkeypatch):
     assert cluster.group_kmeans(df, "g", "id", "k", block=30, starts=2).count() == 90
     rounds = [p for p in plans if "nanvl" in p]
     assert rounds and all(p.count("SortMergeJoin") >= 2 for p in rounds)
+
+
+@pytest.mark.parametrize("part", ["labels", "diagnostics"])
+def test_no_table_grows_with_pairs_of_rows(spark, monkeypatch, part):
+    """Vectors without clusters: the edges that density modes write were 30 times the rows here, and grew with their square."""
+    from curatrix.operators import density, forest
+
+    sizes, real = [], density.written
+
+    def noted(df, label):
+        out = real(df, label)
+        sizes.append((out.count(), label))
+        return out
+
+    monkeypatch.setattr(density, "written", noted)
+    monkeypatch.setattr(forest, "written", noted)
+    v = np.random.default_rng(8).normal(size=(500, 20))
+    df = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "vec_id long, cls int, embedding array<double>")
+    found = M.discover_modes(df, "cls", "vec_id", 3, pca_dim=12, block=40)
+    assert getattr(found, part).count() == (500 if part == "labels" else 1)
+    assert max(n for n, label in sizes if label not in ("hops", "pairs")) < 8 * 500, sizes  # hops and pairs are of balls, not of rows
