@@ -165,7 +165,7 @@ def test_rows_without_clusters_leave_few_edges_in_order_of_ends(spark):
     for band in (1000, 100):
         edges = D._tree(D.core_distances(df, "cls", 2, block=48), "cls", band)[0]
         assert sorted(tuple(r) for r in D.spanning_forest(edges, "cls").collect()) == sorted(want)
-        assert band < len(v) or edges.count() < 6 * len(v)  # 30 times the rows before
+        assert band < len(v) or edges.count() < 6 * len(v)
 
 
 def test_forest_and_heights_against_plain():
